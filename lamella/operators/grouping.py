@@ -29,13 +29,15 @@ def group_keys(group_by) -> tuple[list[Column | str], bool]:
 def apply_rollup(outputs: Sequence[Output], merge_rules: Mapping[str, str | None] | None) -> list[Output]:
     """Give each stored measure the aggregation of its suffix, or the one ``merge_rules`` names.
 
-    A rule of None keeps the column as it is, for names that only look like a measure.
+    The column keeps its name either way. A rule of None leaves the column out, for names that
+    only look like a measure.
     """
     rules = dict(merge_rules or {})
+    outputs = [o for o in outputs if rules.get(o.name, o) is not None]
     for o in outputs:
         if o.role == FCT and not o.computed and o.agg is None:
             o.agg = rules[o.name] if o.name in rules else suffix_agg(o.name)
-    return list(outputs)
+    return outputs
 
 
 def build(

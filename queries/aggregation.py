@@ -1 +1,328 @@
-"""To come."""
+"""Aggregation, rollups, trailing windows, sketches."""
+
+from pyspark.sql import functions as F
+
+from lamella import (
+    Metric,
+    dim,
+    fct,
+    grain,
+    lookback_model,
+    metric_query,
+    rollup_model,
+    select_model,
+    standard_metric,
+)
+from queries.base import WEEK, day, moment, query, staged_events, staged_orders
+
+
+@query(
+    "aggs_multi",
+    """
+    SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS l_quantity_sum,
+        CAST(count(l_quantity) AS BIGINT) AS l_quantity_count, round(min(l_quantity), 2) AS l_quantity_min,
+        round(max(l_quantity), 2) AS l_quantity_max, round(sum(l_extendedprice), 2) AS l_extendedprice_sum
+    FROM lineitem GROUP BY l_returnflag, l_linestatus
+    """,
+)
+def aggs_multi(t):
+    quantity = fct("l_quantity", aggs=["sum", "count", "min", "max"])
+    return select_model(
+        t.lineitem, ["l_returnflag", "l_linestatus", quantity, fct("l_extendedprice", agg="sum")]
+    )
+
+
+def _per_supplier(t):
+    return select_model(t.lineitem, ["l_suppkey", "l_returnflag", fct("l_orderkey", agg="count")])
+
+
+@query(
+    "count_reagg",
+    """SELECT l_returnflag, CAST(count(l_orderkey) AS BIGINT) AS l_orderkey_count
+        FROM lineitem GROUP BY l_returnflag""",
+)
+def count_reagg(t):
+    # A stored count is summed and keeps its name.
+    return select_model(_per_supplier(t), ["l_returnflag", fct("l_orderkey_count", agg="count")])
+
+
+@query(
+    "suffix_override",
+    """
+    SELECT l_returnflag, CAST(sum(n) AS BIGINT) AS l_orderkey_count_count,
+        CAST(max(n) AS BIGINT) AS l_orderkey_count_max
+    FROM (SELECT l_suppkey, l_returnflag, count(l_orderkey) AS n FROM lineitem GROUP BY 1, 2)
+    GROUP BY l_returnflag
+    """,
+)
+def suffix_override(t):
+    again = fct("l_orderkey_count", agg="count", override_suffix=True)
+    return select_model(_per_supplier(t), ["l_returnflag", again, fct("l_orderkey_count", agg="max")])
+
+
+@query(
+    "group_dims",
+    """
+    SELECT year(l_shipdate) AS ship_year, l_returnflag, CAST(count(*) AS BIGINT) AS n
+    FROM lineitem GROUP BY 1, 2
+    """,
+)
+def group_dims(t):
+    year = dim("ship_year", "cast(year(l_shipdate) as bigint)")
+    return select_model(t.lineitem, [year, "l_returnflag", fct("n", "count(*)")], group_by="dims")
+
+
+@query(
+    "group_expr",
+    """
+    SELECT l_returnflag, round(sum(l_quantity), 2) AS l_quantity_sum FROM lineitem
+    GROUP BY l_returnflag, year(l_shipdate)
+    """,
+)
+def group_expr(t):
+    return select_model(
+        t.lineitem, ["l_returnflag", fct("l_quantity", agg="sum")], group_by=["year(l_shipdate)"]
+    )
+
+
+@query(
+    "exclude_group",
+    f"""
+    SELECT l_returnflag, {day("max(l_shipdate)")} AS last_shipped, round(sum(l_quantity), 2) AS l_quantity_sum
+    FROM lineitem GROUP BY l_returnflag
+    """,
+)
+def exclude_group(t):
+    last = dim("last_shipped", "to_date(max(l_shipdate))", exclude_from_group_by=True)
+    return select_model(t.lineitem, ["l_returnflag", last, fct("l_quantity", agg="sum")])
+
+
+@query(
+    "expr_aggs",
+    """
+    SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS suppliers,
+        round(avg(l_quantity), 2) AS mean_quantity,
+        round(sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END), 2) AS open_quantity,
+        round(min(l_extendedprice), 2) AS lowest, round(max(l_extendedprice), 2) AS highest
+    FROM lineitem GROUP BY l_returnflag
+    """,
+)
+def expr_aggs(t):
+    return select_model(
+        t.lineitem,
+        [
+            "l_returnflag",
+            fct("n", "count(*)"),
+            fct("suppliers", "count(distinct l_suppkey)"),
+            fct("mean_quantity", "avg(l_quantity)"),
+            fct("open_quantity", "sum(case when l_linestatus = 'O' then l_quantity else 0 end)"),
+            fct("lowest", "min(l_extendedprice)"),
+            fct("highest", "max(l_extendedprice)"),
+        ],
+        group_by="dims",
+    )
+
+
+@query("distinct_group", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+def distinct_group(t):
+    return select_model(t.lineitem, ["l_returnflag", "l_linestatus"], group_by="dims")
+
+
+def _hourly(t):
+    """Stored hourly measures, the input of the rollups."""
+    measures = fct("value", aggs=["sum", "count", "min", "max"])
+    return select_model(staged_events(t), ["event_type", grain("hour"), measures])
+
+
+def _rollup_sql(interval, partitions, where=""):
+    return f"""
+    SELECT event_type, {moment(f"date_trunc('{interval}', ts)")} AS datetime{partitions},
+        round(sum(value), 2) AS value_sum, CAST(count(value) AS BIGINT) AS value_count,
+        round(min(value), 2) AS value_min, round(max(value), 2) AS value_max,
+        CAST(count(*) AS BIGINT) AS source_row_count
+    FROM events {where} GROUP BY ALL
+    """
+
+
+_MONTHLY = f", {day("date_trunc('month', ts)")} AS partition_monthly"
+_DAILY = f", {day('ts')} AS partition_daily"
+
+
+@query(
+    "rollup_day",
+    _rollup_sql("day", _MONTHLY + _DAILY, "WHERE CAST(ts AS DATE) BETWEEN '2024-01-05' AND '2024-01-11'"),
+)
+def rollup_day(t):
+    return rollup_model(_hourly(t), "day", dates=WEEK)
+
+
+@query("rollup_month", _rollup_sql("month", _MONTHLY))
+def rollup_month(t):
+    # A month is recomputed whole: the daily filter does not apply at this grain.
+    return rollup_model(_hourly(t), "month", dates=WEEK)
+
+
+@query("rollup_year", _rollup_sql("year", ""))
+def rollup_year(t):
+    return rollup_model(_hourly(t), "year")
+
+
+@query(
+    "rollup_twice",
+    _rollup_sql("month", _MONTHLY),
+)
+def rollup_twice(t):
+    return rollup_model(rollup_model(_hourly(t), "day"), "month")
+
+
+@query(
+    "rollup_select",
+    f"""
+    SELECT o_orderstatus, {moment("date_trunc('month', o_orderdate)")} AS datetime,
+        {day("date_trunc('month', o_orderdate)")} AS partition_monthly,
+        round(sum(o_totalprice), 2) AS o_totalprice_sum, CAST(count(*) AS BIGINT) AS source_row_count,
+        CAST(count(DISTINCT CAST(o_orderdate AS DATE)) AS BIGINT) AS active_days
+    FROM orders GROUP BY ALL
+    """,
+)
+def rollup_select(t):
+    daily = select_model(
+        staged_orders(t), ["o_orderstatus", grain("day"), fct("o_totalprice", agg="sum")]
+    )
+    return select_model(
+        daily,
+        ["o_orderstatus", fct("o_totalprice_sum"), fct("active_days", "count(distinct partition_daily)")],
+        rollup="month",
+    )
+
+
+@query(
+    "rollup_other_time",
+    f"""
+    SELECT l_returnflag, {moment("date_trunc('year', l_shipdate + INTERVAL 30 DAY)")} AS datetime,
+        round(sum(l_quantity), 2) AS l_quantity_sum
+    FROM lineitem GROUP BY ALL
+    """,
+)
+def rollup_other_time(t):
+    shipped = select_model(
+        t.lineitem, ["l_returnflag", dim("shipped", "l_shipdate"), fct("l_quantity", agg="sum")]
+    )
+    return select_model(
+        shipped,
+        ["l_returnflag", fct("l_quantity_sum")],
+        rollup="year",
+        datetime_expr="shipped + interval 30 days",
+    )
+
+
+@query(
+    "rollup_merge_rule",
+    """
+    SELECT l_returnflag, CAST(max(n) AS BIGINT) AS l_orderkey_count,
+        strftime(d, '%Y-%m-%d %H:%M:%S.%f') AS datetime
+    FROM (SELECT l_returnflag, date_trunc('year', l_shipdate) AS d, l_shipdate, count(l_orderkey) AS n
+          FROM lineitem GROUP BY ALL) GROUP BY l_returnflag, d
+    """,
+)
+def rollup_merge_rule(t):
+    daily = select_model(
+        t.lineitem, ["l_returnflag", dim("datetime", "l_shipdate"), fct("l_orderkey", agg="count")]
+    )
+    return rollup_model(daily, "year", merge_rules={"l_orderkey_count": "max"})
+
+
+def _lookback_sql(days, first, facts, dates="'2024-01-05'", last="'2024-01-11'"):
+    return f"""
+    WITH dates AS (SELECT CAST(unnest(generate_series(DATE {dates}, DATE {last}, INTERVAL 1 DAY)) AS DATE) AS e),
+    stored AS (SELECT *, CAST(ts AS DATE) AS d FROM events)
+    SELECT event_type, {day("e")} AS partition_daily, {facts}
+    FROM dates INNER JOIN stored ON d <= e - {first} AND d >= e - {days} GROUP BY event_type, e
+    """
+
+
+_SUMS = """round(sum(value), 2) AS value_sum, CAST(count(value) AS BIGINT) AS value_count,
+    round(min(value), 2) AS value_min, round(max(value), 2) AS value_max"""
+
+
+@query("lookback_7d", _lookback_sql(7, 0, _SUMS))
+def lookback_7d(t):
+    measures = fct("value", aggs=["sum", "count", "min", "max"])
+    return lookback_model(staged_events(t), WEEK, 7, ["event_type", measures])
+
+
+@query("lookback_7d_exclusive", _lookback_sql(7, 1, _SUMS))
+def lookback_7d_exclusive(t):
+    measures = fct("value", aggs=["sum", "count", "min", "max"])
+    return lookback_model(staged_events(t), WEEK, 7, ["event_type", measures], exclude_event_date=True)
+
+
+@query(
+    "lookback_distinct",
+    _lookback_sql(3, 0, "CAST(count(DISTINCT user_id) AS BIGINT) AS users", last="'2024-01-30'"),
+)
+def lookback_distinct(t):
+    users = fct("users", "count(distinct user_id)")
+    return lookback_model(staged_events(t), "2024-01-05~2024-01-30", 3, ["event_type", users])
+
+
+@query("hll_distinct")
+def hll_distinct(t):
+    built = select_model(t.events, ["event_type", fct("user_id", agg="hll")])
+    return metric_query(built, ["event_type"], [standard_metric("user_id_hll", "distinctcount")])
+
+
+@query("hll_rollup")
+def hll_rollup(t):
+    hourly = select_model(staged_events(t), ["event_type", grain("hour"), fct("user_id", agg="hll")])
+    daily = rollup_model(hourly, "day")
+    return metric_query(
+        daily, ["event_type", "partition_daily"], [standard_metric("user_id_hll", "distinctcount")]
+    )
+
+
+def _kll_query(metric):
+    @query(f"kll_{metric}")
+    def run(t):
+        hourly = select_model(staged_events(t), ["event_type", grain("hour"), fct("value", agg="tdigest")])
+        return metric_query(hourly, ["event_type"], [standard_metric("value_tdigest", metric)])
+
+    return run
+
+
+for _metric in ("p50", "p90", "p95", "p98"):
+    _kll_query(_metric)
+
+
+@query(
+    "hll_error_bound",
+    "SELECT event_type, true AS within_bound FROM events GROUP BY event_type",
+)
+def hll_error_bound(t):
+    """The sketch's distinct count is within 5 % of the exact one."""
+    built = select_model(t.events, ["event_type", fct("event_id", agg="hll"), fct("exact", "count(distinct event_id)")])
+    read = metric_query(
+        built,
+        ["event_type"],
+        [standard_metric("event_id_hll", "distinctcount", name="estimate"), Metric("exact", "sum", "exact")],
+    )
+    return read.select(
+        "event_type", (F.abs(F.col("estimate") - F.col("exact")) <= F.col("exact") * 0.05).alias("within_bound")
+    )
+
+
+@query(
+    "kll_error_bound",
+    "SELECT event_type, true AS within_bound FROM events GROUP BY event_type",
+)
+def kll_error_bound(t):
+    """The sketch's median lies between the exact 47th and 53rd percentile."""
+    built = select_model(t.events, ["event_type", fct("value", agg="tdigest")])
+    read = metric_query(built, ["event_type"], [standard_metric("value_tdigest", "p50", name="estimate")])
+    exact = metric_query(
+        t.events,
+        {"kind": "event_type"},
+        [Metric("low", "percentile", "value", 47), Metric("high", "percentile", "value", 53)],
+    )
+    joined = read.join(exact, F.col("event_type") == F.col("kind"))
+    return joined.select("event_type", F.col("estimate").between(F.col("low"), F.col("high")).alias("within_bound"))
