@@ -53,10 +53,8 @@ class ControlTables:
         return Table(f"{self.root}/{name}", (PARTITIONED_BY[name],))
 
     def read(self, name: str) -> DataFrame:
-        table = self.table(name)
-        if not table.exists(self.spark):
-            return self.spark.createDataFrame([], self.schema(name))
-        return table.read(self.spark, self.schema(name))
+        stored = self.table(name).stored(self.spark, self.schema(name))
+        return self.spark.createDataFrame([], self.schema(name)) if stored is None else stored
 
     def _upsert(self, name: str, rows: DataFrame, update_columns=None) -> None:
         schema = self.schema(name)

@@ -13,10 +13,10 @@ from dataclasses import dataclass, field
 from functools import reduce
 from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from lamella.names import NAMES, Names
 from lamella.operators.dates import in_dates, month_starts, parse_dates
@@ -43,11 +43,14 @@ class Table:
         reader = spark.read.format(self.format).options(**self.options)
         return (reader.schema(schema) if schema is not None else reader).load(self.path)
 
-    def exists(self, spark: SparkSession) -> bool:
+    def stored(self, spark: SparkSession, schema: T.StructType) -> DataFrame | None:
+        """The table's rows, or None when nothing was written yet; no job infers a schema."""
         try:
-            return bool(spark.read.format(self.format).options(**self.options).load(self.path).columns)
-        except AnalysisException:
-            return False
+            return self.read(spark, schema)
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
 
 
 def table_for(df: DataFrame, path: str, partitions: Sequence[str] = NAMES.partitions, **kwargs) -> Table:
@@ -187,7 +190,8 @@ def delete_insert(
     keys = list(unique_key) if unique_key else default_unique_key(table.partitions, names)
     if not keys:
         raise ValueError("a table without partitions needs a unique_key")
-    if not table.exists(spark):
+    target = table.stored(spark, df.schema)
+    if target is None:
         full_refresh(df, table)
         return
     # A day lies in one month, so a daily key decides a (monthly, daily) partition.
@@ -196,7 +200,6 @@ def delete_insert(
         overwrite_partitions(df, table)
         return
     new = materialize(df, "insert")
-    target = table.read(spark, df.schema)
     if not table.partitions:
         _replace(spark, table, target, materialize(delete_insert_frame(target, new, keys), "replace"))
         return
@@ -227,10 +230,10 @@ def merge(
     twice = new.where(present).groupBy(*keys).count().where("count > 1")
     if not twice.isEmpty():
         raise ValueError(f"rows to merge repeat their key {keys}")
-    if not table.exists(spark):
+    target = table.stored(spark, df.schema)
+    if target is None:
         full_refresh(new, table)
         return
-    target = table.read(spark, df.schema)
     before = target
     if table.partitions:
         before = _in_partitions(target, _touched(target, new, keys, table.partitions), table.partitions)

@@ -1 +1,391 @@
-"""To come."""
+"""Change tracking. Control tables are derived from the given ones.
+
+Each event type plays a source of its own, whose rows are events; each order priority plays a
+model, whose runs are orders. An earlier scan is one that saw the events up to some value.
+"""
+
+import datetime as dt
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from lamella import Tracking
+from lamella.operators import changes
+from lamella.operators.control import ControlTables
+from lamella.session import working_path
+from queries.base import day, query
+from queries.filters import ARRIVED_SQL, LATE, arrived
+
+RUN = dt.date(2024, 1, 28)
+_RUN = "DATE '2024-01-28'"
+
+
+@query(
+    "date_profile",
+    f"""
+    WITH stored AS ({ARRIVED_SQL})
+    SELECT {day("CAST(ts AS DATE)")} AS event_date, CAST(count(ts) AS BIGINT) AS event_count,
+        array_to_string(list_transform(list_sort(list(DISTINCT arrived_on)),
+            lambda d: strftime(d, '%Y-%m-%d')), ',') AS partition_dates
+    FROM stored GROUP BY CAST(ts AS DATE)
+    """,
+)
+def date_profile(t):
+    return changes.date_profile(arrived(t), LATE)
+
+
+@query(
+    "late_window",
+    f"""
+    WITH stored AS ({ARRIVED_SQL})
+    SELECT {day("CAST(ts AS DATE)")} AS event_date, CAST(count(ts) AS BIGINT) AS event_count,
+        array_to_string(list_transform(list_sort(list(DISTINCT arrived_on)),
+            lambda d: strftime(d, '%Y-%m-%d')), ',') AS partition_dates
+    FROM stored WHERE CAST(ts AS DATE) IN (DATE '2024-01-05', DATE '2024-01-20')
+        AND (arrived_on BETWEEN '2024-01-05' AND '2024-01-06' OR arrived_on BETWEEN '2024-01-20' AND '2024-01-21')
+    GROUP BY CAST(ts AS DATE)
+    """,
+)
+def late_window(t):
+    # Looking one day ahead misses the errors, which arrive two days late.
+    return changes.date_profile(
+        arrived(t), replace(LATE, tracking=Tracking(lookback_days=1)), "2024-01-05,2024-01-20"
+    )
+
+
+def sources(t):
+    """One tracked source per event type; delay, backfill and lookback depend on its first event."""
+    first = t.events.groupBy(F.col("event_type").alias("source_id")).agg(F.to_date(F.min("ts")).alias("first"))
+    return first.selectExpr(
+        "source_id",
+        "CASE source_id WHEN 'view' THEN 'run_schedule' END AS etl_type",
+        "CASE source_id WHEN 'click' THEN 1 ELSE 0 END AS date_delay",
+        "CASE source_id WHEN 'signup' THEN NULL ELSE first END AS backfill_start",
+        "CASE source_id WHEN 'purchase' THEN 0 ELSE 3 END AS lookback_days",
+    )
+
+
+_SOURCES = """SELECT event_type AS source_id,
+    CASE event_type WHEN 'view' THEN 'run_schedule' END AS etl_type,
+    CASE event_type WHEN 'click' THEN 1 ELSE 0 END AS date_delay,
+    CASE event_type WHEN 'signup' THEN NULL ELSE CAST(min(ts) AS DATE) END AS backfill_start,
+    CASE event_type WHEN 'purchase' THEN 0 ELSE 3 END AS lookback_days
+    FROM events GROUP BY event_type"""
+
+
+def scanned(t):
+    """What the last scan recorded: small events only, on days before the 24th.
+
+    The days before the 8th were recorded without a run time.
+    """
+    seen = t.events.where("value < 250 and ts < timestamp_ntz'2024-01-24'")
+    return seen.groupBy(F.col("event_type").alias("source_id"), F.to_date("ts").alias("event_date")).agg(
+        F.count(F.lit(1)).alias("event_count"),
+        F.array(F.to_date(F.max("ts"))).alias("partition_dates"),
+        F.when(F.max("ts") >= F.expr("timestamp_ntz'2024-01-08'"), F.max("ts")).alias("etl_timestamp"),
+    )
+
+
+_SCANNED = """SELECT event_type AS source_id, CAST(ts AS DATE) AS event_date, count(*) AS event_count,
+    CASE WHEN max(ts) >= TIMESTAMP '2024-01-08' THEN max(ts) END AS etl_timestamp
+    FROM events WHERE value < 250 AND ts < TIMESTAMP '2024-01-24' GROUP BY 1, 2"""
+
+
+@query(
+    "candidate_dates",
+    f"""
+    WITH s AS ({_SOURCES}), r AS ({_SCANNED}),
+    b AS (SELECT *, CAST({_RUN} - CAST(date_delay AS INTEGER) AS DATE) AS base FROM s),
+    days AS (SELECT source_id, backfill_start, lookback_days, base, CAST(unnest(generate_series(
+        CAST({_RUN} - 60 AS TIMESTAMP), CAST(base AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d, etl_type FROM b)
+    SELECT source_id, {day("d")} AS event_date FROM days
+    WHERE d = base
+       OR (etl_type IS NULL AND d < base - CAST(lookback_days AS INTEGER) AND d >= backfill_start
+           AND NOT EXISTS (SELECT 1 FROM r WHERE r.source_id = days.source_id AND r.event_date = d
+                           AND r.etl_timestamp IS NOT NULL))
+       OR (etl_type IS NULL AND d >= base - CAST(lookback_days AS INTEGER)
+           AND d >= coalesce(backfill_start, d))
+    """,
+)
+def candidate_dates(t):
+    return changes.candidate_dates(sources(t), scanned(t), RUN)
+
+
+@query(
+    "scheduled_dates",
+    f"SELECT DISTINCT event_type AS source_id, '2024-01-28' AS event_date FROM events WHERE event_type = 'view'",
+)
+def scheduled_dates(t):
+    return changes.candidate_dates(sources(t).where("source_id = 'view'"), scanned(t), RUN)
+
+
+def _profile(t):
+    return t.events.groupBy(F.col("event_type").alias("source_id"), F.to_date("ts").alias("event_date")).agg(
+        F.count(F.lit(1)).alias("event_count")
+    )
+
+
+_PROFILE = """SELECT event_type AS source_id, CAST(ts AS DATE) AS event_date,
+    CAST(count(*) AS BIGINT) AS event_count FROM events GROUP BY 1, 2"""
+
+
+@query(
+    "changed_dates",
+    f"""
+    WITH p AS ({_PROFILE}), r AS ({_SCANNED})
+    SELECT p.source_id, {day("p.event_date")} AS event_date, p.event_count FROM p
+    LEFT JOIN r ON p.source_id = r.source_id AND p.event_date = r.event_date
+    WHERE p.event_date <= {_RUN}
+        AND (r.source_id IS NULL OR r.etl_timestamp IS NULL OR r.event_count <> p.event_count)
+    """,
+)
+def changed_dates(t):
+    return changes.changed_dates(_profile(t), scanned(t), RUN)
+
+
+@query(
+    "changed_dates_updated",
+    f"""
+    WITH p AS ({_PROFILE}), r AS ({_SCANNED}),
+    upd AS (SELECT CAST(ts AS DATE) AS event_date, max(ts) + INTERVAL 1 DAY AS updated_timestamp
+        FROM events WHERE event_type = 'error' AND value > 150 GROUP BY 1)
+    SELECT p.source_id, {day("p.event_date")} AS event_date, p.event_count FROM p
+    LEFT JOIN r ON p.source_id = r.source_id AND p.event_date = r.event_date
+    LEFT JOIN upd ON p.event_date = upd.event_date
+    WHERE p.event_date <= {_RUN} AND (r.source_id IS NULL OR r.etl_timestamp IS NULL
+        OR r.event_count <> p.event_count OR upd.updated_timestamp > r.etl_timestamp)
+    """,
+)
+def changed_dates_updated(t):
+    errors = t.events.where("event_type = 'error' and value > 150")
+    updated = errors.select(
+        F.to_date("ts").alias("event_date"), F.expr("ts + interval 1 day").alias("updated_timestamp")
+    )
+    return changes.changed_dates(_profile(t), scanned(t), RUN, updated)
+
+
+def source_models(t):
+    """A model reads the sources its customers cause events in, up to a name length by its priority."""
+    caused = t.events.select("user_id", F.col("event_type").alias("source_id")).distinct()
+    ordered = t.orders.select("o_custkey", F.col("o_orderpriority").alias("model_id")).distinct()
+    pairs = caused.join(ordered, F.col("user_id") == F.col("o_custkey")).select("source_id", "model_id").distinct()
+    return pairs.where("length(source_id) <= cast(substring(model_id, 1, 1) as int) + 4")
+
+
+_LINKS = """SELECT DISTINCT event_type AS source_id, o_orderpriority AS model_id
+    FROM (SELECT DISTINCT user_id, event_type FROM events)
+    JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) ON user_id = o_custkey
+    WHERE length(event_type) <= CAST(substring(o_orderpriority, 1, 1) AS INTEGER) + 4"""
+
+
+@query(
+    "model_limits",
+    f"""
+    WITH s AS ({_SOURCES}), l AS ({_LINKS})
+    SELECT model_id, {day("max(backfill_start)")} AS backfill_start, max(lookback_days) AS lookback_days
+    FROM l JOIN s ON l.source_id = s.source_id GROUP BY model_id
+    """,
+)
+def model_limits(t):
+    return changes.model_limits(sources(t), source_models(t))
+
+
+# Orders as model runs: an order's day, moved into January 2024, is the date it was run for.
+_MODEL_DATES = """
+    SELECT o_orderpriority AS model_id, DATE '2024-01-01' + CAST(day(o_orderdate) AS INTEGER) - 1 AS event_date,
+        max(TIMESTAMP '2024-01-08' + to_days(CAST(month(o_orderdate) AS INTEGER))) AS etl_timestamp,
+        CASE WHEN max(o_totalprice) > 499000 THEN 'error' ELSE 'success' END AS run_status,
+        'price ' || CAST(max(o_orderkey) AS VARCHAR) AS run_message,
+        CASE WHEN min(o_totalprice) < 2000 THEN TIMESTAMP '2024-01-15' END AS optimize_timestamp
+    FROM orders GROUP BY 1, 2"""
+
+
+def model_dates(t):
+    runs = t.orders.select(
+        F.col("o_orderpriority").alias("model_id"),
+        F.date_add(F.expr("date'2024-01-01'"), F.dayofmonth("o_orderdate") - 1).alias("event_date"),
+        F.expr("timestamp_ntz'2024-01-08' + make_dt_interval(month(o_orderdate))").alias("at"),
+        "o_totalprice",
+        "o_orderkey",
+    )
+    return runs.groupBy("model_id", "event_date").agg(
+        F.max("at").alias("etl_timestamp"),
+        F.when(F.max("o_totalprice") > 499000, "error").otherwise("success").alias("run_status"),
+        F.concat(F.lit("price "), F.max("o_orderkey").cast("string")).alias("run_message"),
+        F.when(F.min("o_totalprice") < 2000, F.expr("timestamp_ntz'2024-01-15'")).alias("optimize_timestamp"),
+    )
+
+
+_TEST_DATES = f"""
+    SELECT 'cheap' AS test_id, model_id, event_date, etl_timestamp, run_message AS test_message,
+        CASE WHEN optimize_timestamp IS NULL OR day(event_date) > 20 THEN 'pass' ELSE 'fail' END AS test_status
+    FROM ({_MODEL_DATES})"""
+
+
+def test_dates(t):
+    runs = model_dates(t)
+    status = F.when(F.expr("optimize_timestamp is null or day(event_date) > 20"), "pass").otherwise("fail")
+    return runs.select(
+        F.lit("cheap").alias("test_id"),
+        "model_id",
+        "event_date",
+        "etl_timestamp",
+        F.col("run_message").alias("test_message"),
+        status.alias("test_status"),
+    )
+
+
+_DUE = f"""
+    WITH s AS ({_SOURCES}), l AS ({_LINKS}), r AS ({_SCANNED}), m AS ({_MODEL_DATES}), x AS ({_TEST_DATES}),
+    lim AS (SELECT model_id, max(backfill_start) AS start FROM l JOIN s ON l.source_id = s.source_id GROUP BY 1),
+    good AS (SELECT m.model_id, m.event_date, m.etl_timestamp FROM m
+        LEFT JOIN x ON m.model_id = x.model_id AND m.event_date = x.event_date AND m.etl_timestamp = x.etl_timestamp
+        WHERE m.run_status = 'success' GROUP BY 1, 2, 3
+        HAVING sum(CASE WHEN x.test_status <> 'pass' THEN 1 ELSE 0 END) = 0),
+    due AS (SELECT DISTINCT l.model_id, r.event_date FROM r JOIN l ON r.source_id = l.source_id
+        LEFT JOIN lim ON l.model_id = lim.model_id
+        LEFT JOIN good g ON g.model_id = l.model_id AND g.event_date = r.event_date
+        WHERE r.etl_timestamp IS NOT NULL AND (lim.start IS NULL OR r.event_date >= lim.start)
+            AND (g.etl_timestamp IS NULL OR r.etl_timestamp > g.etl_timestamp))
+"""
+
+
+def _due(t):
+    links = source_models(t)
+    limits = changes.model_limits(sources(t), links)
+    return changes.due_dates(links, scanned(t), model_dates(t), test_dates(t), limits)
+
+
+@query("due_dates", f"{_DUE} SELECT model_id, {day('event_date')} AS event_date FROM due")
+def due_dates(t):
+    return _due(t)
+
+
+@query(
+    "date_batches",
+    f"""{_DUE},
+    per AS (SELECT event_date, array_to_string(list_sort(list(model_id)), ',') AS ids FROM due GROUP BY 1),
+    cut AS (SELECT ids, event_date,
+        CAST((row_number() OVER (PARTITION BY ids ORDER BY event_date DESC) - 1) // 5 AS INTEGER) AS batch FROM per)
+    SELECT ids, batch, string_agg({day("event_date")}, ',' ORDER BY event_date DESC) AS event_dates
+    FROM cut GROUP BY ids, batch
+    """,
+)
+def date_batches(t):
+    return changes.date_batches(_due(t), 5)
+
+
+def _last(t):
+    """Time of the last run, as a one-row subquery."""
+    return model_dates(t).agg(F.max("etl_timestamp")).scalar()
+
+
+@query(
+    "failed_dates",
+    f"""
+    WITH m AS ({_MODEL_DATES})
+    SELECT model_id, {day("event_date")} AS event_date FROM m
+    WHERE run_status = 'error' AND etl_timestamp = (SELECT max(etl_timestamp) FROM m)
+    """,
+)
+def failed_dates(t):
+    return changes.failed_dates(model_dates(t), _last(t))
+
+
+@query(
+    "failure_summary",
+    f"""
+    WITH m AS ({_MODEL_DATES})
+    SELECT model_id, run_status, substring(run_message, 1, 100) AS run_message,
+        string_agg({day("event_date")}, ', ' ORDER BY event_date) AS event_dates FROM m
+    WHERE run_status <> 'success' AND etl_timestamp = (SELECT max(etl_timestamp) FROM m) GROUP BY 1, 2, 3
+    """,
+)
+def failure_summary(t):
+    return changes.failure_summary(model_dates(t), _last(t))
+
+
+@query(
+    "failed_tests",
+    f"""
+    WITH x AS ({_TEST_DATES})
+    SELECT DISTINCT test_id, model_id, test_status, substring(test_message, 1, 100) AS test_message FROM x
+    WHERE test_status <> 'pass' AND etl_timestamp = (SELECT max(etl_timestamp) FROM x)
+    """,
+)
+def failed_tests(t):
+    return changes.failed_tests(test_dates(t), _last(t))
+
+
+@query(
+    "compaction_due",
+    f"""
+    WITH m AS ({_MODEL_DATES})
+    SELECT model_id, {day("event_date")} AS event_date FROM m WHERE run_status = 'success' AND (
+        (optimize_timestamp IS NULL AND datesub('day', etl_timestamp, TIMESTAMP '2024-01-25 12:00:00') > 3)
+        OR datesub('day', optimize_timestamp, etl_timestamp) > 3)
+    """,
+)
+def compaction_due(t):
+    return changes.compaction_due(model_dates(t), dt.datetime(2024, 1, 25, 12), 3)
+
+
+@query(
+    "record_source_dates",
+    f"""
+    WITH p AS ({_PROFILE}), r AS ({_SCANNED}),
+    c AS (SELECT p.* FROM p LEFT JOIN r ON p.source_id = r.source_id AND p.event_date = r.event_date
+        WHERE r.etl_timestamp IS NULL OR r.event_count <> p.event_count)
+    SELECT p.source_id, {day("p.event_date")} AS event_date, p.event_count,
+        CASE WHEN c.source_id IS NULL THEN strftime(r.etl_timestamp, '%Y-%m-%d %H:%M:%S.%f')
+            ELSE '2024-02-01 00:00:00.000000' END AS etl_timestamp
+    FROM p LEFT JOIN r ON p.source_id = r.source_id AND p.event_date = r.event_date
+    LEFT JOIN c ON p.source_id = c.source_id AND p.event_date = c.event_date
+    """,
+)
+def record_source_dates(t):
+    control = ControlTables(t.spark, working_path(t.spark, "control"))
+    control.record_source_dates(scanned(t))
+    changed = changes.changed_dates(_profile(t), control.read("source_dates"))
+    now = F.expr("timestamp_ntz'2024-02-01'")
+    control.record_source_dates(
+        changed.select("*", F.array("event_date").alias("partition_dates"), now.alias("etl_timestamp"))
+    )
+    return control.read("source_dates").drop("partition_dates")
+
+
+@query(
+    "record_runs",
+    f"""
+    WITH m AS ({_MODEL_DATES})
+    SELECT model_id, {day("event_date")} AS event_date, 'success' AS run_status,
+        CASE WHEN run_status = 'error' THEN NULL ELSE '2024-02-02 00:00:00.000000' END AS optimize_timestamp FROM m
+    """,
+)
+def record_runs(t):
+    # All runs are recorded, the good ones compacted, the failed ones run again.
+    control = ControlTables(t.spark, working_path(t.spark, "control"))
+    runs = model_dates(t).drop("optimize_timestamp")
+    control.record_model_dates(runs)
+    good = control.read("model_dates").where("run_status = 'success'")
+    done = good.withColumn("optimize_timestamp", F.expr("timestamp_ntz'2024-02-02'"))
+    control.record_compaction(done)
+    control.record_model_dates(runs.where("run_status = 'error'").withColumn("run_status", F.lit("success")))
+    return control.read("model_dates").select("model_id", "event_date", "run_status", "optimize_timestamp")
+
+
+@query(
+    "register_sources",
+    """
+    SELECT DISTINCT event_type AS source_id, '{"version":2}' AS properties, event_type < 'p' AS etl_active
+    FROM events
+    """,
+)
+def register_sources(t):
+    control = ControlTables(t.spark, working_path(t.spark, "control"))
+    ids = t.events.select(F.col("event_type").alias("source_id")).distinct()
+    first = ids.select("*", F.lit('{"version":1}').alias("properties"), (F.col("source_id") < "p").alias("etl_active"))
+    control.register_sources(first)
+    # Registering again renews the properties; what is active stays active.
+    control.register_sources(ids.select("*", F.lit('{"version":2}').alias("properties")))
+    return control.read("sources")

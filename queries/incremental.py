@@ -69,17 +69,19 @@ def delete_insert_default(t):
 @query(
     "delete_insert_daily",
     """
-    SELECT strftime(ts, '%Y-%m-%d') AS partition_daily, CAST(count(*) AS BIGINT) AS n FROM events
-    WHERE CAST(ts AS DATE) <> DATE '2024-01-10' OR hour(ts) < 12 GROUP BY 1
+    SELECT event_type, strftime(ts, '%Y-%m-%d') AS partition_daily, CAST(count(*) AS BIGINT) AS n FROM events
+    WHERE CAST(ts AS DATE) <> DATE '2024-01-10' OR (event_type < 'p' AND hour(ts) < 12) GROUP BY 1, 2
     """,
 )
 def delete_insert_daily(t):
-    # The day is stored by hour; hours missing from the new data must go as well.
-    events = staged_events(t)
-    table = _stored(t, events, "delete-insert-daily")
-    morning = events.where("partition_daily = date'2024-01-10' and hour(datetime) < 12")
-    write_incremental(morning, table)
-    return table.read(t.spark, events.schema).groupBy("partition_daily").agg(F.count(F.lit(1)).alias("n"))
+    # A day is stored by event type; types missing from its new data must go as well.
+    events = staged_events(t).drop("partition_hourly", "partition_monthly")
+    table = table_for(events, working_path(t.spark, "daily"), ["partition_daily", "event_type"])
+    write_incremental(events, table, refresh=True)
+    fresh = events.where("partition_daily = date'2024-01-10' and event_type < 'p' and hour(datetime) < 12")
+    write_incremental(fresh, table)
+    stored = table.read(t.spark, events.schema)
+    return stored.groupBy("event_type", "partition_daily").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -40,14 +40,15 @@ def scalar_text(t):
 @query(
     "scalar_numbers",
     """
-    SELECT p_partkey, p_size // 7 AS whole, round(p_retailprice / 7, 2) AS share,
+    SELECT p_partkey, p_size // 7 AS whole, round(p_retailprice / 7, 4) AS share,
         CAST(round(p_retailprice) AS BIGINT) AS rounded,
         CASE WHEN p_size > 25 THEN NULL ELSE greatest(p_size, 10) END AS strict_top,
         CASE WHEN p_size > 25 THEN NULL ELSE least(p_size, 10) END AS strict_low,
         coalesce(CASE WHEN p_size > 25 THEN p_size END, -1) AS filled,
-        round(CAST(CAST(p_retailprice AS DECIMAL(10,2)) / 100.0 AS DOUBLE), 2) AS dollars
+        round(CAST(CAST(p_retailprice AS DECIMAL(10,2)) / 100.0 AS DOUBLE), 4) AS dollars
     FROM part
     """,
+    digits=4,
 )
 def scalar_numbers(t):
     maybe = F.when(F.col("p_size") <= 25, F.lit(10))
