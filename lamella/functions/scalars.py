@@ -85,8 +85,7 @@ def trunc_to(unit: str, column) -> Column:
     column = _col(column).cast("timestamp_ntz")
     day = column.cast("date")
     if unit == "hour":
-        zero = F.lit(0)
-        return day.cast("timestamp_ntz") + F.make_dt_interval(zero, F.hour(column), zero, zero.cast("double"))
+        return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour(column))
     if unit == "day":
         return day.cast("timestamp_ntz")
     return F.trunc(day, unit).cast("timestamp_ntz")

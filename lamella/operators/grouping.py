@@ -12,7 +12,7 @@ from lamella.operators.aggregate import agg_column, suffix_agg
 from lamella.operators.dates import column_type
 from lamella.operators.predicates import Condition, as_condition
 from lamella.operators.roles import canonical_order, ident
-from lamella.operators.select import Output, as_column
+from lamella.operators.select import Output, as_column, put
 
 GROUP_DIMS = "dims"
 
@@ -57,11 +57,10 @@ def build(
     explicit, by_dims = group_keys(group_by)
     aggregating = any(o.agg for o in outputs)
     order = canonical_order([o.name for o in outputs], partitions)
-    named = {o.name: o for o in outputs}
     if not (aggregating or always_group or explicit or by_dims):
         if having is not None:
             raise ValueError("having needs an aggregation or a group_by")
-        return df.select(*[named[n].tagged(named[n].column) for n in order])
+        return put(df.select(*[o.column.alias(o.name) for o in outputs]), outputs, order)
 
     bare = [
         o.name
@@ -95,7 +94,7 @@ def build(
     condition = as_condition(having)
     if condition is not None:
         result = result.where(condition)
-    return result.select(*[named[n].tagged(F.col(ident(n))) for n in order])
+    return put(result, outputs, order)
 
 
 def _aggregate(df: DataFrame, o: Output) -> Column:

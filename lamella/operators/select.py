@@ -51,8 +51,23 @@ class Output:
     exclude_from_group_by: bool = False
     metadata: dict = field(default_factory=dict)
 
-    def tagged(self, column: Column) -> Column:
-        return column.alias(self.name, metadata={**self.metadata, "role": self.role})
+    @property
+    def wanted_metadata(self) -> dict:
+        return {**self.metadata, "role": self.role}
+
+
+def put(df: DataFrame, outputs: Sequence[Output], order: Sequence[str]) -> DataFrame:
+    """Order the columns of a result and set the roles its columns do not carry by themselves."""
+    named = {o.name: o for o in outputs}
+    columns: list[Column | str] = []
+    for name in order:
+        wanted = named[name].wanted_metadata
+        has = field_metadata(df, name)
+        if {"role": DIM, **has} == wanted:
+            columns.append(ident(name))
+        else:
+            columns.append(F.col(ident(name)).alias(name, metadata=wanted))
+    return df.select(*columns)
 
 
 def dim(name, expr=None, *, side=None, exclude_from_group_by=False) -> Item:

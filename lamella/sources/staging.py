@@ -9,7 +9,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.functions.scalars import trunc_date, trunc_to
 from lamella.names import DIM, FCT, NAMES, Names
 from lamella.operators.dates import (
     column_type,
@@ -21,7 +20,7 @@ from lamella.operators.dates import (
 )
 from lamella.operators.predicates import Condition, filter_where
 from lamella.operators.roles import canonical_order
-from lamella.operators.select import Item, Output, Scope, resolve
+from lamella.operators.select import Item, Output, Scope, put, resolve
 from lamella.sources.spec import PartitionPredicate, SourceSpec
 
 _STATIC = {
@@ -99,14 +98,16 @@ def time_columns(spec: SourceSpec, names: Names = NAMES) -> list[Output]:
     """``datetime`` and the partition columns a source's event time gives."""
     if spec.event_time is None:
         return []
-    moment = F.expr(spec.event_time.expr).cast("timestamp_ntz")
+    # Date arithmetic on the zone-less time: the session's time zone plays no part.
+    moment = f"cast({spec.event_time.expr} as timestamp_ntz)"
+    day = f"cast({moment} as date)"
     built = {
         names.datetime: moment,
-        names.daily: trunc_date("day", moment),
-        names.hourly: trunc_to("hour", moment),
-        names.monthly: trunc_date("month", moment),
+        names.daily: day,
+        names.hourly: f"cast({day} as timestamp_ntz) + make_dt_interval(0, hour({moment}))",
+        names.monthly: f"trunc({day}, 'month')",
     }
-    return [Output(name, name, column, DIM, computed=True) for name, column in built.items()]
+    return [Output(name, name, F.expr(text), DIM, computed=True) for name, text in built.items()]
 
 
 def stage_source(
@@ -145,7 +146,9 @@ def stage_source(
     partitions = tuple(partitions or names.partitions)
     if not partition_columns:
         outputs = {n: o for n, o in outputs.items() if n not in partitions}
-    return df.select(*[outputs[n].tagged(outputs[n].column) for n in canonical_order(outputs, partitions)])
+    chosen = list(outputs.values())
+    staged = df.select(*[o.column.alias(o.name) for o in chosen])
+    return put(staged, chosen, canonical_order(outputs, partitions))
 
 
 def stage_union(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,13 +35,22 @@ class Tables:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return _read(self.spark, f"{self.folder}/{name}.parquet")
+
+
+@lru_cache(maxsize=256)
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    # The tables do not change, so their schema is looked up once per session.
+    return spark.read.parquet(path)
 
 
 def plain(df: DataFrame, digits: int = 2) -> DataFrame:
     """A result in types every engine prints alike: dates as text, numbers as integers or doubles."""
     columns = []
     for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.IntegralType, T.BooleanType)):
+            columns.append(f"`{f.name}`")
+            continue
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DateType):
             c = F.date_format(c, DAY)
