@@ -37,7 +37,7 @@ HEADLINE = [
     "join_inner",
     "join_left",
     "join_full",
-    "join_full_skewed",
+    "join_full_plain",
     "join_dims",
     "join_left_deep",
     "unnest_array",

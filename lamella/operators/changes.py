@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.functions.scalars import distinct_values
+from lamella.functions.scalars import distinct_values, join_sorted
 from lamella.operators.dates import (
     Range,
     column_type,
@@ -230,7 +230,7 @@ def failure_summary(model_dates: DataFrame, etl_timestamp) -> DataFrame:
     failed = model_dates.where(F.col("etl_timestamp") == _at(etl_timestamp)).where("run_status <> 'success'")
     message = F.substring("run_message", 1, 100).alias("run_message")
     # Each date once per model in a run; the list is as long as the run has dates.
-    dates = F.array_join(F.sort_array(F.collect_list(F.col("event_date").cast("string"))), ", ")
+    dates = join_sorted(F.col("event_date").cast("string"))
     return failed.groupBy("model_id", "run_status", message).agg(dates.alias("event_dates"))
 
 

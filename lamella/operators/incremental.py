@@ -2,13 +2,13 @@
 
 Only the partitions a write touches are read and rewritten. A write that depends on the table's
 own rows is computed into the shared folder first, so that it never overwrites what it reads.
-Plain files have no transactions: a job that dies during the last step leaves that copy behind
-and is simply run again.
+Plain files have no transactions: readers may see a write half done, and a job that dies in its
+last step, the replacement of partitions, leaves its computed copy in the shared folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from urllib.parse import unquote
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from lamella.names import NAMES, Names
 from lamella.operators.dates import in_dates, month_starts, parse_dates
 from lamella.operators.roles import ident
-from lamella.session import materialize
+from lamella.session import Workspace, remove
 
 # More touched partitions than this are found with a join instead of literals.
 MAX_LISTED_PARTITIONS = 10_000
@@ -138,44 +138,53 @@ def merge_frame(
     return joined.select(*[pick(c) for c in columns])
 
 
-def _in_partitions(df: DataFrame, touched: DataFrame, partitions: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` lying in the touched partitions, pruned by literals while those are few."""
+def _partition_filter(touched: DataFrame, partitions: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """A filter on the touched partitions, pruned by literals while those are few."""
     rows = touched.limit(MAX_LISTED_PARTITIONS + 1).collect()
-    if not rows:
-        return df.where(F.lit(False))
-    if len(rows) > MAX_LISTED_PARTITIONS:
+    listed = rows if len(rows) <= MAX_LISTED_PARTITIONS else None
+
+    def keep(df: DataFrame) -> DataFrame:
+        for p in partitions if listed is not None else ():
+            values = {r[p] for r in listed}
+            column = F.col(ident(p))
+            found = column.isin([F.lit(v) for v in values if v is not None])
+            df = df.where(found | column.isNull() if None in values else found)
+        if listed is not None and len(partitions) == 1:
+            return df
+        # The values of each column prune folders; the join picks the exact combinations.
         return df.alias("t").join(touched.alias("s"), _same(partitions, "t", "s", True), "left_semi")
-    if len(partitions) == 1:
-        values = [r[0] for r in rows]
-        column, listed = F.col(ident(partitions[0])), [v for v in values if v is not None]
-        condition = column.isin([F.lit(v) for v in listed]) if listed else F.lit(False)
-        return df.where(condition | column.isNull() if None in values else condition)
-    matches = [
-        reduce(lambda a, b: a & b, [F.col(ident(p)).eqNullSafe(F.lit(r[p])) for p in partitions]) for r in rows
-    ]
-    # Bounds per column prune folders even where the OR of tuples is too long to be pushed.
-    for p in partitions:
-        values = {r[p] for r in rows}
-        if None not in values:
-            df = df.where(F.col(ident(p)).isin([F.lit(v) for v in values]))
-    return df.where(reduce(lambda a, b: a | b, matches))
-
-
-def _replace(spark: SparkSession, table: Table, before: DataFrame, after: DataFrame) -> None:
-    """Put ``after`` where ``before`` was: rewrite its partitions and empty those it left."""
-    if not table.partitions:
-        _write(after, table, "overwrite")
-        return
-    folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]+$", 1).alias("folder")
-    old = before.select(*table.partitions, folder).distinct()
+
+    return keep
+
+
+def _replace(table: Table, before: DataFrame, after: DataFrame) -> None:
+    """Put ``after`` in the place of ``before`` (partition columns and folders): rewrite the
+    partitions that still have rows and remove those that lost their last one."""
     left = after.select(*table.partitions).distinct()
-    gone = old.alias("t").join(left.alias("s"), _same(table.partitions, "t", "s", True), "left_anti")
+    gone = before.alias("t").join(left.alias("s"), _same(table.partitions, "t", "s", True), "left_anti")
     emptied = [unquote(r["folder"]) for r in gone.collect()]
     overwrite_partitions(after, table)
-    stored = T.StructType([f for f in after.schema if f.name not in table.partitions])
     for path in emptied:
-        empty = spark.createDataFrame([], stored).write.format(table.format).mode("overwrite")
-        empty.option("partitionOverwriteMode", "static").save(path)
+        remove(after.sparkSession, path)
+
+
+def _rewrite(
+    table: Table,
+    target: DataFrame,
+    new: DataFrame,
+    keys: Sequence[str],
+    change: Callable[[DataFrame], DataFrame],
+    work: Workspace,
+) -> None:
+    """Apply ``change`` to the partitions of ``target`` that ``new`` touches."""
+    if not table.partitions:
+        _write(work.materialize(change(target), "changed"), table, "overwrite")
+        return
+    parts = table.partitions
+    keep = _partition_filter(_touched(target, new, keys, parts), parts)
+    changed = work.materialize(change(keep(target)), "changed")
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]+$", 1).alias("folder")
+    _replace(table, keep(target.select(*parts, folder)).distinct(), changed)
 
 
 def delete_insert(
@@ -199,12 +208,9 @@ def delete_insert(
     if set(keys) <= set(table.partitions) <= decided:
         overwrite_partitions(df, table)
         return
-    new = materialize(df, "insert")
-    if not table.partitions:
-        _replace(spark, table, target, materialize(delete_insert_frame(target, new, keys), "replace"))
-        return
-    before = _in_partitions(target, _touched(target, new, keys, table.partitions), table.partitions)
-    _replace(spark, table, before, materialize(delete_insert_frame(before, new, keys), "replace"))
+    with Workspace(spark) as work:
+        new = work.materialize(df, "new")
+        _rewrite(table, target, new, keys, lambda old: delete_insert_frame(old, new, keys), work)
 
 
 def _touched(target: DataFrame, new: DataFrame, keys, partitions) -> DataFrame:
@@ -225,20 +231,21 @@ def merge(
     """Upsert ``df`` into the table; a key given twice in ``df`` is an error."""
     spark = df.sparkSession
     keys = [unique_key] if isinstance(unique_key, str) else list(unique_key)
-    new = materialize(df, "upsert")
-    present = reduce(lambda a, b: a & b, [F.col(ident(k)).isNotNull() for k in keys])
-    twice = new.where(present).groupBy(*keys).count().where("count > 1")
-    if not twice.isEmpty():
-        raise ValueError(f"rows to merge repeat their key {keys}")
-    target = table.stored(spark, df.schema)
-    if target is None:
-        full_refresh(new, table)
-        return
-    before = target
-    if table.partitions:
-        before = _in_partitions(target, _touched(target, new, keys, table.partitions), table.partitions)
-    after = materialize(merge_frame(before, new, keys, update_columns, exclude_columns), "merged")
-    _replace(spark, table, before, after)
+    with Workspace(spark) as work:
+        new = work.materialize(df, "new")
+        present = reduce(lambda a, b: a & b, [F.col(ident(k)).isNotNull() for k in keys])
+        twice = new.where(present).groupBy(*keys).count().where("count > 1")
+        if not twice.isEmpty():
+            raise ValueError(f"rows to merge repeat their key {keys}")
+        target = table.stored(spark, df.schema)
+        if target is None:
+            full_refresh(new, table)
+            return
+
+        def change(old: DataFrame) -> DataFrame:
+            return merge_frame(old, new, keys, update_columns, exclude_columns)
+
+        _rewrite(table, target, new, keys, change, work)
 
 
 def run_hooks(spark: SparkSession, statements: Sequence[str] | str | None) -> None:
@@ -300,13 +307,14 @@ def compact_partitions(
         days = parse_dates(dates)
         wanted = month_starts(days) if by == names.monthly else days
         stored = stored.where(in_dates(F.col(ident(by)), wanted, stored.schema[by].dataType))
-    rows = materialize(stored, "compact")
     size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(size)
     packed = Table(table.path, table.partitions, table.format, {**table.options, "compression": codec})
-    try:
-        spark.conf.set(size, str(file_bytes))
-        rebalanced = rows if table.partitions else rows.hint("rebalance")
-        _write(rebalanced, packed, "overwrite", "dynamic" if table.partitions else "static")
-    finally:
-        spark.conf.set(size, before)
+    with Workspace(spark) as work:
+        rows = work.materialize(stored, "compact")
+        try:
+            spark.conf.set(size, str(file_bytes))
+            rebalanced = rows if table.partitions else rows.hint("rebalance")
+            _write(rebalanced, packed, "overwrite", "dynamic" if table.partitions else "static")
+        finally:
+            spark.conf.set(size, before)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,15 +20,16 @@ class Join:
     """One joined table.
 
     ``on`` is a list of column names (equal on base and joined side) and Columns (free conditions,
-    which may hold subqueries), or ``"dims"`` for all dimensions both sides share. ``skewed``
-    asks a full join to be run in the form whose hot keys Spark can split.
+    which may hold subqueries), or ``"dims"`` for all dimensions both sides share. A full join
+    runs in a form whose hot keys Spark can split; ``skewed=False`` takes the plain form, which
+    is cheaper where no key is hot.
     """
 
     df: DataFrame
     alias: str
     on: str | Sequence[str | Column] = ()
     how: str = "inner"
-    skewed: bool = False
+    skewed: bool = True
 
     def __post_init__(self):
         if self.how not in JOIN_TYPES:
@@ -80,6 +81,18 @@ def join_all(base_alias: str, base: DataFrame, joins: Sequence[Join]) -> DataFra
     return joined
 
 
+def add_scalars(joined: DataFrame, scalars: Mapping[str, DataFrame]) -> DataFrame:
+    """Make one-row tables available to every row as ``alias.column``.
+
+    Each is a scalar subquery, evaluated once: no join takes place. As with a cross join an empty
+    table leaves no rows; a second row is an error.
+    """
+    for alias, one in scalars.items():
+        value = one.select(F.struct("*")).scalar()
+        joined = joined.withColumn(alias, value).where(F.col(ident(alias)).isNotNull())
+    return joined
+
+
 def _pack(side: str, df: DataFrame) -> Column:
     return F.struct(*[F.col(ident(side, c)).alias(c) for c in df.columns]).alias(side)
 

@@ -55,32 +55,18 @@ def exact_percentiles(
         ]
     )
     # A percentile lies between two neighbouring ranks, which may fall into two slices.
-    wanted = placed.select("*", F.explode(ranks).alias("r")).select(
-        *keys, "slice", "before", "upto", F.col("r.name").alias("name"), F.col("r.rank").alias("rank")
-    )
-    wanted = wanted.where((F.ceil("rank") >= F.col("before")) & (F.floor("rank") < F.col("upto")))
-    wanted = wanted.select(*keys, "slice", "before", "name", "rank")
+    near = F.filter(ranks, lambda r: (F.ceil(r["rank"]) >= F.col("before")) & (F.floor(r["rank"]) < F.col("upto")))
+    wanted = placed.select(*keys, "slice", "before", near.alias("ranks")).where(F.size("ranks") > 0)
 
-    ranked = _on(sliced, wanted.select(*keys, "slice").distinct(), [*keys, "slice"]).select(
-        *keys,
-        "slice",
-        "v",
-        "n",
-        F.sum("n")
-        .over(
-            Window.partitionBy(*keys, "slice")
-            .orderBy("v")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        .alias("end"),
-    )
-    hits = _on(ranked, wanted, [*keys, "slice"]).select(
+    in_slice = Window.partitionBy(*keys, "slice").orderBy("v")
+    upto = F.sum("n").over(in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = _on(sliced, wanted, [*keys, "slice"]).select(*keys, "v", "n", "before", "ranks", upto.alias("end"))
+    hits = ranked.select(
         *keys,
-        "name",
-        "rank",
         "v",
         (F.col("before") + F.col("end") - F.col("n")).alias("first"),
         (F.col("before") + F.col("end") - 1).alias("last"),
+        F.inline("ranks"),
     )
     covers = {
         side: F.when((F.col("first") <= F.col(side)) & (F.col(side) <= F.col("last")), F.col("v"))
@@ -101,9 +87,9 @@ def exact_percentiles(
 
 
 def _on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on null-safe keys; without keys both sides are single groups."""
+    """Inner join on null-safe keys; without keys ``right`` is one row, looked up once."""
     if not keys:
-        return left.crossJoin(right)
+        return left.select("*", *[right.select(c).scalar().alias(c) for c in right.columns])
     same = reduce(
         lambda a, b: a & b, [F.col(ident("l", k)).eqNullSafe(F.col(ident("r", k))) for k in keys]
     )

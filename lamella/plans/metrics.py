@@ -246,7 +246,7 @@ def _by_value(metrics: Sequence[Metric]):
 
 def _left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     if not keys:
-        return left.crossJoin(right)
+        return left.select("*", *[right.select(ident(c)).scalar().alias(c) for c in right.columns])
     same = reduce(lambda a, b: a & b, [F.col(ident("l", k)).eqNullSafe(F.col(ident("r", k))) for k in keys])
     joined = left.alias("l").join(right.alias("r"), same, "left")
     return joined.select("l.*", *[F.col(ident("r", c)) for c in right.columns if c not in keys])

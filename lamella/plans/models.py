@@ -12,7 +12,7 @@ from lamella.names import DIM, FCT, NAMES, Names
 from lamella.operators.aggregate import agg_name, is_aggregate_expr, suffix_agg
 from lamella.operators.dates import date_filter, parse_dates
 from lamella.operators.grouping import apply_rollup, build, group_keys, order_limit
-from lamella.operators.joins import Join, join_all
+from lamella.operators.joins import Join, add_scalars, join_all
 from lamella.operators.lookback import fed_dates, in_windows
 from lamella.operators.predicates import Condition, filter_where
 from lamella.operators.roles import ident, role_of
@@ -180,12 +180,11 @@ def join_models(
     alias, df = base
     interval = options.get("rollup") or selected_grain(select, names)
     df = date_filter(df, dates, grain=interval, names=names, **filters)
-    joins = [*joins, *[Join(one, name, how="cross") for name, one in (scalars or {}).items()]]
     sides = {alias: df, **{j.alias: j.df for j in joins}}
-    scope = Scope(sides, alias, qualify=True)
     if select is None:
         select = [Bulk("all", a) for a in sides]
-    return _model(join_all(alias, df, joins), scope, select, **options)
+    joined = add_scalars(join_all(alias, df, joins), scalars or {})
+    return _model(joined, Scope({**sides, **(scalars or {})}, alias, qualify=True), select, **options)
 
 
 def unnest_model(

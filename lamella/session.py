@@ -54,12 +54,34 @@ def working_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/lamella/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+class Workspace:
+    """Working copies of one job in the shared folder, removed once the job has succeeded.
 
-    Cuts lineage (a job that overwrites what it reads needs that), survives the loss of
-    executors, and keeps the columnar layout for the readers that follow.
+    A copy cuts lineage (a job that overwrites what it reads needs that), survives the loss of
+    executors, and keeps the columnar layout for the readers that follow. A job that fails leaves
+    its copies behind for inspection.
     """
-    path = working_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        if kind is None:
+            for path in self.paths:
+                remove(self.spark, path)
+
+    def materialize(self, df: DataFrame, label: str = "stage") -> DataFrame:
+        """Write ``df`` once and read it back."""
+        path = working_path(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system it lies in."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)

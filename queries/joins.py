@@ -58,15 +58,16 @@ def join_full(t):
     return _segments(t, "full")
 
 
-@query("join_full_skewed", _segments_sql("FULL"))
-def join_full_skewed(t):
-    return _segments(t, "full", skewed=True)
+@query("join_full_plain", _segments_sql("FULL"))
+def join_full_plain(t):
+    return _segments(t, "full", skewed=False)
 
 
-@query("join_cross", "SELECT n_name, r_name FROM nation CROSS JOIN region")
+@query("join_cross", "SELECT s_name, r_name FROM supplier CROSS JOIN region")
 def join_cross(t):
+    # The one join without a condition the models know; a side with a fixed handful of rows.
     return join_models(
-        ("n", t.nation), [Join(t.region, "r", how="cross")], ["n_name", dim("r_name", side="r")]
+        ("s", t.supplier), [Join(t.region, "r", how="cross")], ["s_name", dim("r_name", side="r")]
     )
 
 
@@ -132,13 +133,14 @@ def join_dims(t):
 @query(
     "join_alias",
     """
-    SELECT a.n_name, b.n_name AS neighbour FROM nation a
-    INNER JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey
+    SELECT a.event_id, a.event_type, b.event_type AS next_type FROM events a
+    LEFT JOIN events b ON b.event_id = a.event_id + 1
     """,
 )
 def join_alias(t):
-    on = ["n_regionkey", F.expr("a.n_nationkey < b.n_nationkey")]
-    return join_models(("a", t.nation), [Join(t.nation, "b", on)], ["n_name", dim("neighbour", "b.n_name")])
+    on = [F.expr("b.event_id = a.event_id + 1")]
+    pick = ["event_id", "event_type", dim("next_type", "b.event_type")]
+    return join_models(("a", t.events), [Join(t.events, "b", on, "left")], pick)
 
 
 @query(
@@ -255,17 +257,27 @@ def unnest_array(t):
 @query(
     "unnest_struct",
     """
-    SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations
+    SELECT doc_id, source, CAST(count(*) AS BIGINT) AS lines, CAST(max(length(line)) AS BIGINT) AS longest,
+        CAST(max(CASE WHEN length(line) > 0 THEN place END) AS BIGINT) AS last_filled
+    FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+            generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents)
+    GROUP BY doc_id, source
     """,
 )
 def unnest_struct(t):
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    nested = t.conversations.groupBy("conv_id").agg(turns.alias("turns"))
+    numbered = "transform(split(text, '\\n'), (line, place) -> named_struct('line', line, 'place', place))"
     return unnest_model(
-        nested,
-        "turns",
-        ["turn", "role", "text"],
-        ["conv_id", "turn", "role", dim("n_chars", "cast(length(text) as bigint)")],
+        t.documents,
+        numbered,
+        ["line", "place"],
+        [
+            "doc_id",
+            "source",
+            fct("lines", "count(*)"),
+            fct("longest", "cast(max(length(line)) as bigint)"),
+            fct("last_filled", "cast(max(case when length(line) > 0 then place end) as bigint)"),
+        ],
+        group_by="dims",
     )
 
 
@@ -312,8 +324,9 @@ def unnest_json_array(t):
 
 @query(
     "join_all_columns",
-    "SELECT n_nationkey, n_name, n_regionkey, r_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
+    """SELECT s_suppkey, s_name, s_nationkey, round(s_acctbal, 2) AS s_acctbal, n_nationkey, n_name, n_regionkey
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
 )
 def join_all_columns(t):
-    on = [F.expr("n.n_regionkey = r.r_regionkey")]
-    return join_models(("n", t.nation), [Join(t.region, "r", on)], [all_from("n"), all_from("r")])
+    on = [F.expr("s.s_nationkey = n.n_nationkey")]
+    return join_models(("s", t.supplier), [Join(t.nation, "n", on)], [all_from("s"), all_from("n")])

@@ -50,9 +50,9 @@ def bulk_include_exclude(t):
     return select_model(_lines(t), [keep, facts_from(exclude=["l_extendedprice", "l_discount"])])
 
 
-@query("bulk_select_all", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("bulk_select_all", "SELECT event_id, event_type, user_id, props FROM events")
 def bulk_select_all(t):
-    return select_model(t.nation, [all_from()])
+    return select_model(t.events, [all_from(exclude=["ts", "value"])])
 
 
 @query(

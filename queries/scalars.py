@@ -127,19 +127,20 @@ def scalar_json(t):
 
 @query(
     "scalar_arrays",
-    f"""
-    SELECT n_regionkey, array_to_string(list_sort(list(n_name)), ', ') AS names,
-        CAST(count(DISTINCT length(n_name)) AS BIGINT) AS lengths
-    FROM nation GROUP BY n_regionkey
+    """
+    SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ', ') AS priorities,
+        CAST(count(DISTINCT year(o_orderdate)) AS BIGINT) AS years
+    FROM orders GROUP BY o_custkey
     """,
 )
 def scalar_arrays(t):
+    # Only values of a small, known range are collected.
     return select_model(
-        t.nation,
+        t.orders,
         [
-            "n_regionkey",
-            fct("names", S.join_sorted("n_name")),
-            fct("lengths", F.size(S.distinct_values(F.length("n_name"))).cast("bigint")),
+            "o_custkey",
+            fct("priorities", F.array_join(S.distinct_values("o_orderpriority"), ", ")),
+            fct("years", F.size(S.distinct_values(F.year("o_orderdate"))).cast("bigint")),
         ],
         group_by="dims",
     )

@@ -80,14 +80,14 @@ def stage_union_orders(t):
 @query(
     "stage_union_no_select",
     """
-    SELECT n_nationkey AS key, n_name AS name, 1 AS source_row_count FROM nation
-    UNION ALL SELECT r_regionkey, r_name, 1 FROM region
+    SELECT c_custkey AS key, c_name AS name, 1 AS source_row_count FROM customer
+    UNION ALL SELECT s_suppkey, s_name, 1 FROM supplier
     """,
 )
 def stage_union_no_select(t):
-    nations = t.nation.selectExpr("n_nationkey AS key", "n_name AS name")
-    regions = t.region.selectExpr("r_regionkey AS key", "r_name AS name")
-    return stage_union([(nations, SourceSpec("nation")), (regions, SourceSpec("region"))])
+    customers = t.customer.selectExpr("c_custkey AS key", "c_name AS name")
+    suppliers = t.supplier.selectExpr("s_name AS name", "s_suppkey AS key", "s_acctbal")
+    return stage_union([(customers, SourceSpec("customer")), (suppliers, SourceSpec("supplier"))])
 
 
 def _partition_query(kind: str, sign: str):

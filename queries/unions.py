@@ -49,13 +49,14 @@ def union_dates_expr(t):
 
 @query(
     "union_no_select",
-    "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT s_suppkey, s_name, s_nationkey FROM supplier",
+    """SELECT c_custkey, c_name, c_nationkey FROM customer
+        UNION ALL SELECT s_suppkey, s_name, s_nationkey FROM supplier""",
 )
 def union_no_select(t):
     suppliers = t.supplier.selectExpr(
-        "s_acctbal", "s_nationkey AS n_regionkey", "s_name AS n_name", "s_suppkey AS n_nationkey"
+        "s_acctbal", "s_nationkey AS c_nationkey", "s_name AS c_name", "s_suppkey AS c_custkey"
     )
-    return union_models([t.nation, suppliers])
+    return union_models([t.customer.select("c_custkey", "c_name", "c_nationkey"), suppliers])
 
 
 @query(

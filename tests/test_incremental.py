@@ -1,11 +1,12 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from lamella import Table, compact_partitions, mart, preview, table_for, write_incremental
 from lamella.operators.incremental import default_unique_key, merge_frame
-from lamella.session import materialize, shared_folder
+from lamella.session import Workspace, shared_folder
 
 SCHEMA = "k int, v string, partition_daily date"
 
@@ -141,9 +142,15 @@ def test_mart_is_a_view(spark):
     assert preview(spark.range(500)).count() == 100 and preview(spark.range(500).limit(3)).count() == 3
 
 
-def test_staging_lies_in_the_shared_folder(spark):
-    df = materialize(spark.range(3), "test")
+def test_working_copies_lie_in_the_shared_folder_and_go_with_success(spark):
     folder = shared_folder(spark)
-    assert all(folder.removeprefix("file:") in f for f in df.inputFiles())
     assert folder == spark.conf.get("spark.checkpoint.dir", folder)
-    assert df.agg(F.sum("id")).first()[0] == 3
+    with Workspace(spark) as work:
+        df = work.materialize(spark.range(3), "test")
+        assert all(folder.removeprefix("file:") in f for f in df.inputFiles())
+        assert df.agg(F.sum("id")).first()[0] == 3
+    assert not Path(work.paths[0].removeprefix("file:")).exists()
+    with pytest.raises(RuntimeError), Workspace(spark) as work:
+        work.materialize(spark.range(3), "test")
+        raise RuntimeError
+    assert Path(work.paths[0].removeprefix("file:")).exists()
