@@ -9,7 +9,7 @@ last step, the replacement of partitions, leaves its computed copy in the shared
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from urllib.parse import unquote
 
@@ -32,12 +32,17 @@ STRATEGIES = ("delete+insert", "merge", "overwrite_existing_partitions", "append
 
 @dataclass(frozen=True)
 class Table:
-    """A stored model: where it lies and how it is partitioned."""
+    """A stored model: where it lies and how it is partitioned.
+
+    ``rebalance`` brings the rows of a partition together before they are written, which keeps
+    files large; switch it off for data that already comes that way.
+    """
 
     path: str
     partitions: tuple[str, ...] = ()
     format: str = "parquet"
     options: dict = field(default_factory=dict)
+    rebalance: bool = True
 
     def read(self, spark: SparkSession, schema: T.StructType | None = None) -> DataFrame:
         reader = spark.read.format(self.format).options(**self.options)
@@ -59,9 +64,8 @@ def table_for(df: DataFrame, path: str, partitions: Sequence[str] = NAMES.partit
 
 
 def _write(df: DataFrame, table: Table, mode: str, overwrite: str = "static") -> None:
-    # Rows of one partition are brought together to keep files large; adaptive execution splits
-    # partitions that are too big for one task, such as a very busy day.
-    if table.partitions:
+    # Adaptive execution splits partitions that are too big for one task, such as a very busy day.
+    if table.partitions and table.rebalance:
         df = df.hint("rebalance", *table.partitions)
     writer = df.write.format(table.format).options(**table.options).mode(mode)
     writer = writer.option("partitionOverwriteMode", overwrite)
@@ -214,7 +218,15 @@ def delete_insert(
 
 
 def _touched(target: DataFrame, new: DataFrame, keys, partitions) -> DataFrame:
-    """Partitions holding a row to be changed, plus those new rows go to."""
+    """Partitions holding a row to be changed, plus those new rows go to.
+
+    Partition columns that belong to the key limit the search; when all do, there is none.
+    """
+    shared = [p for p in partitions if p in keys]
+    if len(shared) == len(partitions):
+        return new.select(*partitions).distinct()
+    if shared:
+        target = _partition_filter(new.select(*shared).distinct(), shared)(target)
     hit = target.alias("t").join(
         new.select(*keys).distinct().alias("s"), _same(keys, "t", "s"), "left_semi"
     )
@@ -309,7 +321,7 @@ def compact_partitions(
         stored = stored.where(in_dates(F.col(ident(by)), wanted, stored.schema[by].dataType))
     size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(size)
-    packed = Table(table.path, table.partitions, table.format, {**table.options, "compression": codec})
+    packed = replace(table, options={**table.options, "compression": codec}, rebalance=True)
     with Workspace(spark) as work:
         rows = work.materialize(stored, "compact")
         try:

@@ -13,6 +13,12 @@ from lamella.operators.roles import ident
 # Slices each group is cut into before its values are ranked.
 SLICES = 256
 
+# Cut points compared one by one; the others are skipped by whole blocks.
+BLOCK = 16
+
+# Size of the sketch the cut points come from; its error only makes slices uneven.
+SKETCH_SIZE = 1024
+
 
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: Column, quantiles: Mapping[str, float], slices: int = SLICES
@@ -31,11 +37,16 @@ def exact_percentiles(
         .groupBy(*keys, "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    cuts = counted.groupBy(*keys).agg(F.percentile_approx("v", steps, slices * 4).alias("cuts"))
-    sliced = _on(counted, cuts, keys).select(
-        *keys, "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("slice")
-    )
+    # The positions of the cut points, as one constant.
+    steps = F.split(F.lit(",".join(str(i / slices) for i in range(1, slices))), ",").cast("array<double>")
+    sketch = F.kll_sketch_agg_double("v", F.lit(SKETCH_SIZE))
+    cuts = counted.groupBy(*keys).agg(F.kll_sketch_get_quantile_double(sketch, steps).alias("cuts"))
+    cuts = cuts.withColumn("marks", F.filter("cuts", lambda c, i: (i + 1) % BLOCK == 0))
+    # Cut points below a value: whole blocks by their last point, then within one block.
+    blocks = F.size(F.filter("marks", lambda c: c < F.col("v"))) * BLOCK
+    rest = F.filter(F.slice("cuts", F.col("blocks") + 1, F.lit(BLOCK)), lambda c: c < F.col("v"))
+    sliced = _on(counted, cuts, keys).select(*keys, "v", "n", "cuts", blocks.alias("blocks"))
+    sliced = sliced.select(*keys, "v", "n", (F.col("blocks") + F.size(rest)).alias("slice"))
 
     # Rows before each slice: one row per slice and group, at most ``slices`` per group.
     sizes = sliced.groupBy(*keys, "slice").agg(F.sum("n").alias("size"))

@@ -154,3 +154,27 @@ def test_working_copies_lie_in_the_shared_folder_and_go_with_success(spark):
         work.materialize(spark.range(3), "test")
         raise RuntimeError
     assert Path(work.paths[0].removeprefix("file:")).exists()
+
+
+def test_compaction_by_month_and_of_whole_tables(spark, tmp_path):
+    monthly = "k int, v string, partition_monthly date"
+    rows = lambda k, m: spark.createDataFrame([(k, "x", dt.date(2024, m, 1))], monthly)
+    by_month, whole = Table(str(tmp_path / "m"), ("partition_monthly",)), Table(str(tmp_path / "w"))
+    for table in (by_month, whole):
+        for k in range(3):
+            write_incremental(rows(k, 1).unionAll(rows(k, 2)).coalesce(1), table, "append")
+        # A date stands for its month; a table without dates is rewritten whole.
+        compact_partitions(spark, table, "2024-01-17")
+        assert table.read(spark).count() == 6
+    files = by_month.read(spark).inputFiles()
+    assert sum("2024-01-01" in f for f in files) == 1 and sum("2024-02-01" in f for f in files) == 3
+    assert len(whole.read(spark).inputFiles()) == 1
+
+
+def test_a_key_holding_the_partition_limits_the_search(spark, tmp_path):
+    stored = Table(str(tmp_path / "t"), ("partition_daily", "v"))
+    write_incremental(frame(spark, (1, "a", 1), (1, "a", 2), (2, "b", 1)), stored)
+    write_incremental(frame(spark, (1, "z", 1)), stored, "merge", unique_key=["k", "partition_daily"])
+    assert values(spark, stored) == [(1, "a", 2), (1, "z", 1), (2, "b", 1)]
+    write_incremental(frame(spark, (1, "z", 3)), stored, "merge", unique_key=["k", "v", "partition_daily"])
+    assert values(spark, stored) == [(1, "a", 2), (1, "z", 1), (1, "z", 3), (2, "b", 1)]

@@ -31,7 +31,7 @@ from lamella.operators.percentile import exact_percentiles
 from lamella.plans.metrics import INTERVALS, default_window, equals_text, metric_time_column
 
 
-def test_standard_metrics_fit_their_column():
+def test_standard_metrics_fit_their_column(spark):
     assert standard_metric("value_sum", "count") is None
     assert standard_metric("value", "max") is None
     assert standard_metric("value", "distinctcount") is None
