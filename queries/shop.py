@@ -233,12 +233,12 @@ def shop_revenue_mart(t):
     "shop_profitability_mart",
     f"""
     SELECT {day("o_orderdate")} AS order_date, {day("date_trunc('month', o_orderdate)")} AS order_year_month,
-        o_orderpriority AS priority, round(avg(o_totalprice), 4) AS avg_order_value_dollars,
-        CAST(count(*) AS BIGINT) AS order_count, round(sum(o_totalprice), 4) AS revenue_per_day,
+        o_orderpriority AS priority, round(avg(o_totalprice), 6) AS avg_order_value_dollars,
+        CAST(count(*) AS BIGINT) AS order_count, round(sum(o_totalprice), 6) AS revenue_per_day,
         CAST(count(*) AS BIGINT) AS source_row_count
     FROM orders GROUP BY ALL
     """,
-    digits=4,
+    digits=6,
 )
 def shop_profitability_mart(t):
     return select_model(

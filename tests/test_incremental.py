@@ -1,5 +1,6 @@
 import datetime as dt
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +179,25 @@ def test_a_key_holding_the_partition_limits_the_search(spark, tmp_path):
     assert values(spark, stored) == [(1, "a", 2), (1, "z", 1), (2, "b", 1)]
     write_incremental(frame(spark, (1, "z", 3)), stored, "merge", unique_key=["k", "v", "partition_daily"])
     assert values(spark, stored) == [(1, "a", 2), (1, "z", 1), (1, "z", 3), (2, "b", 1)]
+
+
+def _session(master, configured=None, current=None):
+    """Just enough of a session to ask for its shared folder."""
+    chosen = []
+    context = SimpleNamespace(
+        master=master, getCheckpointDir=lambda: (chosen or [current])[-1], setCheckpointDir=chosen.append
+    )
+    conf = SimpleNamespace(get=lambda key, default=None: configured if key == "spark.checkpoint.dir" else default)
+    return SimpleNamespace(sparkContext=context, conf=conf), chosen
+
+
+def test_the_shared_folder_is_the_configured_one():
+    session, chosen = _session("spark://host:7077", configured="/shared/ckpt")
+    assert shared_folder(session) == "/shared/ckpt" and chosen == ["/shared/ckpt"]
+    session, chosen = _session("yarn", current="/set/in/code")
+    assert shared_folder(session) == "/set/in/code" and not chosen
+    session, _ = _session("yarn")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)
+    session, chosen = _session("local[2]")
+    assert [shared_folder(session)] == chosen
