@@ -3,9 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lamella.llm import exact, simhash
-from lamella.llm.common import table
+from lamella.llm import exact, language, simhash, toxicity
+from lamella.llm.common import held_out, table
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels that are not held out."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.fitted(docs, table(spark, folder, "labels"), folds=5, held=0)
+    return toxicity.scored(docs.select("doc_id", "text"), "score", model).select(
+        "doc_id",
+        held_out(F.col("doc_id"), 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
 
 
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -13,12 +26,20 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_duplicates(table(spark, folder, "documents"), words=3, radius=3)
 
 
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of all documents, learned from those that are not held out."""
+    docs = table(spark, folder, "documents")
+    model = language.fitted(docs, folds=4, held=2)
+    found = language.identified(docs.select("doc_id", "text"), "found", model)
+    return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "found.*")
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal texts of all documents."""
     return exact.exact_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op4_exact_dedup": op4_exact_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_language": op3_language, "op4_exact_dedup": op4_exact_dedup}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
