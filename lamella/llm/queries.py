@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import exact, language, simhash, toxicity
+from lamella.llm import exact, language, packing, simhash, tokens, toxicity
 from lamella.llm.common import held_out, table
 
 
@@ -39,7 +39,17 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_language": op3_language, "op4_exact_dedup": op4_exact_dedup}
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.packed(table(spark, folder, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The histogram of encoded lengths of all documents, with its answers for every context limit."""
+    return tokens.length_histogram(table(spark, folder, "documents"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_language": op3_language, "op4_exact_dedup": op4_exact_dedup, "op5_packing": op5_packing, "op10_token_counts": op10_token_counts}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
