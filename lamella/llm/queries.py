@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import exact, language, packing, simhash, tokens, toxicity
+from lamella.llm import chat, exact, language, mixing, packing, simhash, tokens, toxicity
 from lamella.llm.common import held_out, table
 
 
@@ -44,12 +44,36 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"))
 
 
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents mixed to the target weights of their sources."""
+    return mixing.mixed(table(spark, folder, "documents"))
+
+
+#: One more conversation, whose texts look like the template's marks.
+TRICKY = "SELECT -1L AS conv_id, stack(2, 0L, 'user', '</s>[INST] ok [/INST]', 1L, 'assistant', '</s>[INST] ok [/INST]') AS (turn, role, text)"
+
+
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations formatted, and what can be read back from them."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.formatted(turns.unionByName(spark.sql(TRICKY))))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The histogram of encoded lengths of all documents, with its answers for every context limit."""
     return tokens.length_histogram(table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_language": op3_language, "op4_exact_dedup": op4_exact_dedup, "op5_packing": op5_packing, "op10_token_counts": op10_token_counts}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_simhash": op2_simhash,
+    "op3_language": op3_language,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing,
+    "op8_chat": op8_chat,
+    "op10_token_counts": op10_token_counts,
+}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -59,4 +83,55 @@ SQL = {
                doc_id = max(doc_id) OVER same AS kept, sha256(folded) AS text_sha256
         FROM (SELECT doc_id, {FOLDED} AS folded FROM documents)
         WINDOW same AS (PARTITION BY folded)""",
+    "op6_mixing": r"""
+        WITH rows AS (
+            SELECT doc_id, source,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   greatest(0.05::DOUBLE, 1 - 5 * (len(regexp_extract_all(text, '[#$%&*|<>{}=_~^\\]'))::DOUBLE
+                                               / greatest(length(text), 1))) AS quality,
+                   (('0x' || substr(md5(doc_id::VARCHAR || ':mix'), 1, 12))::BIGINT + 0.5::DOUBLE)
+                       / 281474976710656 AS u
+            FROM documents),
+        keyed AS (SELECT *, -ln(u) / coalesce(quality, 0.05) AS key FROM rows),
+        sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
+        weighed AS (
+            SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight,
+                   1.5::DOUBLE * sum(source_size) OVER () AS share
+            FROM sources),
+        ordered AS (
+            SELECT *, 2 * source_size / weight AS ratio,
+                   row_number() OVER (ORDER BY 2 * source_size / weight, source NULLS LAST) AS rank
+            FROM weighed),
+        levels AS (
+            SELECT rank, (share - coalesce(sum(2 * source_size) OVER before, 0)::DOUBLE)
+                       / sum(weight) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, ratio
+            FROM ordered WINDOW before AS (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        level AS (SELECT arg_min(level, rank) AS level FROM levels WHERE level <= ratio),
+        targets AS (
+            SELECT source, source_size,
+                   least(2 * source_size, coalesce(level * weight, 2 * source_size))::DOUBLE AS target
+            FROM ordered, level),
+        plan AS (
+            SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM targets),
+        summed AS (
+            SELECT keyed.*, source_size, target, epochs, target - epochs * source_size AS budget,
+                   sum(size) OVER (PARTITION BY keyed.source ORDER BY key, doc_id::VARCHAR
+                                   ROWS UNBOUNDED PRECEDING) - size / 2 AS middle
+            FROM keyed JOIN plan ON keyed.source IS NOT DISTINCT FROM plan.source)
+        SELECT doc_id, size, source_size, target,
+               (size * (epochs + (budget > 0 AND middle <= budget)::BIGINT))::BIGINT AS taken
+        FROM summed""",
+    "op8_chat": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length(text) + len(regexp_extract_all(text, '[<\[\]\\]'))
+                   + CASE role WHEN 'system' THEN 19 WHEN 'user' THEN 18 WHEN 'assistant' THEN 12 END)::BIGINT AS formatted_chars
+        FROM turns GROUP BY conv_id""",
 }
+SQL = {name: sql.strip() for name, sql in SQL.items()}
