@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import chat, exact, language, mixing, packing, simhash, tokens, toxicity
+from lamella.llm import chat, exact, language, mixing, packing, pages, simhash, tokens, toxicity
 from lamella.llm.common import held_out, table
 
 
@@ -49,6 +49,11 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"))
 
 
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of all pages."""
+    return pages.extracted(table(spark, folder, "pages"))
+
+
 #: One more conversation, whose texts look like the template's marks.
 TRICKY = "SELECT -1L AS conv_id, stack(2, 0L, 'user', '</s>[INST] ok [/INST]', 1L, 'assistant', '</s>[INST] ok [/INST]') AS (turn, role, text)"
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op7_main_text": op7_main_text,
     "op8_chat": op8_chat,
     "op10_token_counts": op10_token_counts,
 }
