@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import chat, exact, language, mixing, packing, pages, simhash, tokens, toxicity
+from lamella.llm import chat, embeddings, exact, language, mixing, packing, pages, simhash, tokens, toxicity
 from lamella.llm.common import held_out, table
 
 
@@ -64,6 +64,11 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.formatted(turns.unionByName(spark.sql(TRICKY))))
 
 
+def op9_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.9 or more."""
+    return embeddings.linked(table(spark, folder, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The histogram of encoded lengths of all documents, with its answers for every context limit."""
     return tokens.length_histogram(table(spark, folder, "documents"))
@@ -78,6 +83,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_main_text": op7_main_text,
     "op8_chat": op8_chat,
+    "op9_embeddings": op9_embeddings,
     "op10_token_counts": op10_token_counts,
 }
 
