@@ -138,7 +138,7 @@ def token_counts(path: str = TOKENIZER):
     return F.pandas_udf(each, "long")
 
 
-def length_histogram(df: DataFrame, text: str = "text", path: str = TOKENIZER, block: int = 1024) -> DataFrame:
+def length_histogram(df: DataFrame, text: str = "text", path: str = TOKENIZER, block: int = 128) -> DataFrame:
     """For every encoded length that occurs, exact answers for a context limit of that many tokens.
 
     Columns: length, n_docs (of this length), docs_at_most, docs_at_least, tokens_at_least (tokens of those documents),
