@@ -178,9 +178,11 @@ class Traversal:
             to = at + max(1, int(np.searchsorted(np.cumsum(total[at:]), STEP, side="right")))
             if to == at + 1 and total[at] > STEP:
                 rows = max(1, STEP // int(nb[at]))
+                own = self.same and x[at] == y[at]
                 for r in range(0, int(na[at]), rows):
                     i = np.arange(first_a[x[at]] + r, min(first_a[x[at]] + r + rows, first_a[x[at] + 1]))
-                    yield self._dense(level + 1, i, np.arange(first_b[y[at]], first_b[y[at] + 1]))
+                    j = np.arange(i[0] if own else first_b[y[at]], first_b[y[at] + 1])
+                    yield from self._dense(level + 1, i, j)
             else:
                 part = slice(at, to)
                 of = np.repeat(np.arange(to - at), total[part])
@@ -192,10 +194,15 @@ class Traversal:
         """Of all pairs of two ranges of nodes, those not too far apart, by one product of matrices."""
         ca, ra = self.a.levels[level][2:4]
         cb, rb = self.b.levels[level][2:4]
-        dots = self.a.single[ca[i]] @ self.b.single[cb[j]].T
-        widest = self.s.reach + SLACK + float(ra[i].max(initial=0) + rb[j].max(initial=0))
-        x, y = np.nonzero(dots >= 1 - widest * widest / 2)
-        return i[x], j[y]
+        # Nodes of one vector have no radius. They are most of the nodes in data without structure, and need
+        # one threshold for each of the other side's nodes instead of one for each pair.
+        for rows in (i[ra[i] == 0], i[ra[i] > 0]):
+            if len(rows):
+                dots = self.a.single[ca[rows]] @ self.b.single[cb[j]].T
+                spread = rb[j][None, :] if ra[rows[0]] == 0 else ra[rows][:, None] + rb[j][None, :]
+                least = (1 - (self.s.reach + SLACK + spread) ** 2 / 2).astype(np.float32)
+                found = np.flatnonzero(dots >= least)
+                yield rows[found // len(j)], j[found % len(j)]
 
     def _near(self, level: int, i: np.ndarray, j: np.ndarray):
         """Drop pairs that are too far apart; count and drop those that are linked as a whole."""
