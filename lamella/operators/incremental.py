@@ -9,6 +9,7 @@ last step, the replacement of partitions, leaves its computed copy in the shared
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from urllib.parse import unquote
@@ -23,8 +24,8 @@ from lamella.operators.dates import in_dates, month_starts, parse_dates
 from lamella.operators.roles import ident
 from lamella.session import Workspace, remove
 
-# More touched partitions than this are found with a join instead of literals.
-MAX_LISTED_PARTITIONS = 10_000
+# Formats whose folders hold nothing but data files, so that a folder may be removed.
+PLAIN_FORMATS = ("parquet", "orc", "avro", "csv", "json", "text")
 
 # The strategies of an incremental model.
 STRATEGIES = ("delete+insert", "merge", "overwrite_existing_partitions", "append", "full_refresh")
@@ -48,14 +49,19 @@ class Table:
         reader = spark.read.format(self.format).options(**self.options)
         return (reader.schema(schema) if schema is not None else reader).load(self.path)
 
-    def stored(self, spark: SparkSession, schema: T.StructType) -> DataFrame | None:
-        """The table's rows, or None when nothing was written yet; no job infers a schema."""
+    def stored(self, spark: SparkSession, new: T.StructType) -> DataFrame | None:
+        """The table's rows under its own schema, or None when nothing was written yet.
+
+        Partition columns have no stored type; they take that of the new rows.
+        """
         try:
-            return self.read(spark, schema)
+            own = self.read(spark).schema
         except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
+            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
+        typed = [new[f.name] if f.name in self.partitions and f.name in new.names else f for f in own]
+        return self.read(spark, T.StructType(typed))
 
 
 def table_for(df: DataFrame, path: str, partitions: Sequence[str] = NAMES.partitions, **kwargs) -> Table:
@@ -72,9 +78,21 @@ def _write(df: DataFrame, table: Table, mode: str, overwrite: str = "static") ->
     (writer.partitionBy(*table.partitions) if table.partitions else writer).save(table.path)
 
 
+def _reads(df: DataFrame, table: Table) -> bool:
+    """Whether ``df`` is computed from the table's own files."""
+    own = table.path.split(":", 1)[-1].replace("//", "/").rstrip("/") + "/"
+    return any(f.split(":", 1)[-1].replace("//", "/").startswith(own) for f in df.inputFiles())
+
+
+def _detached(df: DataFrame, table: Table, work: Workspace) -> DataFrame:
+    """``df``, or a copy of it when it reads the files that are about to be replaced."""
+    return work.materialize(df, "detached") if _reads(df, table) else df
+
+
 def full_refresh(df: DataFrame, table: Table) -> None:
-    """Rebuild the table from scratch."""
-    _write(df, table, "overwrite")
+    """Rebuild the table from scratch, also from its own rows."""
+    with Workspace(df.sparkSession) as work:
+        _write(_detached(df, table, work), table, "overwrite")
 
 
 def append(df: DataFrame, table: Table) -> None:
@@ -86,7 +104,8 @@ def overwrite_partitions(df: DataFrame, table: Table) -> None:
     """Replace exactly the partitions present in ``df``."""
     if not table.partitions:
         raise ValueError("only a partitioned table can have partitions replaced")
-    _write(df, table, "overwrite", "dynamic")
+    with Workspace(df.sparkSession) as work:
+        _write(_detached(df, table, work), table, "overwrite", "dynamic")
 
 
 def default_unique_key(partitions: Sequence[str], names: Names = NAMES) -> list[str]:
@@ -102,11 +121,25 @@ def _same(keys: Sequence[str], left: str, right: str, null_safe: bool = False) -
     return reduce(lambda a, b: a & b, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
 
 
+def _null_key(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(ident(k)).isNull() for k in keys])
+
+
+def check_columns(new: DataFrame, target: DataFrame, named: Sequence[str] = ()) -> None:
+    """Columns the table does not have are an error, whether the new rows or the caller name them."""
+    unknown = [c for c in [*new.columns, *named] if c not in target.columns]
+    if unknown:
+        raise ValueError(f"the table has no columns {sorted(set(unknown))}; add them by a full refresh")
+
+
 def delete_insert_frame(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """State after deleting rows whose key is in ``new`` and adding ``new`` (duplicates kept)."""
+    """State after deleting rows whose key is in ``new`` and adding ``new`` (duplicates kept).
+
+    Columns that ``new`` lacks are null in the rows it adds. A null key deletes nothing.
+    """
     doomed = new.select(*keys).distinct()
     kept = target.alias("t").join(doomed.alias("s"), _same(keys, "t", "s"), "left_anti")
-    return kept.unionByName(new)
+    return kept.unionByName(new, allowMissingColumns=True)
 
 
 def merge_frame(
@@ -118,58 +151,53 @@ def merge_frame(
 ) -> DataFrame:
     """State after an upsert on ``keys``.
 
-    Matched rows take all columns from ``new``, only ``update_columns``, or all but
-    ``exclude_columns``; unmatched new rows are inserted whole. A null key matches nothing.
+    Matched rows take all columns of ``new``, only ``update_columns``, or all but
+    ``exclude_columns``; unmatched new rows are inserted whole. Columns that ``new`` lacks keep
+    their stored value, and are null in inserted rows. A null key matches nothing; such rows are
+    spread by a number of their own, so that they do not meet in one task.
     """
     if update_columns and exclude_columns:
         raise ValueError("give update_columns or exclude_columns, not both")
+    check_columns(new, target, [*(update_columns or ()), *(exclude_columns or ())])
     columns = target.columns
-    updated = set(update_columns or [c for c in columns if c not in (exclude_columns or ())])
+    updated = set(update_columns or [c for c in columns if c not in (exclude_columns or ())]) & set(new.columns)
     here = F.col(ident("t", "merge side")).isNotNull()
     there = F.col(ident("s", "merge side")).isNotNull()
-    marked = F.lit(True).alias("merge side")
-    joined = (
-        target.select("*", marked)
-        .alias("t")
-        .join(new.select("*", marked).alias("s"), _same(keys, "t", "s"), "full")
-    )
+    alone = F.when(_null_key(keys), F.monotonically_increasing_id() + 1).otherwise(0)
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.select("*", F.lit(True).alias("merge side"), alone.alias("merge spread"))
+
+    same = _same([*keys, "merge spread"], "t", "s")
+    joined = marked(target).alias("t").join(marked(new).alias("s"), same, "full")
 
     def pick(name: str) -> Column:
-        old, fresh = F.col(ident("t", name)), F.col(ident("s", name))
+        old = F.col(ident("t", name))
+        if name not in new.columns:
+            return old.alias(name)
+        fresh = F.col(ident("s", name))
         chosen = F.when(there, fresh).otherwise(old) if name in updated else F.when(here, old).otherwise(fresh)
         return chosen.alias(name)
 
     return joined.select(*[pick(c) for c in columns])
 
 
-def _partition_filter(touched: DataFrame, partitions: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
-    """A filter on the touched partitions, pruned by literals while those are few."""
-    rows = touched.limit(MAX_LISTED_PARTITIONS + 1).collect()
-    listed = rows if len(rows) <= MAX_LISTED_PARTITIONS else None
-
-    def keep(df: DataFrame) -> DataFrame:
-        for p in partitions if listed is not None else ():
-            values = {r[p] for r in listed}
-            column = F.col(ident(p))
-            found = column.isin([F.lit(v) for v in values if v is not None])
-            df = df.where(found | column.isNull() if None in values else found)
-        if listed is not None and len(partitions) == 1:
-            return df
-        # The values of each column prune folders; the join picks the exact combinations.
-        return df.alias("t").join(touched.alias("s"), _same(partitions, "t", "s", True), "left_semi")
-
-    return keep
-
+def _in_partitions(df: DataFrame, touched: DataFrame, partitions: Sequence[str]) -> DataFrame:
+    """Rows of the touched partitions.
 
-def _replace(table: Table, before: DataFrame, after: DataFrame) -> None:
-    """Put ``after`` in the place of ``before`` (partition columns and folders): rewrite the
-    partitions that still have rows and remove those that lost their last one."""
-    left = after.select(*table.partitions).distinct()
-    gone = before.alias("t").join(left.alias("s"), _same(table.partitions, "t", "s", True), "left_anti")
-    emptied = [unquote(r["folder"]) for r in gone.collect()]
-    overwrite_partitions(after, table)
-    for path in emptied:
-        remove(after.sparkSession, path)
+    The values of each column are listed in the plan, so that other folders are not read; there
+    are no more of them than folders of the table. With several columns a join picks the
+    combinations that occur.
+    """
+    rows = touched.select(*partitions).distinct().collect()
+    for p in partitions:
+        values = {r[p] for r in rows}
+        column = F.col(ident(p))
+        found = column.isin([F.lit(v) for v in values if v is not None])
+        df = df.where(found | column.isNull() if None in values else found)
+    if len(partitions) == 1:
+        return df
+    return df.alias("t").join(touched.alias("s"), _same(partitions, "t", "s", True), "left_semi")
 
 
 def _rewrite(
@@ -180,15 +208,36 @@ def _rewrite(
     change: Callable[[DataFrame], DataFrame],
     work: Workspace,
 ) -> None:
-    """Apply ``change`` to the partitions of ``target`` that ``new`` touches."""
-    if not table.partitions:
+    """Apply ``change`` to the partitions of ``target`` that ``new`` touches.
+
+    The table's keys are read once, to find those partitions and their folders; after that only
+    the touched partitions are read. Partitions that lose their last row lose their folder.
+    """
+    parts = table.partitions
+    if not parts:
         _write(work.materialize(change(target), "changed"), table, "overwrite")
         return
-    parts = table.partitions
-    keep = _partition_filter(_touched(target, new, keys, parts), parts)
-    changed = work.materialize(change(keep(target)), "changed")
+    if table.format not in PLAIN_FORMATS:
+        raise ValueError(f"rewriting partitions needs plain files, not {table.format!r}")
     folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]+$", 1).alias("folder")
-    _replace(table, keep(target.select(*parts, folder)).distinct(), changed)
+    shared = [p for p in parts if p in keys]
+    searched = target.select(*dict.fromkeys([*keys, *parts]), folder)
+    if shared:
+        searched = _in_partitions(searched, new.select(*shared).distinct(), shared)
+    found = searched.alias("t")
+    if set(shared) != set(keys):
+        found = found.join(new.select(*keys).distinct().alias("s"), _same(keys, "t", "s"), "left_semi")
+    hit = work.materialize(found.select(*parts, "folder").distinct(), "touched")
+    goals = new.select(*parts).distinct()
+    touched = work.materialize(hit.select(*parts).unionByName(goals).distinct(), "partitions")
+    # Where the new rows go, stored rows may lie in folders that the search by key did not meet.
+    changed = work.materialize(change(_in_partitions(target, touched, parts)), "changed")
+    left = changed.select(*parts).distinct()
+    gone = hit.alias("t").join(left.alias("s"), _same(parts, "t", "s", True), "left_anti")
+    emptied = [unquote(r["folder"]) for r in gone.select("folder").distinct().collect()]
+    overwrite_partitions(changed, table)
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda path: remove(new.sparkSession, path), emptied))
 
 
 def delete_insert(
@@ -197,7 +246,8 @@ def delete_insert(
     """Delete stored rows whose key appears in ``df``, then insert ``df``.
 
     The default key is the daily partition, else the monthly one, else all partition columns.
-    Where the key decides the partition, whole partitions are replaced and nothing is read.
+    Where the key decides the partition, whole partitions are replaced and nothing is read; rows
+    with a null key delete nothing and are added.
     """
     spark = df.sparkSession
     keys = list(unique_key) if unique_key else default_unique_key(table.partitions, names)
@@ -207,32 +257,19 @@ def delete_insert(
     if target is None:
         full_refresh(df, table)
         return
+    check_columns(df, target)
     # A day lies in one month, so a daily key decides a (monthly, daily) partition.
     decided = {*keys, names.monthly} if names.daily in keys else set(keys)
-    if set(keys) <= set(table.partitions) <= decided:
-        overwrite_partitions(df, table)
-        return
     with Workspace(spark) as work:
+        if set(keys) <= set(table.partitions) <= decided:
+            new = _detached(df, table, work)
+            overwrite_partitions(new.where(~_null_key(keys)), table)
+            append(new.where(_null_key(keys)), table)
+            return
         new = work.materialize(df, "new")
         _rewrite(table, target, new, keys, lambda old: delete_insert_frame(old, new, keys), work)
 
 
-def _touched(target: DataFrame, new: DataFrame, keys, partitions) -> DataFrame:
-    """Partitions holding a row to be changed, plus those new rows go to.
-
-    Partition columns that belong to the key limit the search; when all do, there is none.
-    """
-    shared = [p for p in partitions if p in keys]
-    if len(shared) == len(partitions):
-        return new.select(*partitions).distinct()
-    if shared:
-        target = _partition_filter(new.select(*shared).distinct(), shared)(target)
-    hit = target.alias("t").join(
-        new.select(*keys).distinct().alias("s"), _same(keys, "t", "s"), "left_semi"
-    )
-    return hit.select(*partitions).unionByName(new.select(*partitions)).distinct()
-
-
 def merge(
     df: DataFrame,
     table: Table,
@@ -253,6 +290,7 @@ def merge(
         if target is None:
             full_refresh(new, table)
             return
+        check_columns(new, target, [*(update_columns or ()), *(exclude_columns or ())])
 
         def change(old: DataFrame) -> DataFrame:
             return merge_frame(old, new, keys, update_columns, exclude_columns)
@@ -319,14 +357,12 @@ def compact_partitions(
         days = parse_dates(dates)
         wanted = month_starts(days) if by == names.monthly else days
         stored = stored.where(in_dates(F.col(ident(by)), wanted, stored.schema[by].dataType))
-    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    before = spark.conf.get(size)
+    # The size of files is set in a session of its own, so other jobs keep theirs.
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(file_bytes))
     packed = replace(table, options={**table.options, "compression": codec}, rebalance=True)
     with Workspace(spark) as work:
         rows = work.materialize(stored, "compact")
-        try:
-            spark.conf.set(size, str(file_bytes))
-            rebalanced = rows if table.partitions else rows.hint("rebalance")
-            _write(rebalanced, packed, "overwrite", "dynamic" if table.partitions else "static")
-        finally:
-            spark.conf.set(size, before)
+        rows = own.read.schema(rows.schema).parquet(work.paths[-1])
+        rebalanced = rows if table.partitions else rows.hint("rebalance")
+        _write(rebalanced, packed, "overwrite", "dynamic" if table.partitions else "static")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the models rely on. Join skew is split even where that costs one more
@@ -14,13 +17,15 @@ TUNING = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Sketch aggregates keep hashing instead of falling back to a sort after 128 groups.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
 }
 
 
+# Folders to delete when the program ends.
+_OWNED: set[str] = set()
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings above to a running session."""
     for key, value in TUNING.items():
@@ -45,13 +50,16 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="lamella-")
+    _OWNED.add(folder)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def working_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/lamella/{label}-{uuid.uuid4().hex}"
+    """A new, unused path under the shared folder, kept until the program ends."""
+    own = f"{shared_folder(spark).rstrip('/')}/lamella/{spark.sparkContext.applicationId}"
+    _OWNED.add(own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 class Workspace:
@@ -83,5 +91,21 @@ class Workspace:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through the file system it lies in."""
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
+    _delete(spark.sparkContext._jvm, path, spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(jvm, path: str, configuration) -> None:
+    location = jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(configuration).delete(location, True)
+
+
+def clean_up() -> None:
+    """Delete the folders this program has worked in; runs by itself when it ends."""
+    jvm = SparkContext._jvm
+    while _OWNED:
+        path = _OWNED.pop()
+        with suppress(Exception):  # a folder left behind must not turn a finished job into a failed one
+            _delete(jvm, path, jvm.org.apache.hadoop.conf.Configuration())
+
+
+atexit.register(clean_up)

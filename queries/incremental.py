@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lamella import compact_partitions, select_model, stage_source, table_for, write_incremental
+from lamella import compact_partitions, fct, mart, select_model, stage_source, table_for, write_incremental
 from lamella.operators.incremental import Table
 from lamella.session import working_path
 from queries.base import ORDERS, day, query, staged_events
@@ -225,3 +225,94 @@ def hooks_and_mart(t):
     return select_model(
         stored.select("event_type", "source_row_count"), ["event_type"], group_by="dims", layer="mart"
     )
+
+
+@query(
+    "merge_fewer_columns",
+    f"""
+    WITH base AS ({_BASE})
+    SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > 300000 THEN 'N' ELSE o_orderstatus END AS o_orderstatus,
+        round(o_totalprice, 2) AS o_totalprice, partition_monthly FROM base WHERE o_orderstatus <> 'F'
+    UNION ALL SELECT o_orderkey, NULL, 'N', NULL, partition_monthly FROM base
+        WHERE o_orderstatus = 'F' AND o_totalprice > 300000
+    """,
+)
+def merge_fewer_columns(t):
+    # New rows know a key and a status; all else of a stored row stays.
+    orders = _orders(t)
+    table = _stored(t, orders.where("o_orderstatus <> 'F'"), "merge-fewer")
+    fresh = _changed(orders).where("o_totalprice > 300001").select("o_orderkey", "o_orderstatus", "partition_monthly")
+    write_incremental(fresh, table, "merge", unique_key="o_orderkey")
+    return table.read(t.spark, orders.schema)
+
+
+@query(
+    "delete_insert_fewer_columns",
+    f"""
+    WITH base AS ({_BASE}), fresh AS (SELECT * FROM base WHERE o_totalprice > 450000)
+    {_SHOW} FROM base WHERE o_custkey NOT IN (SELECT o_custkey FROM fresh)
+    UNION ALL SELECT o_orderkey, o_custkey, NULL, round(o_totalprice, 2), partition_monthly FROM fresh
+    """,
+)
+def delete_insert_fewer_columns(t):
+    orders = _orders(t)
+    table = _stored(t, orders, "delete-insert-fewer")
+    fresh = orders.where("o_totalprice > 450000").drop("o_orderstatus")
+    write_incremental(fresh, table, "delete+insert", unique_key="o_custkey")
+    return table.read(t.spark, orders.schema)
+
+
+@query(
+    "delete_insert_null_day",
+    """
+    SELECT event_type, CASE WHEN event_type <> 'error' THEN strftime(ts, '%Y-%m-%d') END AS partition_daily,
+        CAST(count(*) * CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS BIGINT) AS n
+    FROM events WHERE event_type = 'error' OR CAST(ts AS DATE) <> DATE '2024-01-10' OR hour(ts) < 12 GROUP BY 1, 2
+    """,
+)
+def delete_insert_null_day(t):
+    # Rows without a day are stored beside the others; new ones join them, and replace nothing.
+    events = staged_events(t).drop("partition_hourly", "partition_monthly")
+    known = F.when(F.col("event_type") != "error", F.col("partition_daily"))
+    events = events.withColumn("partition_daily", known)
+    table = table_for(events, working_path(t.spark, "null-day"))
+    write_incremental(events, table, refresh=True)
+    again = events.where("(partition_daily = date'2024-01-10' and hour(datetime) < 12) or partition_daily is null")
+    write_incremental(again, table)
+    stored = table.read(t.spark, events.schema)
+    return stored.groupBy("event_type", "partition_daily").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "refresh_from_itself",
+    "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1",
+)
+def refresh_from_itself(t):
+    orders = _orders(t)
+    table = _stored(t, orders, "refresh-itself")
+    write_incremental(table.read(t.spark, orders.schema).where("o_orderstatus <> 'P'"), table, "full_refresh")
+    return table.read(t.spark, orders.schema).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "compact_months",
+    f"""SELECT {day("date_trunc('month', o_orderdate)")} AS partition_monthly, CAST(count(*) AS BIGINT) AS n,
+        round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""",
+)
+def compact_months(t):
+    orders = _orders(t)
+    table = table_for(orders, working_path(t.spark, "compact-months"))
+    for part in ("o_orderkey % 2 = 0", "o_orderkey % 2 = 1"):
+        write_incremental(orders.where(part), table, "append")
+    compact_partitions(t.spark, table, "1996-02-10~1996-04-20")
+    stored = table.read(t.spark, orders.schema)
+    return stored.groupBy("partition_monthly").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+
+
+@query(
+    "publish_mart",
+    "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1 HAVING count(*) > 10",
+)
+def publish_mart(t):
+    mart(select_model(t.events, ["event_type", fct("n", "count(*)")]), "events_by_type")
+    return t.spark.sql("SELECT event_type, n FROM events_by_type WHERE n > 10")

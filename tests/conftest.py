@@ -8,6 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from lamella import tune  # noqa: E402
+from lamella.session import clean_up  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -23,6 +24,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("OFF")
     yield tune(session)
+    clean_up()
     session.stop()
 
 

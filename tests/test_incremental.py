@@ -1,4 +1,5 @@
 import datetime as dt
+from dataclasses import replace
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -6,7 +7,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella import Table, compact_partitions, mart, preview, table_for, write_incremental
-from lamella.operators.incremental import default_unique_key, merge_frame
+from lamella.operators.incremental import (
+    _rewrite,
+    default_unique_key,
+    delete_insert,
+    full_refresh,
+    merge,
+    merge_frame,
+    overwrite_partitions,
+)
 from lamella.session import Workspace, shared_folder
 
 SCHEMA = "k int, v string, partition_daily date"
@@ -201,3 +210,50 @@ def test_the_shared_folder_is_the_configured_one():
         shared_folder(session)
     session, chosen = _session("local[2]")
     assert [shared_folder(session)] == chosen
+
+
+def test_columns_a_table_does_not_have_are_refused(spark, tmp_path):
+    table = Table(str(tmp_path / "t"), ("p",))
+    full_refresh(spark.createDataFrame([(1, 10, "a"), (2, 20, "a")], "k int, v int, p string"), table)
+    fresh = spark.createDataFrame([(1, 11, 5, "a")], "k int, v int, w int, p string")
+    for act in (lambda: merge(fresh, table, "k"), lambda: delete_insert(fresh, table, ["k"]), lambda: delete_insert(fresh, table)):
+        with pytest.raises(ValueError, match="w"):
+            act()
+    for option in ("update_columns", "exclude_columns"):
+        with pytest.raises(ValueError, match="nope"):
+            merge(fresh.drop("w"), table, "k", **{option: ["nope"]})
+    assert sorted(r["v"] for r in table.read(spark).collect()) == [10, 20]
+
+
+def test_rows_keep_what_new_rows_do_not_say(spark, tmp_path):
+    table = Table(str(tmp_path / "t"), ("p",))
+    full_refresh(spark.createDataFrame([(1, 10, 7, "a"), (2, 20, 8, "a")], "k int, v int, w int, p string"), table)
+    merge(spark.createDataFrame([(1, 11, "a"), (3, 30, "b")], "k int, v int, p string"), table, "k")
+    found = sorted(tuple(r) for r in table.read(spark).select("k", "v", "w", "p").collect())
+    assert found == [(1, 11, 7, "a"), (2, 20, 8, "a"), (3, 30, None, "b")]
+
+
+def test_null_keys_match_nothing_and_are_kept(spark, tmp_path):
+    table = Table(str(tmp_path / "t"), ("p",))
+    full_refresh(spark.createDataFrame([(1, None), (None, "a"), (3, "a")], "k int, p string"), table)
+    merge(spark.createDataFrame([(None, "a"), (3, "a")], "k int, p string"), table, "k")
+    delete_insert(spark.createDataFrame([(9, None)], "k int, p string"), table, ["p"])
+    found = sorted(((r["k"], r["p"]) for r in table.read(spark).collect()), key=repr)
+    assert found == sorted([(1, None), (9, None), (None, "a"), (None, "a"), (3, "a")], key=repr)
+
+
+def test_a_table_can_be_refreshed_from_itself(spark, tmp_path):
+    table = Table(str(tmp_path / "t"), ("p",))
+    full_refresh(spark.createDataFrame([(1, "a"), (2, "b")], "k int, p string"), table)
+    full_refresh(table.read(spark).where("k > 1"), table)
+    assert [tuple(r) for r in table.read(spark).collect()] == [(2, "b")]
+    overwrite_partitions(table.read(spark).selectExpr("k + 1 as k", "p"), table)
+    assert [tuple(r) for r in table.read(spark).collect()] == [(3, "b")]
+
+
+def test_folders_of_table_formats_are_left_alone(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "k int, p string")
+    table = Table(str(tmp_path / "t"), ("p",))
+    full_refresh(rows, table)
+    with pytest.raises(ValueError, match="plain files"):
+        _rewrite(replace(table, format="delta"), table.read(spark), rows, ["k"], lambda old: old, None)
