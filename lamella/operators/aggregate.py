@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamella.functions import sketches
 from lamella.names import AGGS
 
-_AGGREGATE_CALL = re.compile(r"\b(" + "|".join(AGGS) + r")\(([^)]+)\)", re.IGNORECASE)
-_WINDOW = re.compile(r"\s*over\s*\(", re.IGNORECASE)
-
-
 def suffix_agg(name: str) -> str | None:
     """The aggregation a column carries in its name, if any."""
     stem, _, tail = name.rpartition("_")
@@ -46,8 +41,21 @@ def agg_column(agg: str, column: Column, source: str, data_type: T.DataType | No
     raise ValueError(f"unknown aggregation {agg!r}, expected one of {AGGS}")
 
 
-def is_aggregate_expr(expr: str | Column | None) -> bool:
-    """Whether SQL text calls an aggregate that is not part of a window expression."""
-    if not isinstance(expr, str):
+def is_aggregate_expr(df: DataFrame, expr: str | Column | None) -> bool:
+    """Whether an expression over ``df`` aggregates rows, as Spark's analyzer sees it.
+
+    Beside another column an aggregate is refused unless the select groups; a window expression is
+    not. Nothing runs.
+    """
+    if expr is None:
         return False
-    return any(not _WINDOW.match(expr, found.end()) for found in _AGGREGATE_CALL.finditer(expr))
+    column = F.expr(expr) if isinstance(expr, str) else expr
+    # A generated column is no constant, so it cannot stand beside a global aggregate.
+    beside = df.withColumn("beside aggregate", F.monotonically_increasing_id())
+    try:
+        beside.select(F.col("`beside aggregate`"), column.alias("aggregate"))
+    except AnalysisException as error:
+        if error.getCondition() in ("MISSING_GROUP_BY", "MISSING_AGGREGATION"):
+            return True
+        raise
+    return False

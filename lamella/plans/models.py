@@ -29,14 +29,8 @@ from lamella.operators.select import (
 from lamella.operators.unnest import unnest
 
 
-def _aggregates(select: Sequence | None, group_by, rollup) -> bool:
-    explicit, by_dims = group_keys(group_by)
-    return bool(
-        rollup
-        or explicit
-        or by_dims
-        or any(isinstance(i, Item) and (i.aggs or is_aggregate_expr(i.expr)) for i in select or ())
-    )
+def _computes_aggregate(df: DataFrame, select: Sequence | None) -> bool:
+    return any(isinstance(i, Item) and not i.aggs and is_aggregate_expr(df, i.expr) for i in select or ())
 
 
 def _outputs(
@@ -114,12 +108,15 @@ def _model(
     names: Names = NAMES,
 ) -> DataFrame:
     partitions = tuple(partitions or names.partitions)
+    computed = _computes_aggregate(df, select)
+    explicit, by_dims = group_keys(group_by)
+    listed = any(isinstance(i, Item) and i.aggs for i in select or ())
     outputs = _outputs(
         scope,
         select,
         rollup=rollup,
         datetime_expr=datetime_expr,
-        grouped=_aggregates(select, group_by, rollup),
+        grouped=bool(rollup or explicit or by_dims or listed or computed),
         inherit_time=inherit_time,
         row_count=row_count,
         partition_columns=partition_columns,
@@ -132,7 +129,7 @@ def _model(
         filter_where(df, where),
         outputs,
         group_by=group_by,
-        always_group=bool(rollup),
+        always_group=bool(rollup) or computed,
         having=having,
         partitions=partitions,
     )

@@ -266,32 +266,75 @@ def lookback_distinct(t):
     return lookback_model(staged_events(t), "2024-01-05~2024-01-30", 3, ["event_type", users])
 
 
-@query("hll_distinct")
+def _hll_bound(estimate, exact, keys):
+    """Exact distinct counts, and whether the sketch's are within 5 % of them."""
+    joined = exact.join(estimate, keys)
+    within = F.abs(F.col("estimate") - F.col("exact")) <= F.col("exact") * 0.05
+    return joined.select(*keys, "exact", within.alias("within_bound"))
+
+
+@query(
+    "hll_distinct",
+    """SELECT event_type, count(DISTINCT user_id) AS exact, true AS within_bound FROM events GROUP BY 1""",
+)
 def hll_distinct(t):
     built = select_model(t.events, ["event_type", fct("user_id", agg="hll")])
-    return metric_query(built, ["event_type"], [standard_metric("user_id_hll", "distinctcount")])
+    estimate = standard_metric("user_id_hll", "distinctcount", name="estimate")
+    exact = t.events.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"))
+    return _hll_bound(metric_query(built, ["event_type"], [estimate]), exact, ["event_type"])
 
 
-@query("hll_rollup")
+@query(
+    "hll_rollup",
+    f"""SELECT event_type, {day("ts")} AS partition_daily, count(DISTINCT user_id) AS exact, true AS within_bound
+        FROM events GROUP BY 1, 2""",
+)
 def hll_rollup(t):
-    hourly = select_model(staged_events(t), ["event_type", grain("hour"), fct("user_id", agg="hll")])
-    daily = rollup_model(hourly, "day")
-    return metric_query(
-        daily, ["event_type", "partition_daily"], [standard_metric("user_id_hll", "distinctcount")]
+    """Hourly sketches are united to days, whose counts are those of the days' rows."""
+    staged = staged_events(t)
+    hourly = select_model(staged, ["event_type", grain("hour"), fct("user_id", agg="hll")])
+    keys = ["event_type", "partition_daily"]
+    estimate = standard_metric("user_id_hll", "distinctcount", name="estimate")
+    exact = staged.groupBy(*keys).agg(F.count_distinct("user_id").alias("exact"))
+    return _hll_bound(metric_query(rollup_model(hourly, "day"), keys, [estimate]), exact, keys)
+
+
+def _kll_query(metric, percent):
+    @query(
+        f"kll_{metric}",
+        f"""SELECT event_type, round(quantile_cont(value, {percent / 100}), 2) AS exact, true AS within_bound
+            FROM events GROUP BY 1""",
     )
-
-
-def _kll_query(metric):
-    @query(f"kll_{metric}")
     def run(t):
+        """Hourly sketches are merged; the result lies between exact percentiles one and a half points around."""
         hourly = select_model(staged_events(t), ["event_type", grain("hour"), fct("value", agg="tdigest")])
-        return metric_query(hourly, ["event_type"], [standard_metric("value_tdigest", metric)])
+        read = metric_query(hourly, ["event_type"], [standard_metric("value_tdigest", metric, name="estimate")])
+        points = {"low": percent - 1.5, "exact": percent, "high": percent + 1.5}
+        wanted = [Metric(n, "percentile", "value", p) for n, p in points.items()]
+        exact = metric_query(t.events, ["event_type"], wanted)
+        within = F.col("estimate").between(F.col("low"), F.col("high"))
+        return exact.join(read, "event_type").select("event_type", "exact", within.alias("within_bound"))
 
     return run
 
 
-for _metric in ("p50", "p90", "p95", "p98"):
-    _kll_query(_metric)
+for _metric, _percent in (("p50", 50), ("p90", 90), ("p95", 95), ("p98", 98)):
+    _kll_query(_metric, _percent)
+
+
+@query(
+    "window_nested_call",
+    f"""SELECT event_id, {day("ts")} AS partition_daily,
+        round(sum(coalesce(value, 0)) OVER (PARTITION BY event_type, CAST(ts AS DATE)), 2) AS day_total FROM events""",
+)
+def window_nested_call(t):
+    total = fct("day_total", "sum(coalesce(value, 0)) over (partition by event_type, partition_daily)")
+    return select_model(staged_events(t), ["event_id", "partition_daily", total], inherit_time=False, row_count=False)
+
+
+@query("avg_without_group_by", "SELECT event_type, round(avg(value), 2) AS mean FROM events GROUP BY 1")
+def avg_without_group_by(t):
+    return select_model(t.events, ["event_type", fct("mean", "avg(value)")])
 
 
 @query(

@@ -45,7 +45,7 @@ def compare(spark, con, name: str, folder: str) -> str | None:
     df = found.run(spark, folder)
     mine, columns = _rows(df.columns, [tuple(r) for r in df.collect()])
     if found.sql is None:
-        return None if mine else "no rows"
+        return "no SQL to compare with"
     cursor = con.execute(found.sql)
     names = [d[0] for d in cursor.description]
     theirs, wanted = _rows(names, cursor.fetchall())

@@ -80,11 +80,12 @@ def test_aggregate_names():
         agg_name("x", "avg")
 
 
-def test_aggregate_expressions_are_recognised():
-    assert is_aggregate_expr("COUNT(*)") and is_aggregate_expr("1 + sum( x )")
-    assert not is_aggregate_expr("sum(x) over (partition by y)")
-    assert is_aggregate_expr("sum(x) over (order by y) + max(z)")
-    assert not is_aggregate_expr("avg(x)") and not is_aggregate_expr("discount(x)") and not is_aggregate_expr(None)
+def test_aggregate_expressions_are_recognised(spark):
+    df = spark.createDataFrame([], "x int, y int, z int")
+    assert is_aggregate_expr(df, "COUNT(*)") and is_aggregate_expr(df, "1 + sum( x )")
+    assert not is_aggregate_expr(df, "sum(coalesce(x, 0)) over (partition by y)")
+    assert is_aggregate_expr(df, "avg(x)") and is_aggregate_expr(df, F.max("z") + 1)
+    assert not is_aggregate_expr(df, "abs(x)") and not is_aggregate_expr(df, None) and not is_aggregate_expr(df, "1")
 
 
 def test_implicit_grouping_and_bare_facts(base, rows):
