@@ -10,6 +10,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -17,6 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
+from lamella.session import clean_up  # noqa: E402
 from queries import REGISTRY  # noqa: E402
 
 HEADLINE = [
@@ -90,6 +92,7 @@ def main() -> None:
         # Recording where each column expression was written costs more than these queries run.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_SHARED", tempfile.mkdtemp(prefix="bench-")))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -123,6 +126,7 @@ def main() -> None:
             }
         )
     )
+    clean_up()
     spark.stop()
 
 

@@ -225,18 +225,24 @@ def compaction_due(model_dates: DataFrame, asof, delay_days: int) -> DataFrame:
     return due.select("model_id", "event_date").distinct()
 
 
-def failure_summary(model_dates: DataFrame, etl_timestamp) -> DataFrame:
-    """Failed models of a run: status, start of the message, and their dates in order."""
+def _shown(message: str, characters: int | None) -> Column:
+    return F.col(message) if characters is None else F.substring(message, 1, characters).alias(message)
+
+
+def failure_summary(model_dates: DataFrame, etl_timestamp, characters: int | None = None) -> DataFrame:
+    """Failed models of a run: status, message, and their dates in order.
+
+    Messages are told apart as a whole; ``characters`` only shortens what is shown of each.
+    """
     failed = model_dates.where(F.col("etl_timestamp") == _at(etl_timestamp)).where("run_status <> 'success'")
-    message = F.substring("run_message", 1, 100).alias("run_message")
     # Each date once per model in a run; the list is as long as the run has dates.
     dates = join_sorted(F.col("event_date").cast("string"))
-    return failed.groupBy("model_id", "run_status", message).agg(dates.alias("event_dates"))
+    grouped = failed.groupBy("model_id", "run_status", "run_message").agg(dates.alias("event_dates"))
+    return grouped.select("model_id", "run_status", _shown("run_message", characters), "event_dates")
 
 
-def failed_tests(test_dates: DataFrame, etl_timestamp) -> DataFrame:
-    """Failed tests of a run, each once."""
+def failed_tests(test_dates: DataFrame, etl_timestamp, characters: int | None = None) -> DataFrame:
+    """Failed tests of a run, each message once; ``characters`` shortens what is shown."""
     failed = test_dates.where(F.col("etl_timestamp") == _at(etl_timestamp)).where("test_status <> 'pass'")
-    message = F.substring("test_message", 1, 100).alias("test_message")
-    return failed.select("test_id", "model_id", "test_status", message).distinct()
-
+    once = failed.select("test_id", "model_id", "test_status", "test_message").distinct()
+    return once.select("test_id", "model_id", "test_status", _shown("test_message", characters))

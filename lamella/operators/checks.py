@@ -159,8 +159,10 @@ def checks_for(
     chosen: list[Check] = []
     if equal_for is None and equal_or_lower_for is None:
         if join_types:
-            name = "equal_row_count" if "left" in join_types else "equal_or_lower_row_count"
-            chosen.append(Check(name, join_type=join_types[0]))
+            # A check looks at one kind of join and passes over others: name the one it was chosen for.
+            left = "left" in join_types
+            name = "equal_row_count" if left else "equal_or_lower_row_count"
+            chosen.append(Check(name, join_type="left" if left else join_types[0]))
     else:
         for name, listed in (
             ("equal_row_count", equal_for),

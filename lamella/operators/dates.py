@@ -16,10 +16,6 @@ from lamella.operators.roles import ident
 Date = dt.date
 Range = tuple[dt.date, dt.date]
 
-# More recorded partition dates than this are joined at run time instead of listed in the plan.
-MAX_LISTED_DATES = 10_000
-
-
 def parse_dates(text: str | Iterable[dt.date]) -> list[dt.date]:
     """``2024-01-01``, ``2024-01-01,2024-01-03`` or ``2024-01-01~2024-01-05`` (inclusive).
 
@@ -106,8 +102,17 @@ def _any(conditions: Sequence[Column]) -> Column:
 
 
 def in_dates(column: Column, dates, data_type="date", grain: str = "day") -> Column:
-    """``column IN (dates)``; literals of the column's own type, so partitions are pruned."""
-    return column.isin([date_literal(d, data_type) for d in to_grain(dates, grain)])
+    """``column IN (dates)``; literals of the column's own type, so partitions are pruned.
+
+    The first and last date are bounds of their own: where the column is computed from a time, Spark
+    can carry bounds to the file scan, and a list it cannot.
+    """
+    wanted = to_grain(dates, grain)
+    found = column.isin([date_literal(d, data_type) for d in wanted])
+    if len(wanted) < 2:
+        return found
+    ends = [date_literal(d, data_type) for d in (min(wanted), max(wanted))]
+    return (column >= ends[0]) & (column <= ends[1]) & found
 
 
 def in_ranges(column: Column, dates, data_type="date", grain: str = "day") -> Column:
@@ -205,20 +210,29 @@ def recorded_partition_filter(
     dates,
     *,
     data_type="date",
+    grain: str = "day",
     include_full_month: bool = False,
     use_range: bool = False,
     compile_dates: bool = True,
 ) -> DataFrame:
     """Read only the partitions recorded for the run's dates.
 
-    The recorded list is looked up first and written into the plan as literals, which prunes
-    files; beyond ``MAX_LISTED_DATES`` dates, or with ``compile_dates=False``, it is joined.
+    The recorded list, a few dates for each of the run's own, is looked up first and written into
+    the plan as literals, which prunes files. With ``compile_dates=False`` it is joined at run
+    time. Both keep the same rows: those whose value is one of the dates (or of their months,
+    at that grain), or with ``use_range`` lies within one.
     """
     partitions = recorded_partitions(source_dates, source_id, dates, include_full_month)
     if compile_dates:
-        found = [r[0] for r in partitions.limit(MAX_LISTED_DATES + 1).collect()]
-        if len(found) <= MAX_LISTED_DATES:
-            return df.where(on_dates(F.expr(expr), sorted(found), data_type, use_range=use_range))
+        found = sorted(r[0] for r in partitions.collect())
+        return df.where(on_dates(F.expr(expr), found, data_type, grain, use_range))
     kind = data_type if isinstance(data_type, str) else data_type.simpleString()
     target = {"varchar": "string", "datetime": "timestamp_ntz"}.get(kind, kind)
-    return df.where(F.expr(expr).isin(partitions.select(F.col("partition_date").cast(target))))
+    date = F.col("partition_date")
+    day = F.trunc(date, "month") if grain == "month" else date
+    if not use_range:
+        return df.where(F.expr(expr).isin(partitions.select(day.cast(target)).distinct()))
+    # A value lies within a day (or month) exactly when cutting it off there gives that date.
+    moment = F.expr(expr).cast("timestamp_ntz")
+    own = F.trunc(moment, "month") if grain == "month" else moment.cast("date")
+    return df.where(own.isin(partitions.select(day).distinct()))

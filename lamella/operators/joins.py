@@ -20,16 +20,16 @@ class Join:
     """One joined table.
 
     ``on`` is a list of column names (equal on base and joined side) and Columns (free conditions,
-    which may hold subqueries), or ``"dims"`` for all dimensions both sides share. A full join
-    runs in a form whose hot keys Spark can split; ``skewed=False`` takes the plain form, which
-    is cheaper where no key is hot.
+    which may hold subqueries), or ``"dims"`` for all dimensions both sides share.
+    ``skewed=True`` runs a full join as a left join and an anti join, whose hot keys on the left
+    Spark can split; it reads both inputs twice, so chains of full joins should be plain.
     """
 
     df: DataFrame
     alias: str
     on: str | Sequence[str | Column] = ()
     how: str = "inner"
-    skewed: bool = True
+    skewed: bool = False
 
     def __post_init__(self):
         if self.how not in JOIN_TYPES:

@@ -9,19 +9,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.operators.roles import ident
+from lamella.session import working_path
 
-# Slices each group is cut into before its values are ranked.
-SLICES = 256
+# Different values of a slice, about, and the bounds of the number of slices of a group.
+SLICE_VALUES = 50_000
+FEWEST, MOST = 16, 4096
 
 # Cut points compared one by one; the others are skipped by whole blocks.
 BLOCK = 16
 
 # Size of the sketch the cut points come from; its error only makes slices uneven.
-SKETCH_SIZE = 1024
+SKETCH_SIZE = 4096
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: Column, quantiles: Mapping[str, float], slices: int = SLICES
+    df: DataFrame, keys: Sequence[str], value: Column, quantiles: Mapping[str, float], slices: int | None = None
 ) -> DataFrame:
     """Interpolated percentiles of ``value`` per group, one output column per quantile.
 
@@ -29,6 +31,9 @@ def exact_percentiles(
     counted first; a sketch of each group then gives cut points, every slice between two cut
     points is counted, and only the slices that hold a wanted rank are sorted. The cut points
     only decide how the work is divided: the counts are exact, so the result is too.
+
+    The counted values are written once to the shared folder, so the source is read once, and tell
+    how many slices the largest group needs (unless ``slices`` does).
     """
     keys = list(keys)
     counted = (
@@ -37,6 +42,13 @@ def exact_percentiles(
         .groupBy(*keys, "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    spark = df.sparkSession
+    path = working_path(spark, "counted")
+    counted.write.parquet(path)
+    counted = spark.read.schema(counted.schema).parquet(path)
+    if slices is None:
+        largest = counted.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        slices = min(MOST, max(FEWEST, -(-largest // SLICE_VALUES)))
     # The positions of the cut points, as one constant.
     steps = F.split(F.lit(",".join(str(i / slices) for i in range(1, slices))), ",").cast("array<double>")
     sketch = F.kll_sketch_agg_double("v", F.lit(SKETCH_SIZE))

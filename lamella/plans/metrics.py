@@ -17,7 +17,7 @@ from lamella.operators.aggregate import suffix_agg
 from lamella.operators.grouping import order_limit
 from lamella.operators.percentile import exact_percentiles
 from lamella.operators.predicates import Condition, filter_where
-from lamella.operators.roles import ident
+from lamella.operators.roles import field_metadata, ident
 from lamella.operators.select import as_column
 
 # Quantile metrics of a sketch column.
@@ -149,13 +149,13 @@ def metric_time_column(df: DataFrame, names: Names = NAMES) -> str:
 
 
 def in_the_past(column: Column | str, amount: int, unit: str = "days", asof: dt.date | Column | None = None) -> Column:
-    """From ``amount`` days or months before ``asof`` (default today) until ``asof``."""
+    """From ``amount`` days or months before ``asof`` (default today) through the whole day ``asof``."""
     c = F.col(column) if isinstance(column, str) else column
     now = F.current_date() if asof is None else asof if isinstance(asof, Column) else F.lit(asof)
     starts = {"days": lambda: F.date_sub(now, amount), "months": lambda: F.add_months(now, -amount)}
     if unit not in starts:
         raise ValueError(f"unit must be days or months, not {unit!r}")
-    return (c >= starts[unit]()) & (c <= now)
+    return (c >= starts[unit]()) & (c < F.date_add(now, 1))
 
 
 def default_window(df: DataFrame, names: Names = NAMES) -> tuple[int, str] | None:
@@ -165,6 +165,26 @@ def default_window(df: DataFrame, names: Names = NAMES) -> tuple[int, str] | Non
     return (14, "days") if names.daily in df.columns else (2, "months")
 
 
+def default_filter(df: DataFrame, asof: dt.date | Column | None = None, names: Names = NAMES) -> Column | None:
+    """The condition of a mart's default date filter, to be given to ``metric_query(required=…)``."""
+    window = default_window(df, names)
+    if window is None:
+        return None
+    return in_the_past(ident(metric_time_column(df, names)), *window, asof)
+
+
+def default_intervals(df: DataFrame, names: Names = NAMES) -> tuple[str, ...]:
+    """Intervals to offer for a mart's event time: those its grain can answer.
+
+    The grain is the one the time was cut to, else that of the finest partition column.
+    """
+    if names.datetime not in df.columns:
+        return ()
+    cut = field_metadata(df, names.datetime).get("interval")
+    by_column = {names.hourly: "hour", names.daily: "day", names.monthly: "month"}
+    return INTERVALS_BY_GRAIN[cut or by_column.get(metric_time_column(df, names), "hour")]
+
+
 def equals_text(column: Column | str, value: str, case_sensitive: bool = True) -> Column:
     """Compare text, ignoring case on request."""
     c = F.col(column) if isinstance(column, str) else column
@@ -205,12 +225,16 @@ def metric_query(
     *,
     filters: Sequence[Condition] = (),
     table_filter: Condition = None,
+    required: Condition = None,
     having: Condition = None,
     order_by=None,
     limit: int | None = None,
 ) -> DataFrame:
     """Metrics per group of dimensions, under the query's filters and the mart's own.
 
+    ``table_filter`` always holds for the mart; ``required`` is the filter every query of it must
+    carry, such as ``default_filter``.
+
     All metrics share one aggregation. Medians and percentiles are exact: they are computed
     beside it, one pass per column, and joined on the dimensions.
     """
@@ -218,7 +242,7 @@ def metric_query(
     if not metrics:
         raise ValueError("a metric query needs at least one metric")
     named = dict(dims) if isinstance(dims, Mapping) else {d: F.col(ident(d)) for d in dims}
-    rows = filter_where(df, table_filter, *filters)
+    rows = filter_where(df, table_filter, required, *filters)
     plain = [m for m in metrics if _quantile(m) is None]
     keys = [as_column(c).alias(n) for n, c in named.items()]
     count = [F.count(F.lit(1)).alias("group rows")]

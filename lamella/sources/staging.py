@@ -71,6 +71,7 @@ def read_source(
                 spec.source_id,
                 dates,
                 data_type=kind,
+                grain=part.grain or "day",
                 include_full_month=include_full_month,
                 use_range=bool(part.use_range),
                 compile_dates=part.compile_dates is not False,

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from lamella import Join, dim, join_models, run_checks
+from lamella import Join, checks_for, describe_table, dim, join_models, read_seed, run_checks
 from lamella.operators import checks
+from lamella.session import working_path
 from queries.base import WEEK, day, moment, query, staged_events
 
 
@@ -150,3 +151,34 @@ def run_all(t):
             "value": lambda df: checks.not_null(_holes(t), "value"),
         },
     )
+
+
+@query(
+    "checks_for_mixed_joins",
+    _count_sql("LEFT", "left", checks.LEFT_JOIN_GREW),
+)
+def checks_for_mixed_joins(t):
+    """A model with an inner and a left join gets a row-count check, and one that runs."""
+    (chosen,) = checks_for(["inner", "left"])
+    check = getattr(checks, chosen.name)
+    return check(_multiplied(t, "left"), staged_events(t), WEEK, chosen.join_type)
+
+
+@query(
+    "seed_table",
+    """SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation""",
+)
+def seed_table(t):
+    """A table stored as CSV with a header, read back as a seed: all columns are text."""
+    path = working_path(t.spark, "seed")
+    t.nation.select("n_nationkey", "n_name", "n_regionkey").write.option("header", True).csv(path)
+    return read_seed(t.spark, path)
+
+
+@query(
+    "describe_nation",
+    """SELECT column_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' ELSE 'string' END AS data_type
+        FROM (DESCRIBE nation)""",
+)
+def describe_nation(t):
+    return describe_table(t.nation).select("column_name", "data_type")

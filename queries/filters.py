@@ -22,7 +22,7 @@ from lamella import (
 )
 from lamella.operators.changes import date_profile
 from lamella.operators.dates import column_type, in_dates, in_event_time, in_ranges, recorded_partitions
-from queries.base import WEEK, day, query, staged_events
+from queries.base import WEEK, day, query, staged_events, staged_orders
 
 _ORDERS = "SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice FROM orders"
 _PICK = ["o_orderkey", "o_custkey", fct("o_totalprice")]
@@ -288,3 +288,65 @@ def read_recorded_partitions_runtime(t):
     spec = SourceSpec("events", EventTime("ts"), PartitionDate("arrived_on", compile_dates=False))
     rows = read_source(arrived(t), spec, "2024-01-10", source_dates=recorded(t))
     return rows.groupBy("event_type", "arrived_on").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _recorded_range_sql():
+    return f"""
+    WITH stored AS ({ARRIVED_SQL})
+    SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM stored
+    WHERE CAST(ts AS DATE) IN (DATE '2024-01-10', DATE '2024-01-20') GROUP BY 1
+    """
+
+
+def _recorded_range(t, **options):
+    """Arrival as a time within its day: a recorded day stands for all of it."""
+    at = F.col("arrived_on").cast("timestamp_ntz") + F.expr("make_dt_interval(0, hour(ts), minute(ts))")
+    spec = SourceSpec("events", EventTime("ts"), PartitionDate("arrived_at", use_range=True, **options))
+    rows = arrived(t).withColumn("arrived_at", at)
+    rows = read_source(rows, spec, "2024-01-10,2024-01-20", source_dates=recorded(t))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("read_recorded_range", _recorded_range_sql())
+def read_recorded_range(t):
+    return _recorded_range(t)
+
+
+@query("read_recorded_range_runtime", _recorded_range_sql())
+def read_recorded_range_runtime(t):
+    return _recorded_range(t, compile_dates=False)
+
+
+@query(
+    "read_recorded_month",
+    """SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM orders
+        WHERE CAST(o_orderdate AS DATE) = DATE '1996-05-17' GROUP BY 1""",
+)
+def read_recorded_month(t):
+    # Nothing is recorded, so the run's own date stands for its month, which is what the source is stored by.
+    part = PartitionDate("trunc(o_orderdate, 'month')", grain="month")
+    nothing = recorded(t).where("false")
+    rows = read_source(t.orders, SourceSpec("orders", EventTime("o_orderdate"), part), "1996-05-17", source_dates=nothing)
+    return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "full_month_of_many",
+    """SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM orders
+        WHERE date_trunc('month', o_orderdate) IN (DATE '1996-02-01', DATE '1997-11-01') GROUP BY 1""",
+)
+def full_month_of_many(t):
+    staged = staged_orders(t)
+    found = date_filter(staged, "1996-02-29,1997-11-01", include_full_month=True)
+    return found.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "dates_and_where",
+    """SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders
+        WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-02-27' AND DATE '1996-03-02' AND o_totalprice > 100000""",
+)
+def dates_and_where(t):
+    picked = ["o_orderkey", fct("o_totalprice")]
+    found = select_model(staged_orders(t), picked, dates="1996-02-27~1996-03-02", where="o_totalprice > 100000")
+    return found.select("o_orderkey", "o_totalprice")

@@ -63,12 +63,9 @@ def join_full_plain(t):
     return _segments(t, "full", skewed=False)
 
 
-@query("join_cross", "SELECT s_name, r_name FROM supplier CROSS JOIN region")
-def join_cross(t):
-    # The one join without a condition the models know; a side with a fixed handful of rows.
-    return join_models(
-        ("s", t.supplier), [Join(t.region, "r", how="cross")], ["s_name", dim("r_name", side="r")]
-    )
+@query("join_full_split", _segments_sql("FULL"))
+def join_full_split(t):
+    return _segments(t, "full", skewed=True)
 
 
 @query(

@@ -192,3 +192,43 @@ def metric_no_dims(t):
             Metric("high", "percentile", price, 75),
         ],
     )
+
+
+@query(
+    "in_the_past_timestamp",
+    """SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events
+        WHERE ts >= TIMESTAMP '2024-01-18' AND ts < TIMESTAMP '2024-01-26' GROUP BY 1""",
+)
+def in_the_past_timestamp(t):
+    window = in_the_past("ts", 7, "days", _ASOF)
+    return metric_query(t.events, ["event_type"], [Metric("n", "count")], filters=[window])
+
+
+@query(
+    "metric_required",
+    """SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events
+        WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-11' AND DATE '2024-01-25' AND value > 10 GROUP BY 1""",
+)
+def metric_required(t):
+    mart = staged_events(t).drop("partition_hourly")
+    required = M.default_filter(mart, _ASOF)
+    return metric_query(mart, ["event_type"], [Metric("n", "count")], filters=["value > 10"], required=required)
+
+
+@query(
+    "in_the_past_today",
+    """SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY 1""",
+)
+def in_the_past_today(t):
+    # A column of today's date lies within the last days, whatever the day is.
+    rows = t.customer.withColumn("seen", F.current_date())
+    return metric_query(rows, ["c_nationkey"], [Metric("n", "count")], filters=[in_the_past("seen", 3)])
+
+
+@query(
+    "default_intervals",
+    """SELECT event_type, 'DAY DAY_OF_WEEK_NAME MONTH WEEK YEAR' AS offered FROM events GROUP BY 1""",
+)
+def default_intervals(t):
+    mart = _mart(t)
+    return mart.select("event_type", F.lit(" ".join(M.default_intervals(mart))).alias("offered")).distinct()

@@ -162,3 +162,16 @@ def macro_expression(t):
         "string",
     )
     return select_model(t.customer, ["c_custkey", dim("tier", "customer_tier(c_acctbal)")])
+
+
+@query(
+    "scalar_nested_arrays",
+    """
+    SELECT o_orderkey, array_to_string(list_sort(list_distinct([o_orderstatus, o_orderpriority, o_orderstatus, 'x'])), ',') AS found
+    FROM orders
+    """,
+)
+def scalar_nested_arrays(t):
+    nested = F.array(F.array("o_orderstatus", "o_orderpriority"), F.array(F.col("o_orderstatus"), F.lit("x")))
+    found = F.array_join(F.array_sort(F.array_distinct(F.flatten(nested))), ",")
+    return select_model(t.orders, ["o_orderkey", dim("found", found)])

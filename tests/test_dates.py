@@ -95,3 +95,13 @@ def test_filters_reach_the_scan(spark, tmp_path):
     df.write.partitionBy("partition_daily").parquet(path)
     plan = date_filter(spark.read.parquet(path), "2024-01-05~2024-01-06")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(partition_daily" in plan or "PartitionFilters: [partition_daily" in plan
+
+
+def test_date_lists_reach_the_scan_as_bounds(spark):
+    from lamella import EventTime, SourceSpec, rollup_model, select_model, stage_source
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    staged = stage_source(events, SourceSpec("events", EventTime("ts")), ["event_type"])
+    plan = rollup_model(select_model(staged), "day", dates="2024-01-05~2024-01-11")._jdf.queryExecution().toString()
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert "GreaterThanOrEqual(ts,2024-01-05" in pushed and "LessThan(ts,2024-01-12" in pushed

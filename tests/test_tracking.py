@@ -162,7 +162,7 @@ def test_runs_failures_and_compaction(spark, rows, tmp_path):
     )
     stored = control.read("model_dates")
     assert rows(changes.failed_dates(stored, at(10))) == [("m", d("2024-01-01")), ("m", d("2024-01-02"))]
-    assert rows(changes.failure_summary(stored, at(10))) == [("m", "error", "x" * 100, "2024-01-01, 2024-01-02")]
+    assert rows(changes.failure_summary(stored, at(10))) == [("m", "error", long, "2024-01-01, 2024-01-02")]
     assert rows(changes.compaction_due(stored, at(10), 5)) == [("n", d("2024-01-01"))]
     control.record_compaction(
         spark.createDataFrame(
@@ -236,7 +236,7 @@ def test_null_sums(spark, rows):
 
 def test_checks_follow_the_shape_of_a_model():
     assert checks_for(["inner", "left"], ["x_sum"]) == [
-        Check("equal_row_count", join_type="inner"),
+        Check("equal_row_count", join_type="left"),
         Check("no_null_aggregates", column="x_sum"),
     ]
     assert checks_for(["inner"]) == [Check("equal_or_lower_row_count", join_type="inner")]
@@ -267,3 +267,14 @@ def test_named_checks_run_together(model, rows):
         },
     )
     assert rows(result) == [("fine", 0, "pass"), ("n/a", None, "skip"), ("nulls", 1, "fail")]
+
+
+def test_messages_are_told_apart_as_a_whole(spark):
+    rows = [("m", d("2024-01-01"), "x" * 100 + "a"), ("m", d("2024-01-02"), "x" * 100 + "b")]
+    runs = spark.createDataFrame(rows, "model_id string, event_date date, run_message string")
+    runs = runs.selectExpr("*", "'error' as run_status", "timestamp_ntz'2024-02-01' as etl_timestamp")
+    found = changes.failure_summary(runs, F.expr("timestamp_ntz'2024-02-01'"), characters=5)
+    assert [tuple(r) for r in found.orderBy("event_dates").collect()] == [
+        ("m", "error", "xxxxx", "2024-01-01"),
+        ("m", "error", "xxxxx", "2024-01-02"),
+    ]
