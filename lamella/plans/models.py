@@ -242,6 +242,7 @@ def lookback_model(
     having: Condition = None,
     group_by=None,
     pre_aggregate: bool = True,
+    distinct_on: Sequence[str] | None = None,
     partitions: Sequence[str] | None = None,
     names: Names = NAMES,
 ) -> DataFrame:
@@ -249,7 +250,9 @@ def lookback_model(
 
     The result's daily partition is the event date. Measures are first reduced to one row per
     day and dimension set, and only those rows are repeated for the event dates they feed; select
-    lists holding free aggregate expressions repeat the rows themselves.
+    lists holding free aggregate expressions repeat the rows themselves. ``distinct_on`` names the
+    columns such expressions read when it does not matter to them how often a row occurs (distinct
+    counts, extremes): then only different rows of a day are repeated.
     """
     dates = parse_dates(dates)
     daily = names.daily
@@ -261,6 +264,8 @@ def lookback_model(
     )
     if pre_aggregate and mergeable:
         df, outputs = _per_day(df, outputs, daily)
+    elif distinct_on is not None and group_by is None:
+        df, outputs = _distinct_per_day(df, outputs, daily, distinct_on)
     expanded = df.withColumn(
         names.event_date, F.explode(fed_dates(daily, dates, days, exclude_event_date))
     ).drop(daily)
@@ -287,6 +292,18 @@ def _per_day(df: DataFrame, outputs: Sequence[Output], daily: str) -> tuple[Data
     return partial, merged
 
 
+def _distinct_per_day(
+    df: DataFrame, outputs: Sequence[Output], daily: str, read: Sequence[str]
+) -> tuple[DataFrame, list[Output]]:
+    """Different rows of a day in the dimensions and the columns the measures read."""
+    dims = [o for o in outputs if o.role == DIM]
+    kept = {daily: F.col(ident(daily)), **{o.name: o.column for o in dims}}
+    kept |= {c: F.col(ident(c)) for c in read if c not in kept}
+    rows = df.select(*[c.alias(n) for n, c in kept.items()]).distinct()
+    plain = [Output(o.name, o.name, F.col(ident(o.name)), DIM, metadata=o.metadata) for o in dims]
+    return rows, [*plain, *(o for o in outputs if o.role != DIM)]
+
+
 def mart(df: DataFrame, view: str) -> DataFrame:
     """Publish a model as a view other SQL can read; nothing is stored."""
     df.createOrReplaceTempView(view)

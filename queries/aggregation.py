@@ -262,6 +262,16 @@ def lookback_7d_exclusive(t):
     _lookback_sql(3, 0, "CAST(count(DISTINCT user_id) AS BIGINT) AS users", last="'2024-01-30'"),
 )
 def lookback_distinct(t):
+    users = fct("users", "count(distinct user_id)")
+    picked = ["event_type", users]
+    return lookback_model(staged_events(t), "2024-01-05~2024-01-30", 3, picked, distinct_on=["user_id"])
+
+
+@query(
+    "lookback_distinct_rows",
+    _lookback_sql(3, 0, "CAST(count(DISTINCT user_id) AS BIGINT) AS users", last="'2024-01-30'"),
+)
+def lookback_distinct_rows(t):
     users = fct("users", "count(distinct user_id)")
     return lookback_model(staged_events(t), "2024-01-05~2024-01-30", 3, ["event_type", users])
 

@@ -275,3 +275,13 @@ def test_time_columns_come_along(spark):
     assert select_model(df, ["k"], row_count=False, partition_columns=False).columns == ["datetime", "k"]
     named = select_model(df, ["k", grain("day")], inherit_time=False)
     assert "partition_daily" not in named.columns
+
+
+def test_only_different_rows_are_repeated_for_a_lookback(spark):
+    rows = spark.createDataFrame([("a", 1)] * 5 + [("b", 2)], "kind string, user int")
+    rows = rows.withColumn("partition_daily", F.expr("date'2024-01-02'"))
+    users = fct("users", "count(distinct user)")
+    out = lookback_model(rows, "2024-01-02~2024-01-04", 2, ["kind", users], distinct_on=["user"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.rindex("Aggregate")  # rows are reduced below the repetition
+    assert sorted((r["kind"], r["users"]) for r in out.collect()) == [("a", 1)] * 3 + [("b", 1)] * 3
