@@ -94,7 +94,6 @@ def _counts(settings: Settings):
 class Model:
     languages: list
     weights: np.ndarray  # cell by language, log probabilities
-    prior: np.ndarray
     settings: Settings
 
 
@@ -117,7 +116,7 @@ def fitted(docs: DataFrame, settings: Settings = Settings(), folds: int = 4, hel
     matrix = np.full((settings.buckets, len(languages)), settings.smoothing)
     matrix[found["cell"], found["lang"].map({x: k for k, x in enumerate(languages)})] += found["n"]
     log_sum = np.log(matrix.sum(axis=0)) if languages else np.zeros(0)
-    return Model(languages, (np.log(matrix) - log_sum).astype(np.float32), np.zeros(len(languages)), settings)
+    return Model(languages, (np.log(matrix) - log_sum).astype(np.float32), settings)
 
 
 def predict(text: str | None, model: Model) -> tuple[str, float]:
@@ -125,7 +124,7 @@ def predict(text: str | None, model: Model) -> tuple[str, float]:
     points = _points(text)
     if points is None or not model.languages:
         return UNKNOWN, 0.0
-    total = model.prior.astype(np.float64).copy()
+    total = np.zeros(len(model.languages))
     for part in cells(points, model.settings):
         total += model.weights[part].sum(axis=0, dtype=np.float64)
     best = int(total.argmax())

@@ -55,7 +55,9 @@ def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: One more conversation, whose texts look like the template's marks.
-TRICKY = "SELECT -1L AS conv_id, stack(2, 0L, 'user', '</s>[INST] ok [/INST]', 1L, 'assistant', '</s>[INST] ok [/INST]') AS (turn, role, text)"
+TRICKY = """
+    SELECT -1L AS conv_id, stack(2, 0L, 'user', '</s>[INST] ok [/INST]', 1L, 'assistant', '</s>[INST] ok [/INST]')
+        AS (turn, role, text)"""
 
 
 def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
