@@ -136,6 +136,7 @@ def _unlike(printed: DataFrame, groups: DataFrame, chunk: int, together: int) ->
         .withColumn("salts", (F.col("members") / together).cast("int"))
         .select(*PRINT, "id", "sha256", "stays", "salts", F.posexplode(part).alias("k", "part"))
     )
+    pieces = stored(pieces, "pieces")  # read twice below
     stay = (
         pieces.filter("stays")
         .select(*PRINT, "k", F.col("part").alias("wanted"), F.explode(F.sequence(F.lit(0), "salts")).alias("salt"))
