@@ -15,10 +15,10 @@ from lamella.operators.dates import in_dates, parse_dates
 from lamella.operators.predicates import Condition, filter_where
 from lamella.operators.roles import ident
 
-# What a failing row-count check says.
-LEFT_JOIN_GREW = "FAIL: LEFT join increased row count - unintended 1-to-many relationship detected"
-JOIN_GREW = "FAIL: Row count increased from parent - unintended 1-to-many relationship detected"
-LEFT_JOIN_LOST = "FAIL: LEFT join decreased row count"
+# What a failing row-count check says.
+LEFT_JOIN_GREW = "the left join repeats rows of its base: a key matches more than once"
+JOIN_GREW = "the model has more rows than its base: a join repeats some of them"
+LEFT_JOIN_LOST = "the left join has fewer rows than its base"
 
 
 def not_null(df: DataFrame, column: str, where: Condition = None) -> DataFrame:

@@ -79,7 +79,7 @@ def _multiplied(t, how):
     on = [F.expr("e.user_id = o.o_custkey")]
     return join_models(
         ("e", staged_events(t)),
-        [Join(t.orders.where("o_orderstatus = 'P'"), "o", on, how)],
+        [Join(t.orders, "o", on, how)],
         ["event_id", dim("o_orderkey", side="o")],
     )
 
@@ -89,7 +89,7 @@ def _count_sql(how, join_type, message):
     WITH parent AS (SELECT * FROM events WHERE CAST(ts AS DATE) BETWEEN '2024-01-05' AND '2024-01-11'),
     p AS (SELECT count(*) AS n FROM parent),
     c AS (SELECT count(*) AS n FROM parent e
-        {how} JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') o ON e.user_id = o.o_custkey)
+        {how} JOIN orders o ON e.user_id = o.o_custkey)
     SELECT CAST(p.n AS BIGINT) AS parent_row_count, CAST(c.n AS BIGINT) AS current_row_count,
         CAST(c.n - p.n AS BIGINT) AS row_count_diff, '{join_type}' AS join_type, '{message}' AS test_result
     FROM p, c WHERE c.n > p.n

@@ -350,3 +350,20 @@ def dates_and_where(t):
     picked = ["o_orderkey", fct("o_totalprice")]
     found = select_model(staged_orders(t), picked, dates="1996-02-27~1996-03-02", where="o_totalprice > 100000")
     return found.select("o_orderkey", "o_totalprice")
+
+
+_MONTHS_OF_ORDERS = """
+    SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM orders
+    WHERE date_trunc('month', o_orderdate) = DATE '1996-02-01' GROUP BY 1"""
+
+
+@query("date_filter_month_of_orders", _MONTHS_OF_ORDERS)
+def date_filter_month_of_orders(t):
+    found = date_filter(staged_orders(t), "1996-02-10", grain="month")
+    return found.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("date_filter_no_daily_of_orders", _MONTHS_OF_ORDERS)
+def date_filter_no_daily_of_orders(t):
+    found = date_filter(staged_orders(t), "1996-02-10", exclude_daily_filter=True)
+    return found.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))

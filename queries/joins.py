@@ -10,14 +10,14 @@ def _on_customer():
     return F.expr("o.o_custkey = c.c_custkey")
 
 
-def _rich(t):
-    return t.customer.where("c_acctbal > 5000")
-
-
-def _segments(t, how, **options):
+def _segments(t, how, narrow=True, **options):
+    """Orders and customers; outer joins narrow both sides, so that each has rows without a match."""
+    orders, customer = t.orders, t.customer
+    if narrow:
+        orders, customer = orders.where("o_totalprice > 50000"), customer.where("c_acctbal > 5000")
     return join_models(
-        ("o", t.orders.where("o_totalprice > 50000")),
-        [Join(_rich(t), "c", [_on_customer()], how, **options)],
+        ("o", orders),
+        [Join(customer, "c", [_on_customer()], how, **options)],
         [
             "o_orderstatus",
             dim("c_mktsegment", side="c"),
@@ -28,19 +28,19 @@ def _segments(t, how, **options):
     )
 
 
-def _segments_sql(how):
+def _segments_sql(how, orders="WHERE o_totalprice > 50000", customer="WHERE c_acctbal > 5000"):
     return f"""
     SELECT o_orderstatus, c_mktsegment, CAST(count(*) AS BIGINT) AS n,
         round(sum(o_totalprice), 2) AS o_totalprice_sum, round(max(c_acctbal), 2) AS c_acctbal_max
-    FROM (SELECT * FROM orders WHERE o_totalprice > 50000) o
-    {how} JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) c ON o.o_custkey = c.c_custkey
+    FROM (SELECT * FROM orders {orders}) o
+    {how} JOIN (SELECT * FROM customer {customer}) c ON o.o_custkey = c.c_custkey
     GROUP BY o_orderstatus, c_mktsegment
     """
 
 
-@query("join_inner", _segments_sql("INNER"))
+@query("join_inner", _segments_sql("INNER", "", ""))
 def join_inner(t):
-    return _segments(t, "inner")
+    return _segments(t, "inner", narrow=False)
 
 
 @query("join_left", _segments_sql("LEFT"))
