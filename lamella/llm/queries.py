@@ -147,5 +147,19 @@ SQL = {
                sum(length(text) + len(regexp_extract_all(text, '[<\[\]\\]'))
                    + CASE role WHEN 'system' THEN 19 WHEN 'user' THEN 18 WHEN 'assistant' THEN 12 END)::BIGINT AS formatted_chars
         FROM turns GROUP BY conv_id""",
+    "op9_embeddings": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CASE WHEN len([x FOR x IN embedding IF isfinite(x)]) = len(embedding)
+                                     AND len([x FOR x IN embedding IF x <> 0]) > 0 THEN embedding::DOUBLE[] END AS e
+            FROM embeddings),
+        linked AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        reached AS (
+            SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reached r JOIN linked l ON r.b = l.a)
+        SELECT vec_id, (SELECT count(*) FROM linked WHERE a = vec_id) AS n_links,
+               (SELECT min(b) FROM reached WHERE a = vec_id) AS component_id,
+               (SELECT min(b) FROM reached WHERE a = vec_id) = vec_id AS kept
+        FROM v""",
 }
 SQL = {name: sql.strip() for name, sql in SQL.items()}
