@@ -69,10 +69,11 @@ def not_in(column: Column | str, sub: DataFrame, select: str, where: Condition =
     """
     values = _inner(sub, select, where)
     column = _col(column)
-    size = values.agg(F.count(F.lit(1))).scalar()
-    nulls = values.agg(F.count_if(F.col("value").isNull())).scalar()
+    counts = values.agg(
+        F.struct(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value").isNull()).alias("nulls"))
+    ).scalar()
     found = values.where(F.col("value") == column.outer()).exists()
-    return ~found & ((size == 0) | ((nulls == 0) & column.isNotNull()))
+    return ~found & ((counts["rows"] == 0) | ((counts["nulls"] == 0) & column.isNotNull()))
 
 
 def exists(sub: DataFrame, on: Condition = None) -> Column:
