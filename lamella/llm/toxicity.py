@@ -14,7 +14,8 @@ clauses; a logistic curve turns it into a score between 0 and 1.
 
 Insults are a short list of plain ones and what labelled documents teach: words and word beginnings found in
 many more toxic documents than chance allows (a likelihood-ratio test), weighted by their log odds. The
-weights and the curve are fitted on at most ``Settings.sample`` labelled documents, drawn by a hash of their id.
+weights and the curve are fitted on at most ``Settings.sample`` labelled documents, drawn by a hash of their id; of near
+copies among them few are kept, or the words of a toxic text with many copies would all look toxic.
 
 Null and empty texts score as texts without any match. Rows with null ids are scored and never teach; labels
 without an id or a toxic value are ignored, and an id labelled more than once counts as toxic if one of its labels
@@ -31,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ class Settings:
     shortest: int = 3  # letters of a learned word beginning
     longest: int = 8
     least_documents: int = 4  # toxic documents that hold a learned entry
-    evidence: float = 28.0  # likelihood ratio (G squared) it needs
+    evidence: float = 20.0  # likelihood ratio (G squared) it needs
     least_weight: float = 3.0  # log odds it needs; weaker signs add up in long texts and mean little
     listed_weight: float = 3.0  # weight of a listed insult that labels do not weigh higher
     threat_weight: float = 3.0
@@ -261,6 +263,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings, fold
     return docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(known), "id").select("text", "toxic")
 
 
+#: Seeds of the signatures by which copies are told.
+SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+
+
+def signatures(text: str | None) -> list[int]:
+    """Smallest hashes of three-word shingles under three seeds; near copies share most of them."""
+    words = (text or "").lower().encode().split()
+    shingles = set(zip(words, words[1:], words[2:])) or {tuple(words)}
+    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(x)) for x in shingles], dtype=np.uint64)
+    return [int((hashes * seed).min().view(np.int64)) for seed in SEEDS | np.uint64(1)]
+
+
+def without_copies(sample: DataFrame) -> DataFrame:
+    """The sample with few near copies left: a word all copies of one text hold must not count for each of them."""
+    each = F.pandas_udf(lambda texts: pd.Series([signatures(t) for t in texts]), "array<long>")
+    signed = sample.withColumn("signatures", each("text"))
+    for k in range(len(SEEDS)):
+        signed = signed.withColumn("signature", F.col("signatures")[k]).dropDuplicates(["signature"])
+    return signed.select("text", "toxic")
+
+
 def fit(sample: DataFrame, settings: Settings = Settings()) -> Model:
     """Learn insults and the curve from ``text, toxic``; the sample has a bound, and so has what is collected."""
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -332,4 +355,5 @@ def scored(df: DataFrame, name: str, model: Model, text: str = "text") -> DataFr
 
 def fitted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), folds: int = 5, held: int = 0) -> Model:
     """A model learned from the documents that are labelled and not held out."""
-    return fit(stored(labelled_sample(docs, labels, settings, folds, held), "labelled"), settings)
+    sample = stored(labelled_sample(docs, labels, settings, folds, held), "labelled")
+    return fit(stored(without_copies(sample), "labelled"), settings)
