@@ -228,8 +228,8 @@ def _rewrite(
     if set(shared) != set(keys):
         found = found.join(new.select(*keys).distinct().alias("s"), _same(keys, "t", "s"), "left_semi")
     hit = work.materialize(found.select(*parts, "folder").distinct(), "touched")
-    goals = new.select(*parts).distinct()
-    touched = work.materialize(hit.select(*parts).unionByName(goals).distinct(), "partitions")
+    # Both were stored, so this small list is cheap to compute again.
+    touched = hit.select(*parts).unionByName(new.select(*parts)).distinct()
     # Where the new rows go, stored rows may lie in folders that the search by key did not meet.
     changed = work.materialize(change(_in_partitions(target, touched, parts)), "changed")
     left = changed.select(*parts).distinct()
