@@ -27,9 +27,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays, that of the smallest id."""
+    """One document of each near-duplicate component stays, that of the smallest id.
+
+    Links are those of op2 and those of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more.
+    """
     prepare(spark)
-    return simhash.drop_near_duplicates(docs, words=3, radius=3)
+    return simhash.drop_near_duplicates(docs, words=3, radius=3, least=0.8, set_words=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,13 @@ differing bit for any pair in reach, so the bucket falls apart into buckets unde
 With few free bits left a bucket cannot be large, so this ends, and nothing is capped. A bucket yields
 links from its members to the smallest member they hang together with, never its pairs.
 
+``jaccard_links`` adds the links of texts whose sets of word shingles have a Jaccard similarity of at least
+``least``. Shingles are ordered by hash, those that a sample finds common last. Of a set of ``n``, only its first
+``n - ceil(least * n) + 1`` can hold the first shingle that it shares with a similar one, so similar texts
+share one of those, and every such pair is found whatever the sample. Shingles whose texts are all linked already,
+by fingerprints or by a text of one of the same lowest hashes, are passed over in an aggregate, so large groups of near
+copies yield no pairs. The others' pairs are compared set by set.
+
 Null and empty texts have the fingerprint zero and are linked like any other. Null ids are allowed and are
 passed over when the smallest id is looked for. Rows alike in id and text are one document written several
 times. Empty tables give empty results.
@@ -22,6 +29,7 @@ times. Empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import islice
@@ -150,12 +158,129 @@ def covering_links(prints: DataFrame, radius: int = 3, bucket: int = 512) -> Dat
         )
 
 
-def near_groups(df: DataFrame, doc_id: str, text: str, words: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """Documents (id, fp) and, for every fingerprint, its component (fp, component_id, first)."""
-    docs = df.select(column(doc_id).alias("id"), column(text).alias("text"))
-    docs = stored(docs.select("id", fingerprints(words)("text").alias("fp")), "simhash")
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The different hashes of a whole text's word shingles, ascending; none without words."""
+    found = (text or "").encode().lower().split()
+    if not found:
+        return np.empty(0, dtype="<i8")
+    if len(found) < words:
+        found, words = [b" ".join(found)], 1
+    hashed = map(partial(xxhash.xxh64_intdigest, seed=42), map(b" ".join, zip(*(found[k:] for k in range(words)))))
+    return np.unique(np.fromiter(hashed, dtype="<u8", count=len(found) - words + 1).view("<i8"))
+
+
+def shingle_sets(words: int):
+    """A column function: text to its set of shingles."""
+    return F.pandas_udf(lambda texts: pd.Series([shingles(t, words) for t in texts], dtype="object"), "array<long>")
+
+
+def _name(found: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(found.tobytes(), seed=7))
+
+
+def set_names(words: int):
+    """A column function: text to the digest of its set of shingles."""
+    return F.pandas_udf(lambda texts: pd.Series([_name(shingles(t, words)) for t in texts], dtype="int64"), "long")
+
+
+def prefixes(words: int, least: float, common: dict[int, int], lowest: int = 4):
+    """A column function: text to its set's digest and size, its lowest hashes, and the shingles similar texts share one of."""
+    known = np.array(sorted(common), dtype="<i8")
+    weights = np.array([common[k] for k in sorted(common)], dtype="int64")
+
+    def each(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            found, n = shingles(text, words), 0
+            if len(found):
+                n = len(found) - math.ceil(least * len(found) - 1e-9) + 1
+            weight = np.zeros(len(found), dtype="int64")
+            if len(known):
+                at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                weight = np.where(known[at] == found, weights[at], 0)
+            first = found[np.lexsort((found, weight))[:n]]
+            rows.append((_name(found), len(found), found[:lowest], first))
+        return pd.DataFrame(rows, columns=["name", "size", "lowest", "first"])
+
+    return F.pandas_udf(each, "name long, size long, lowest array<long>, first array<long>")
+
+
+def common_shingles(texts: DataFrame, words: int, sample: int = 20_000, often: int = 8, most: int = 100_000) -> dict[int, int]:
+    """Shingles of over ``often`` texts of a sample. They only order shingles; which links are found does not depend on it."""
+    share = min(1.0, sample / max(1, texts.count()))
+    drawn = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counts = drawn.select(F.explode(shingle_sets(words)("text")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    return {t: n for t, n in counts.filter(F.col("n") >= often).orderBy(F.desc("n"), "t").limit(most).collect()}
+
+
+def _similar(texts: DataFrame, docs: DataFrame, pairs: DataFrame, words: int, least: float, prints: int) -> DataFrame:
+    """Links ``a, b`` of fingerprints from pairs (fp_a, name_a, fp_b, name_b) whose sets are similar."""
+    pairs = stored(pairs.distinct(), "pairs")
+    a, b = [pairs.select(F.col(f"fp_{x}").alias("fp"), F.col(f"name_{x}").alias("name")) for x in "ab"]
+    wanted = stored(a.union(b).distinct(), "wanted")
+    ids = docs.join(wanted, ["fp", "name"], "left_semi").select(F.col("id").alias("wanted_id")).distinct()
+    held = texts.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    held = held.select(fingerprints(prints)("text").alias("fp"), set_names(words)("text").alias("name"), shingle_sets(words)("text").alias("set"))
+    held = stored(held.join(wanted, ["fp", "name"], "left_semi").groupBy("fp", "name").agg(F.first("set").alias("set")), "sets")
+    for x in "ab":
+        side = held.select(F.col("fp").alias(f"fp_{x}"), F.col("name").alias(f"name_{x}"), F.col("set").alias(f"set_{x}"))
+        pairs = pairs.join(side, [f"fp_{x}", f"name_{x}"])
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    alike = shared / (F.size("set_a") + F.size("set_b") - shared) >= least
+    return stored(pairs.filter(alike).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct(), "similar")
+
+
+def jaccard_roots(texts: DataFrame, docs: DataFrame, links: DataFrame, words: int, least: float, prints: int) -> DataFrame:
+    """Components ``node, root`` of fingerprints under ``links`` and the links of similar sets.
+
+    ``texts`` has id and text; ``docs`` has id, fp and what ``prefixes`` gives.
+    """
+    fits = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9
+    sets = docs.filter("size > 0").select("fp", "name", "size", "lowest", "first")
+    # Each text and the smallest of those with one of the same lowest hashes: as many pairs as hashes.
+    low = sets.select("fp", "name", "size", F.explode("lowest").alias("t"))
+    least_of = low.groupBy("t").agg(F.min(F.struct("fp", "name", "size")).alias("p"), F.max("fp").alias("last"))
+    least_of = least_of.filter("p.fp <> last").select("t", *[F.col(f"p.{c}").alias(f"{c}_b") for c in ("fp", "name", "size")])
+    pivots = low.select("t", *[F.col(c).alias(f"{c}_a") for c in ("fp", "name", "size")]).join(least_of, "t")
+    pivots = pivots.filter((F.col("fp_a") != F.col("fp_b")) & fits).select("fp_a", "name_a", "fp_b", "name_b")
+    roots = stored(connected_components(links.union(_similar(texts, docs, pivots, words, least, prints))), "components")
+
+    rooted = sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    each = rooted.select("root", F.explode("first").alias("t"))
+    mixed = each.groupBy("t").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("t")
+    mixed = stored(mixed, "mixed")
+    found = stored(sets.select("name", F.explode("first").alias("t")).join(mixed, "t", "left_semi").distinct(), "shared")
+    held = rooted.dropDuplicates(["fp", "name"]).join(found, "name")
+    held = stored(held.select("t", "root", "fp", "name", "size", (F.col("size") - F.array_position("first", F.col("t"))).alias("rest")), "held")
+    a, b = [held.select("t", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "fp", "name", "size", "rest")]) for x in "ab"]
+    # The first shared shingle has this many behind it at most.
+    room = 1 + F.least("rest_a", "rest_b") >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-9
+    pairs = a.join(b, "t").filter((F.col("root_a") < F.col("root_b")) & fits & room)
+    more = _similar(texts, docs, pairs.select("fp_a", "name_a", "fp_b", "name_b"), words, least, prints)
+    if more.isEmpty():
+        return roots
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return stored(connected_components(stars.union(more)), "components")
+
+
+def near_groups(
+    df: DataFrame, doc_id: str, text: str, words: int, radius: int, least: float | None = None, set_words: int = 5
+) -> tuple[DataFrame, DataFrame]:
+    """Documents (id, fp) and, for every fingerprint, its component (fp, component_id, first).
+
+    With ``least``, texts of that Jaccard similarity of their shingles of ``set_words`` words are linked as well.
+    """
+    texts = df.select(column(doc_id).alias("id"), column(text).alias("text"))
+    docs = texts.select("id", "text", fingerprints(words)("text").alias("fp"))
+    if least is not None:
+        docs = docs.withColumn("set", prefixes(set_words, least, common_shingles(texts, set_words))("text"))
+    docs = stored(docs.select("id", "fp", *(["set.*"] if least is not None else [])), "simhash")
     prints = stored(docs.groupBy("fp").agg(F.min("id").alias("low")), "fingerprints")
-    roots = stored(connected_components(covering_links(prints.select("fp"), radius)), "components")
+    links = covering_links(prints.select("fp"), radius)
+    if least is None:
+        roots = stored(connected_components(links), "components")
+    else:
+        roots = jaccard_roots(texts, docs, links, set_words, least, words)
     in_links = prints.join(roots.withColumnRenamed("node", "fp"), "fp")
     lows = stored(in_links.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp")).alias("first")), "lows")
     known = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(lows, "root", "left")
@@ -177,10 +302,16 @@ def simhash_duplicates(
 
 
 def drop_near_duplicates(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3
+    df: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    words: int = 3,
+    radius: int = 3,
+    least: float | None = None,
+    set_words: int = 5,
 ) -> DataFrame:
     """The rows of ``df`` with one document of each component left, that of the smallest id."""
-    docs, components = near_groups(df, doc_id, text, words, radius)
+    docs, components = near_groups(df, doc_id, text, words, radius, least, set_words)
     fp, i, kept_fp, n = fresh(df, "fp", "kept_id", "kept_fp", "copies")
     kept = components.filter(F.col("fp") == F.col("first.fp")).select(F.col("first.low").alias("id"), "fp")
     copies = docs.join(kept, docs["id"].eqNullSafe(kept["id"]) & (docs["fp"] == kept["fp"]), "left_semi")

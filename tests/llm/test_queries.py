@@ -1,8 +1,10 @@
 """Registered queries of the training-data operators against SQL or brute force."""
 
+import random
 import re
 import sys
 import zlib
+from collections import Counter
 from html import unescape
 from pathlib import Path
 
@@ -208,6 +210,45 @@ def test_pipeline_stage_by_stage(spark):
             assert sum(r["length"] for r in after) == sum(r["doc_tokens"] for r in after if r["start"] == 0)
 
 
+def five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", folded(text))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard_pairs(texts, least=0.8):
+    """Pairs of that similarity by comparing all texts that share a shingle."""
+    sets, holders = {i: five_words(t) for i, t in texts.items()}, {}
+    for i, found in sets.items():
+        for s in found:
+            holders.setdefault(s, []).append(i)
+    shared = Counter((a, b) for ids in holders.values() for a in ids for b in ids if a < b)
+    return [(a, b) for (a, b), n in shared.items() if n / (len(sets[a]) + len(sets[b]) - n) >= least]
+
+
+def check_near_dedup(spark, texts):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    prints = {i: plain_fingerprint(t) for i, t in texts.items()}
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    alike = jaccard_pairs(texts)
+    kept = dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, df, FOLDER).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(components(prints, near + alike).values()))
+    return [p for p in alike if p not in set(near)]
+
+
+def test_near_dedup_links_texts_of_similar_shingles(spark):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").collect()
+    assert check_near_dedup(spark, {r["doc_id"]: r["text"] for r in docs})
+
+
+def test_near_dedup_of_large_groups_and_common_passages(spark):
+    draw = random.Random(5)
+    words = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    base, passage = words(150), words(40)
+    texts = [[*base[:k], *words(n), *base[k + n :]] for n in (1, 5, 10, 14, 20) for k in range(0, 130, 7)]
+    texts += [[*words(draw.randrange(9)), *passage, *words(draw.randrange(9))] for _ in range(60)]
+    assert check_near_dedup(spark, {k: " ".join(t) for k, t in enumerate(texts)})
+
+
 def test_masks_cover_every_pair():
     masks = simhash.masks(3)
     rng = np.random.default_rng(1)
