@@ -19,7 +19,7 @@ links from its members to the smallest member they hang together with, never its
 ``least``. Shingles are ordered by hash, those that a sample finds common last. Of a set of ``n``, only its first
 ``n - ceil(least * n) + 1`` can hold the first shingle that it shares with a similar one, so similar texts
 share one of those, and every such pair is found whatever the sample. Shingles whose texts are all linked already,
-by fingerprints or by a text of one of the same lowest hashes, are passed over in an aggregate, so large groups of near
+by fingerprints or by a text of two of the same lowest hashes, are passed over in an aggregate, so large groups of near
 copies yield no pairs. The others' pairs are compared set by set.
 
 Null and empty texts have the fingerprint zero and are linked like any other. Null ids are allowed and are
@@ -219,8 +219,11 @@ def _similar(texts: DataFrame, docs: DataFrame, pairs: DataFrame, words: int, le
     a, b = [pairs.select(F.col(f"fp_{x}").alias("fp"), F.col(f"name_{x}").alias("name")) for x in "ab"]
     wanted = stored(a.union(b).distinct(), "wanted")
     ids = docs.join(wanted, ["fp", "name"], "left_semi").select(F.col("id").alias("wanted_id")).distinct()
+    ids = stored(ids, "wanted-ids")  # its size is known then; where it is small, texts need no shuffle
     held = texts.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    held = held.select(fingerprints(prints)("text").alias("fp"), set_names(words)("text").alias("name"), shingle_sets(words)("text").alias("set"))
+    # Not deterministic for Spark, or it would test the results for nulls on all texts, before the join.
+    made = [f.asNondeterministic()("text") for f in (fingerprints(prints), set_names(words), shingle_sets(words))]
+    held = held.select(*[f.alias(c) for f, c in zip(made, ("fp", "name", "set"))])
     held = stored(held.join(wanted, ["fp", "name"], "left_semi").groupBy("fp", "name").agg(F.first("set").alias("set")), "sets")
     for x in "ab":
         side = held.select(F.col("fp").alias(f"fp_{x}"), F.col("name").alias(f"name_{x}"), F.col("set").alias(f"set_{x}"))
@@ -237,12 +240,13 @@ def jaccard_roots(texts: DataFrame, docs: DataFrame, links: DataFrame, words: in
     """
     fits = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9
     sets = docs.filter("size > 0").select("fp", "name", "size", "lowest", "first")
-    # Each text and the smallest of those with one of the same lowest hashes: as many pairs as hashes.
+    # Each text and the smallest of those with one of the same lowest hashes, if it is that for two of them or more.
     low = sets.select("fp", "name", "size", F.explode("lowest").alias("t"))
     least_of = low.groupBy("t").agg(F.min(F.struct("fp", "name", "size")).alias("p"), F.max("fp").alias("last"))
     least_of = least_of.filter("p.fp <> last").select("t", *[F.col(f"p.{c}").alias(f"{c}_b") for c in ("fp", "name", "size")])
     pivots = low.select("t", *[F.col(c).alias(f"{c}_a") for c in ("fp", "name", "size")]).join(least_of, "t")
-    pivots = pivots.filter((F.col("fp_a") != F.col("fp_b")) & fits).select("fp_a", "name_a", "fp_b", "name_b")
+    pivots = pivots.filter((F.col("fp_a") != F.col("fp_b")) & fits).groupBy("fp_a", "name_a", "fp_b", "name_b")
+    pivots = pivots.agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     roots = stored(connected_components(links.union(_similar(texts, docs, pivots, words, least, prints))), "components")
 
     rooted = sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
