@@ -169,6 +169,20 @@ def test_style_tree_finds_the_template_without_markup_that_says_so(spark):
     assert result[100] == "Our shop\nText same of its own\nCall us"  # nothing varies, so nothing is removed
 
 
+def test_copied_pages_are_no_template(spark):
+    inner = "<div class=post><ul><li>One</li></ul><table><tr><td>{0}</td></tr></table><p>Two</p></div>"
+    article = "<body><article>" + inner + "</article></body>"
+    plain = "<body><div class=shop><span>{0}</span></div><div class=b><p>Text {0}</p></div></body>"
+    rows = [(k, "http://a.example/", article.format("same")) for k in range(40)]
+    rows += [(100, "http://a.example/", article.format("other")), (101, "http://a.example/", article.format("third"))]
+    rows += [(200 + k, "http://b.example/", plain.format("same")) for k in range(40)]
+    rows += [(300 + k, "http://b.example/", plain.format(k).replace("<p>", "<p class=x>")) for k in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    result = {r["page_id"]: r["text"] for r in pages.extracted(df).collect()}
+    assert {result[k] for k in range(40)} == {"One\nsame\nTwo"} and result[100] == "One\nother\nTwo"
+    assert {result[200 + k] for k in range(40)} == {"same\nText same"}
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, None, "system", None), (None, 1, None, "x"), (2, 3, "assistant", LONG), (2, 3, "assistant", LONG)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1))
