@@ -177,6 +177,9 @@ def test_copied_pages_are_no_template(spark):
     rows += [(100, "http://a.example/", article.format("other")), (101, "http://a.example/", article.format("third"))]
     rows += [(200 + k, "http://b.example/", plain.format("same")) for k in range(40)]
     rows += [(300 + k, "http://b.example/", plain.format(k).replace("<p>", "<p class=x>")) for k in range(3)]
+    # Other pages keep the parents of these styles alive.
+    rows += [(400 + k, "http://a.example/", f"<body><article><b>Own {k}</b></article></body>") for k in range(40)]
+    rows += [(500 + k, "http://b.example/", f"<body><i>Own {k}</i></body>") for k in range(40)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     result = {r["page_id"]: r["text"] for r in pages.extracted(df).collect()}
     assert {result[k] for k in range(40)} == {"One\nsame\nTwo"} and result[100] == "One\nother\nTwo"
