@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import chat, embeddings, exact, language, mixing, packing, pages, simhash, tokens, toxicity
+from lamella.llm import (
+    alignment,
+    chat,
+    embeddings,
+    exact,
+    language,
+    mixing,
+    negatives,
+    packing,
+    pages,
+    simhash,
+    tokens,
+    toxicity,
+    urls,
+)
 from lamella.llm.common import held_out, table
 
 
@@ -76,6 +90,33 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.length_histogram(table(spark, folder, "documents"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents cut by two tokenizers, aligned by bytes, with corpus-wide counts of linked ids."""
+    return alignment.aligned(table(spark, folder, "documents"))
+
+
+#: The rules of the contract.
+RULES = [
+    urls.Rule("org", "/", True),
+    urls.Rule("example.org", "/es/", False),
+    urls.Rule("example.org", "/en/1", False),
+    urls.Rule("com", "/fr/", True),
+    urls.Rule("com", "/de/", False),
+]
+
+
+def op12_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages judged by their URLs: by the rules, or by templates learned from what the rules judge."""
+    return urls.judged(table(spark, folder, "pages"), RULES)
+
+
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding, mined from all of them."""
+    rows, moved = table(spark, folder, "embeddings"), F.col("vec_id") % 7 == 0
+    rows = rows.withColumn("label", F.when(moved, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mined(rows, F.col("id") % 50 == 0)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -87,6 +128,9 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_embeddings": op9_embeddings,
     "op10_token_counts": op10_token_counts,
+    "op11_alignment": op11_alignment,
+    "op12_urls": op12_urls,
+    "op13_negatives": op13_negatives,
 }
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -161,5 +205,27 @@ SQL = {
                (SELECT min(b) FROM reached WHERE a = vec_id) AS component_id,
                (SELECT min(b) FROM reached WHERE a = vec_id) = vec_id AS kept
         FROM v""",
+    "op13_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL
+              AND len([x FOR x IN embedding IF isfinite(x)]) = len(embedding)),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+                   list_inner_product(a.e, b.e)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+        positives AS (
+            SELECT * FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        negatives AS (
+            SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score,
+                   n.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INTEGER AS rank
+            FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+             AND 100 * n.score BETWEEN 50 * p.score AND 95 * p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+        FROM negatives WHERE rank <= 3""",
 }
 SQL = {name: sql.strip() for name, sql in SQL.items()}
