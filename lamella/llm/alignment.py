@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -57,21 +58,46 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Bytes:
+    """A byte-level tokenizer. Where its merges come in the order of their ids, ids are ranks, and the ranks alone
+    decide: then a faster library encodes, which spells every text. Otherwise its own library does."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        letters, self.ranked = byte_letters(), None
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        entries, special = self.tokenizer.get_vocab(), self.tokenizer.get_added_tokens_decoder()
+        self.spelled = [b""] * (max(entries.values()) + 1)
+        for entry, i in entries.items():
+            self.spelled[i] = entry.encode() if i in special else bytes(letters[c] for c in entry)
+        model = json.loads(self.tokenizer.to_str())
+        merges = [entries["".join(m if isinstance(m, list) else m.split(" "))] for m in model["model"]["merges"]]
+        before = model["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and not before["add_prefix_space"] and not model["normalizer"]
+        if plain and merges == sorted(merges):
+            ranks = {x: i for i, x in enumerate(self.spelled) if i not in special}
+            self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str, whole: bytes) -> list[int] | None:
+        """The ids of a text; none where they do not spell it."""
+        if self.ranked:
+            return self.ranked.encode_ordinary(text)
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return ids if b"".join(map(self.spelled.__getitem__, ids)) == whole else None
+
+
 class Cutter:
     """Texts to the token ids of both tokenizers and the ends of their tokens in bytes."""
 
     def __init__(self, s: Settings):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(s.first)
-        self.a.encode_special_tokens = True
-        letters = byte_letters()
-        entries = self.a.get_vocab()
-        self.a_bytes = [b""] * (max(entries.values()) + 1)
-        for entry, i in entries.items():
-            self.a_bytes[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
+        self.a = Bytes(s.first)
+        self.a_bytes = self.a.spelled
         self.b = SentencePieceProcessor(model_file=s.second)
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.a_sizes = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
@@ -91,11 +117,9 @@ class Cutter:
         if not text:
             return [], []
         whole = (" " + text).encode()
-        a = self.a.encode(" " + text, add_special_tokens=False).ids
-        if b"".join(map(self.a_bytes.__getitem__, a)) != whole:
-            return [], []
+        a = self.a.encode(" " + text, whole)
         b = self.b.encode(text)
-        if b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+        if a is None or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return [], []
         return a, b
 
@@ -132,8 +156,9 @@ def links(cut: Cutter, texts: list) -> tuple[list[tuple], np.ndarray, np.ndarray
     for k, text in enumerate(texts):
         a, b = (np.array(ids, dtype=np.int64) for ids in cut.ids(text))
         a_ends, b_ends = np.cumsum(cut.a_sizes[a]), np.cumsum(cut.b_sizes[b])
-        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        ends = np.union1d(a_ends, b_ends)
+        ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+        twice = ends[1:] == ends[:-1]
+        common, ends = ends[1:][twice], ends[np.append(True, ~twice)[: len(ends)]]
         pair = (b[np.searchsorted(b_ends, ends)] << 32) | a[np.searchsorted(a_ends, ends)]
         digest = cut.digest(a, b, np.searchsorted(common, a_ends), np.searchsorted(common, b_ends))
         rows.append((len(a), len(b), len(common), len(ends), digest))

@@ -97,3 +97,20 @@ def test_runs_are_merged_in_order():
     assert [(i, len(r)) for i, r in alignment.merged(opened)] == [(1, 2), (2, 1), (4, 1)]
     found, counts = alignment.counted(runs)
     assert found.tolist() == sorted(set(pairs[0] + pairs[1])) and counts.tolist() == [4, 2, 2, 2]
+
+
+def test_ids_are_those_of_the_tokenizers(spark):
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    settings = alignment.Settings()
+    cut = alignment.cutter(settings)
+    first = Tokenizer.from_file(settings.first)
+    first.encode_special_tokens = True
+    second = SentencePieceProcessor(model_file=settings.second)
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").collect()
+    for text in [r["text"] for r in rows if r["text"]] + [t for t in TEXTS if t]:
+        a, b = cut.ids(text)
+        if a:
+            assert a == first.encode(" " + text, add_special_tokens=False).ids and b == second.encode(text)
+            assert b"".join(cut.a_bytes[i] for i in a) == (" " + text).encode()
