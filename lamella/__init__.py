@@ -16,6 +16,7 @@ from lamella.operators.select import all_from, dim, dims_from, facts_from, fct,
 from lamella.plans.metrics import Metric, in_the_past, metric_query, standard_metric, time_interval
 from lamella.plans.models import (
     join_models,
+    lookback_distinct_model,
     lookback_model,
     mart,
     rollup_model,
@@ -61,6 +62,7 @@ __all__ = [
     "in_the_past",
     "is_in",
     "join_models",
+    "lookback_distinct_model",
     "lookback_model",
     "mart",
     "metric_query",

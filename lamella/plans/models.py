@@ -7,14 +7,16 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamella.names import DIM, FCT, NAMES, Names
+from lamella.operators import trailing
 from lamella.operators.aggregate import agg_name, is_aggregate_expr, suffix_agg
 from lamella.operators.dates import date_filter, parse_dates
 from lamella.operators.grouping import apply_rollup, build, group_keys, order_limit
 from lamella.operators.joins import Join, add_scalars, join_all
 from lamella.operators.lookback import fed_dates, in_windows
-from lamella.operators.predicates import Condition, filter_where
+from lamella.operators.predicates import Condition, as_condition, filter_where
 from lamella.operators.roles import ident, role_of
 from lamella.operators.select import (
     Bulk,
@@ -253,6 +255,9 @@ def lookback_model(
     lists holding free aggregate expressions repeat the rows themselves. ``distinct_on`` names the
     columns such expressions read when it does not matter to them how often a row occurs (distinct
     counts, extremes): then only different rows of a day are repeated.
+
+    Long windows over many dates repeat nothing: see ``lamella.operators.trailing``. ``lookback_distinct_model``
+    counts different values exactly over them.
     """
     dates = parse_dates(dates)
     daily = names.daily
@@ -262,8 +267,14 @@ def lookback_model(
     mergeable = group_by is None and all(
         (o.agg if o.role == FCT else not o.exclude_from_group_by) for o in outputs
     )
+    first = 1 if exclude_event_date else 0
     if pre_aggregate and mergeable:
         df, outputs = _per_day(df, outputs, daily)
+        if min(len(dates), days - first + 1) > REPEATED and any(o.role == FCT for o in outputs):
+            event = Output(daily, daily, F.col("event"), DIM, computed=True)
+            windows = _swept if _all_taken_back(df, outputs) else _blocks
+            kept = tuple(partitions or names.partitions)
+            return windows(df, outputs, event, daily, dates, days, first, having, kept)
     elif distinct_on is not None and group_by is None:
         df, outputs = _distinct_per_day(df, outputs, daily, distinct_on)
     expanded = df.withColumn(
@@ -280,6 +291,100 @@ def lookback_model(
     )
 
 
+#: Copies of a day up to which it is repeated for the dates it feeds.
+REPEATED = 16
+
+
+def _all_taken_back(df: DataFrame, outputs: Sequence[Output]) -> bool:
+    """Whether every measure is a count or an exact sum."""
+    return all(
+        o.role == DIM or o.agg == "count" or (o.agg == "sum" and trailing.can_be_taken_back(df.schema[o.name].dataType))
+        for o in outputs
+    )
+
+
+def _blocks(df, outputs, event, daily, dates, days, first, having, partitions) -> DataFrame:
+    """Days to aligned blocks of days, blocks to the windows they make up."""
+    levels = trailing.levels_for(days, first)
+    blocks = df.select("*", F.explode(trailing.blocks_of(F.col(ident(daily)), levels)).alias("block")).drop(daily)
+    key = Output("block", "block", F.col("block"), DIM)
+    blocks = build(blocks, [key, *outputs])
+    windows = trailing.block_table(df, dates, days, first)
+    fed = blocks.join(windows, (F.col("block.level") == windows["level"]) & (F.col("block.start") == windows["start"]))
+    return build(fed.drop("block", "level", "start"), [*outputs, event], always_group=True, having=having, partitions=partitions)
+
+
+def _swept(df, outputs, event, daily, dates, days, first, having, partitions) -> DataFrame:
+    """Days enter and leave the windows; running totals are the measures."""
+    kinds = {o.name: df.schema[o.name].dataType for o in outputs if o.role == FCT}
+    changes = trailing.entering_and_leaving(df, daily, days, first, "swept sign", "swept from")
+    sign, measures = F.col("swept sign"), {"swept days": F.sum("swept sign")}
+    for name, kind in kinds.items():
+        # Wider than any total of the range; nulls are counted, since a sum of nulls only is null.
+        value = F.col(ident(name)).cast(value_type(kind))
+        measures[name] = F.coalesce(F.sum(F.when(sign > 0, value).otherwise(-value)), F.lit(0)).cast(value_type(kind))
+        measures[f"swept {name}"] = F.sum(F.when(value.isNotNull(), sign).otherwise(0))
+    keys = [o.name for o in outputs if o.role == DIM]
+    totals = trailing.swept(changes, keys, "swept from", measures, dates, "swept days")
+    for name, kind in kinds.items():
+        totals = totals.withColumn(name, F.when(F.col(f"`swept {name}`") > 0, F.col(ident(name)).cast(total_type(kind))))
+    chosen = [Output(o.name, o.source, F.col(ident(o.name)), o.role, metadata=o.metadata) for o in outputs]
+    result = build(totals, [*chosen, event], partitions=partitions)
+    condition = as_condition(having)
+    return result if condition is None else result.where(condition)
+
+
+def value_type(kind: T.DataType) -> T.DecimalType:
+    return T.DecimalType(38, getattr(kind, "scale", 0))
+
+
+def total_type(kind: T.DataType) -> T.DataType:
+    """The type Spark gives a sum of stored measures."""
+    return T.DecimalType(min(38, kind.precision + 10), kind.scale) if isinstance(kind, T.DecimalType) else T.LongType()
+
+
+def lookback_distinct_model(
+    df: DataFrame,
+    dates,
+    days: int,
+    dimensions: Sequence[str],
+    counted: Mapping[str, str],
+    *,
+    exclude_event_date: bool = False,
+    where: Condition = None,
+    partitions: Sequence[str] | None = None,
+    names: Names = NAMES,
+) -> DataFrame:
+    """Exact numbers of different values over trailing windows of any length.
+
+    ``counted`` maps result columns to the columns whose different non-null values are counted, for each
+    combination of ``dimensions`` and each event date whose window has a row. Rows are not repeated: the days on
+    which a value occurs become intervals of event dates, which add one when they begin and take it back when they end.
+    """
+    dates, first, daily = parse_dates(dates), 1 if exclude_event_date else 0, names.daily
+    if first > days:
+        raise ValueError("the window holds no day")
+    df = filter_where(in_windows(df, daily, dates, days, exclude_event_date), where)
+    dimensions = list(dimensions)
+    # A row for each day says which windows have rows at all.
+    rows = df.select(*[F.col(ident(d)) for d in dimensions], F.col(ident(daily))).distinct()
+    present = trailing.entering_and_leaving(rows, daily, days, first, "sign", "at").drop(daily)
+    changes = present.select(*[F.col(ident(d)) for d in dimensions], "at", F.lit(0).alias("swept measure"), "sign")
+    for k, column in enumerate(counted.values(), 1):
+        more = trailing.influence(df, dimensions, column, daily, days, first)
+        more = more.select(*[F.col(ident(d)) for d in dimensions], "at", F.lit(k).alias("swept measure"), "sign")
+        changes = changes.unionByName(more)
+    measures = {
+        name: F.sum(F.when(F.col("swept measure") == k, F.col("sign")).otherwise(0))
+        for k, name in enumerate(["swept days", *counted])
+    }
+    totals = trailing.swept(changes, dimensions, "at", measures, dates, "swept days")
+    roles = [Output(d, d, F.col(ident(d)), DIM) for d in dimensions]
+    roles += [Output(n, n, F.col(ident(n)), FCT, computed=True) for n in counted]
+    roles.append(Output(daily, daily, F.col("event"), DIM, computed=True))
+    return build(totals, roles, partitions=tuple(partitions or names.partitions))
+
+
 def _per_day(df: DataFrame, outputs: Sequence[Output], daily: str) -> tuple[DataFrame, list[Output]]:
     """Partial measures per day, and the outputs that merge them."""
     key = Output(daily, daily, F.col(ident(daily)), DIM)

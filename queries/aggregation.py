@@ -7,6 +7,7 @@ from lamella import (
     dim,
     fct,
     grain,
+    lookback_distinct_model,
     lookback_model,
     metric_query,
     rollup_model,
@@ -276,6 +277,79 @@ def lookback_distinct_rows(t):
     return lookback_model(staged_events(t), "2024-01-05~2024-01-30", 3, ["event_type", users])
 
 
+_YEAR = "1995-01-01~1995-12-31"
+
+
+def _orders_sql(days, first, facts, group="o_orderpriority"):
+    return f"""
+    WITH dates AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '1995-12-31', INTERVAL 1 DAY)) AS DATE) AS e),
+    stored AS (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)
+    SELECT {group}, {day("e")} AS partition_daily, {facts}
+    FROM dates INNER JOIN stored ON d <= e - {first} AND d >= e - {days} GROUP BY {group}, e
+    """
+
+
+_PRICES = """round(sum(o_totalprice), 2) AS o_totalprice_sum, CAST(count(o_totalprice) AS BIGINT) AS o_totalprice_count,
+    round(min(o_totalprice), 2) AS o_totalprice_min, round(max(o_totalprice), 2) AS o_totalprice_max"""
+
+
+@query(
+    "lookback_365d",
+    _orders_sql(365, 0, _PRICES + ", CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers, true AS within_bound"),
+)
+def lookback_365d(t):
+    """A year's windows on each day of a year: blocks of days, not a copy of each day for each date.
+
+    The sketch's distinct count is held against the exact one.
+    """
+    orders = staged_orders(t)
+    measures = [fct("o_totalprice", aggs=["sum", "count", "min", "max"]), fct("o_custkey", agg="hll")]
+    found = lookback_model(orders, _YEAR, 365, ["o_orderpriority", *measures])
+    exact = lookback_distinct_model(orders, _YEAR, 365, ["o_orderpriority"], {"customers": "o_custkey"})
+    joined = found.join(exact, ["o_orderpriority", "partition_daily"])
+    off = F.abs(F.hll_sketch_estimate("o_custkey_hll") - F.col("customers"))
+    return joined.withColumn("within_bound", off <= F.col("customers") * 0.05).drop("o_custkey_hll")
+
+
+@query(
+    "lookback_365d_counts",
+    _orders_sql(
+        365,
+        1,
+        """CAST(count(o_totalprice) AS BIGINT) AS o_totalprice_count, CAST(sum(o_orderkey) AS BIGINT) AS o_orderkey_sum,
+        round(sum(CAST(o_totalprice AS DECIMAL(12, 2))), 2)::DOUBLE AS price_sum""",
+        "o_orderpriority, o_orderstatus",
+    ),
+)
+def lookback_365d_counts(t):
+    """Counts and exact sums over a year's windows: each day enters them once and leaves them once."""
+    measures = [
+        fct("o_totalprice", agg="count"),
+        fct("o_orderkey", agg="sum"),
+        fct("price", "cast(o_totalprice as decimal(12, 2))", agg="sum"),
+    ]
+    picked = ["o_orderpriority", "o_orderstatus", *measures]
+    return lookback_model(staged_orders(t), _YEAR, 365, picked, exclude_event_date=True)
+
+
+@query(
+    "lookback_distinct_90d",
+    _orders_sql(90, 0, """CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers,
+        CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS priorities""", "o_orderstatus"),
+)
+def lookback_distinct_90d(t):
+    """Exact distinct counts over 90 days for every day of a year: two rows for each interval in which a value is seen."""
+    counted = {"customers": "o_custkey", "priorities": "o_orderpriority"}
+    return lookback_distinct_model(staged_orders(t), _YEAR, 90, ["o_orderstatus"], counted)
+
+
+@query("lookback_distinct_90d_exclusive", _orders_sql(90, 1, "CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers"))
+def lookback_distinct_90d_exclusive(t):
+    return lookback_distinct_model(
+        staged_orders(t), _YEAR, 90, ["o_orderpriority"], {"customers": "o_custkey"}, exclude_event_date=True
+    )
+
+
 def _hll_bound(estimate, exact, keys):
     """Exact distinct counts, and whether the sketch's are within 5 % of them."""
     joined = exact.join(estimate, keys)
