@@ -9,6 +9,7 @@ from lamella.names import NAMES, Names, partition_columns
 from lamella.operators.checks import checks_for, run_checks
 from lamella.operators.dates import date_filter, dates_table, full_months, month_starts, parse_dates
 from lamella.operators.incremental import Table, compact_partitions, table_for, write_incremental
+from lamella.operators.intervals import Between
 from lamella.operators.joins import Join
 from lamella.operators.predicates import all_true, any_true, compare, exists, is_in, not_exists, not_in, outer
 from lamella.operators.roles import canonical_order, dims, facts, with_roles
@@ -31,6 +32,7 @@ from lamella.sources.tables import describe_table, preview, read_seed, read_tabl
 
 __all__ = [
     "NAMES",
+    "Between",
     "EventTime",
     "Join",
     "Metric",

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lamella import Join, dim, fct, grain, is_in, join_models, select_model, unnest_model, with_roles
+from lamella import Between, Join, dim, fct, grain, is_in, join_models, select_model, unnest_model, with_roles
 from lamella.operators.select import all_from
 from queries.base import WEEK, day, moment, query, staged_events
 
@@ -68,6 +68,118 @@ def join_full_split(t):
     return _segments(t, "full", skewed=True)
 
 
+@query(
+    "join_full_skewed",
+    """
+    SELECT o.o_orderstatus, c.c_mktsegment, CAST(count(*) AS BIGINT) AS n, CAST(count(o.o_orderkey) AS BIGINT) AS orders,
+        round(sum(o.o_totalprice), 2) AS o_totalprice_sum, round(max(c.c_acctbal), 2) AS c_acctbal_max
+    FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 1 WHEN o_orderkey % 10 = 3 THEN NULL ELSE o_custkey END AS key
+          FROM orders) o
+    FULL JOIN (SELECT *, c_custkey AS key FROM customer) c ON o.key = c.key
+    GROUP BY o.o_orderstatus, c.c_mktsegment
+    """,
+)
+def join_full_skewed(t):
+    """Half of all orders belong to one customer, some to none."""
+    key = "CASE WHEN o_orderkey % 2 = 0 THEN 1 WHEN o_orderkey % 10 = 3 THEN NULL ELSE o_custkey END"
+    orders = t.orders.withColumn("key", F.expr(key))
+    customer = t.customer.withColumn("key", F.col("c_custkey"))
+    return join_models(
+        ("o", orders),
+        [Join(customer, "c", ["key"], "full", skewed=True)],
+        [
+            "o_orderstatus",
+            dim("c_mktsegment", side="c"),
+            fct("n", "count(*)"),
+            fct("orders", "count(o.o_orderkey)"),
+            fct("o_totalprice", agg="sum"),
+            fct("c_acctbal", agg="max", side="c"),
+        ],
+    )
+
+
+def _bands(t):
+    """What a customer may spend: a band of prices whose width differs from customer to customer."""
+    low = "c_acctbal * 20"
+    return t.customer.selectExpr(
+        "c_custkey", "c_mktsegment", "c_nationkey", f"{low} AS low", f"{low} + 10 + (c_custkey % 7) * 100 AS high"
+    )
+
+
+def _bands_sql(how, on="", where=""):
+    return f"""
+    SELECT o.o_orderstatus, c.c_mktsegment, CAST(count(*) AS BIGINT) AS n, CAST(count(o.o_orderkey) AS BIGINT) AS orders,
+        CAST(count(c.c_custkey) AS BIGINT) AS customers, round(max(o.o_totalprice), 2) AS o_totalprice_max
+    FROM (SELECT *, o_orderkey % 25 AS nation FROM orders {where}) o {how} JOIN
+        (SELECT *, c_acctbal * 20 AS low, c_acctbal * 20 + 10 + (c_custkey % 7) * 100 AS high FROM customer) c
+        ON o.o_totalprice BETWEEN c.low AND c.high {on}
+    GROUP BY o.o_orderstatus, c.c_mktsegment
+    """
+
+
+def _in_bands(t, how, on=(), where="true"):
+    orders = t.orders.where(where).withColumn("nation", F.expr("o_orderkey % 25"))
+    return join_models(
+        ("o", orders),
+        [Join(_bands(t), "c", on, how, between=Between("o.o_totalprice", "c.low", "c.high"))],
+        [
+            "o_orderstatus",
+            dim("c_mktsegment", side="c"),
+            fct("n", "count(*)"),
+            fct("orders", "count(o.o_orderkey)"),
+            fct("customers", "count(c.c_custkey)"),
+            fct("o_totalprice", agg="max"),
+        ],
+    )
+
+
+@query("join_interval", _bands_sql("INNER"))
+def join_interval(t):
+    return _in_bands(t, "inner")
+
+
+@query("join_interval_left", _bands_sql("LEFT"))
+def join_interval_left(t):
+    return _in_bands(t, "left")
+
+
+@query("join_interval_full", _bands_sql("FULL"))
+def join_interval_full(t):
+    return _in_bands(t, "full")
+
+
+@query("join_interval_keys", _bands_sql("RIGHT", "AND o.nation = c.c_nationkey"))
+def join_interval_keys(t):
+    """An equality beside the interval; rows of the right side are kept."""
+    return _in_bands(t, "right", [F.expr("o.nation = c.c_nationkey")])
+
+
+@query(
+    "join_interval_days",
+    """
+    SELECT o.o_orderpriority, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT l.l_orderkey) AS BIGINT) AS lines
+    FROM (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS opened, CAST(o_orderdate AS DATE) + 3 AS closed
+          FROM orders WHERE o_orderstatus = 'P') o
+    JOIN (SELECT l_orderkey, CAST(l_shipdate AS DATE) AS shipped FROM lineitem WHERE l_quantity < 3) l
+        ON l.shipped BETWEEN o.opened AND o.closed
+    GROUP BY o.o_orderpriority
+    """,
+)
+def join_interval_days(t):
+    """Intervals of days on the base, the point on the joined side."""
+    opened = t.orders.where("o_orderstatus = 'P'").selectExpr(
+        "o_orderpriority", "cast(o_orderdate as date) AS opened", "date_add(cast(o_orderdate as date), 3) AS closed"
+    )
+    lines = t.lineitem.where("l_quantity < 3").selectExpr("l_orderkey", "cast(l_shipdate as date) AS shipped")
+    within = Between("l.shipped", "o.opened", "o.closed")
+    return join_models(
+        ("o", opened),
+        [Join(lines, "l", between=within)],
+        ["o_orderpriority", fct("n", "count(*)"), fct("lines", "count(distinct l.l_orderkey)")],
+        inherit_time=False,
+    )
+
+
 @query(
     "join_by_names",
     """
