@@ -78,10 +78,31 @@ def _write(df: DataFrame, table: Table, mode: str, overwrite: str = "static") ->
     (writer.partitionBy(*table.partitions) if table.partitions else writer).save(table.path)
 
 
+def _roots(df: DataFrame) -> list[str]:
+    """The folders that a query reads files from, subqueries included; their files are not listed."""
+    plan, found = df._jdf.queryExecution().analyzed(), []
+    subqueries = plan.subqueriesAll()
+    for part in [plan, *(subqueries.apply(k) for k in range(subqueries.size()))]:
+        leaves = part.collectLeaves()
+        for leaf in (leaves.apply(k) for k in range(leaves.size())):
+            if leaf.getClass().getSimpleName() == "LogicalRelation":
+                relation = leaf.relation()
+                if relation.getClass().getSimpleName() == "HadoopFsRelation":
+                    paths = relation.location().rootPaths()
+                    found += [paths.apply(k).toString() for k in range(paths.size())]
+    return found
+
+
 def _reads(df: DataFrame, table: Table) -> bool:
-    """Whether ``df`` is computed from the table's own files."""
-    own = table.path.split(":", 1)[-1].replace("//", "/").rstrip("/") + "/"
-    return any(f.split(":", 1)[-1].replace("//", "/").startswith(own) for f in df.inputFiles())
+    """Whether ``df`` is computed from the table's own files: from its folder, one below or one above it."""
+
+    def plain(path: str) -> str:
+        path = path.split("://", 1)[-1] if "://" in path else path.split(":", 1)[-1]
+        return path.replace("//", "/").rstrip("/") + "/"
+
+    own = plain(table.path)
+    roots = [plain(p) for p in _roots(df)]
+    return any(p.endswith(own) or own in p or own.startswith(p) for p in roots)
 
 
 def _detached(df: DataFrame, table: Table, work: Workspace) -> DataFrame:
@@ -155,31 +176,32 @@ def merge_frame(
     ``exclude_columns``; unmatched new rows are inserted whole. Columns that ``new`` lacks keep
     their stored value, and are null in inserted rows. A null key matches nothing; such rows are
     spread by a number of their own, so that they do not meet in one task.
+
+    New keys are unique, so a left join gives the stored rows and an anti join the inserted ones; Spark splits hot
+    keys of both, which it does not for a full join.
     """
     if update_columns and exclude_columns:
         raise ValueError("give update_columns or exclude_columns, not both")
     check_columns(new, target, [*(update_columns or ()), *(exclude_columns or ())])
     columns = target.columns
     updated = set(update_columns or [c for c in columns if c not in (exclude_columns or ())]) & set(new.columns)
-    here = F.col(ident("t", "merge side")).isNotNull()
-    there = F.col(ident("s", "merge side")).isNotNull()
-    alone = F.when(_null_key(keys), F.monotonically_increasing_id() + 1).otherwise(0)
-
-    def marked(df: DataFrame) -> DataFrame:
-        return df.select("*", F.lit(True).alias("merge side"), alone.alias("merge spread"))
-
+    alone = F.when(_null_key(keys), F.monotonically_increasing_id() + 1).otherwise(0).alias("merge spread")
     same = _same([*keys, "merge spread"], "t", "s")
-    joined = marked(target).alias("t").join(marked(new).alias("s"), same, "full")
+    known = new.where(~_null_key(keys)).select("*", F.lit(0).cast("long").alias("merge spread"))
+    found = target.select("*", alone.cast("long").alias("merge spread")).alias("t").join(known.alias("s"), same, "left")
+    there = F.col(ident("s", "merge spread")).isNotNull()
 
     def pick(name: str) -> Column:
         old = F.col(ident("t", name))
-        if name not in new.columns:
-            return old.alias(name)
-        fresh = F.col(ident("s", name))
-        chosen = F.when(there, fresh).otherwise(old) if name in updated else F.when(here, old).otherwise(fresh)
-        return chosen.alias(name)
-
-    return joined.select(*[pick(c) for c in columns])
+        return F.when(there, F.col(ident("s", name))).otherwise(old).alias(name) if name in updated else old
+
+    # Each stored key once, however many rows it has.
+    present = target.select(*keys).where(~_null_key(keys)).distinct()
+    present = present.withColumn("merge spread", F.lit(0).cast("long"))
+    added = new.select("*", alone.cast("long").alias("merge spread")).alias("t")
+    added = added.join(present.alias("s"), same, "left_anti").drop("merge spread")
+    rows = found.select(*[pick(c) for c in columns])
+    return rows.unionByName(added, allowMissingColumns=True).select(*columns)
 
 
 def _in_partitions(df: DataFrame, touched: DataFrame, partitions: Sequence[str]) -> DataFrame:

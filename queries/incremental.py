@@ -143,6 +143,28 @@ def merge_exclude_columns(t):
     return _merged(t, exclude_columns=["o_orderstatus"])
 
 
+@query(
+    "merge_hot_key",
+    f"""
+    WITH base AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 1 WHEN o_orderkey % 10 = 3 THEN NULL ELSE o_custkey END AS key
+                  FROM ({_BASE})),
+    fresh AS (SELECT c_custkey AS key, c_mktsegment AS o_orderstatus, c_acctbal AS o_totalprice FROM customer)
+    SELECT o_orderkey, base.key, coalesce(f.o_orderstatus, base.o_orderstatus) AS o_orderstatus,
+        round(coalesce(f.o_totalprice, base.o_totalprice), 2) AS o_totalprice FROM base LEFT JOIN fresh f ON base.key = f.key
+    UNION ALL SELECT NULL, key, o_orderstatus, round(o_totalprice, 2) FROM fresh
+        WHERE key NOT IN (SELECT key FROM base WHERE key IS NOT NULL)
+    """,
+)
+def merge_hot_key(t):
+    """Half of all stored rows have one key, some none."""
+    key = "CASE WHEN o_orderkey % 2 = 0 THEN 1 WHEN o_orderkey % 10 = 3 THEN NULL ELSE o_custkey END"
+    stored = _orders(t).selectExpr("o_orderkey", f"{key} AS key", "o_orderstatus", "o_totalprice")
+    table = _stored(t, stored, "merge-hot")
+    fresh = t.customer.selectExpr("c_custkey AS key", "c_mktsegment AS o_orderstatus", "c_acctbal AS o_totalprice")
+    write_incremental(fresh, table, "merge", unique_key="key")
+    return table.read(t.spark, stored.schema)
+
+
 @query(
     "merge_moves_partition",
     f"""

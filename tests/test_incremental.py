@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella import Table, compact_partitions, mart, preview, table_for, write_incremental
+from lamella.operators import incremental
 from lamella.operators.incremental import (
     _rewrite,
     default_unique_key,
@@ -257,3 +258,21 @@ def test_folders_of_table_formats_are_left_alone(spark, tmp_path):
     full_refresh(rows, table)
     with pytest.raises(ValueError, match="plain files"):
         _rewrite(replace(table, format="delta"), table.read(spark), rows, ["k"], lambda old: old, None)
+
+
+def test_a_merge_splits_hot_keys(spark):
+    old = spark.range(10).selectExpr("id % 3 AS k", "id AS v")
+    plan = merge_frame(old, spark.range(5).selectExpr("id AS k", "id AS v"), ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan and "LeftOuter" in plan and "LeftAnti" in plan
+
+
+def test_what_a_query_reads_is_known_without_listing_files(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    spark.range(10).selectExpr("id", "id % 2 AS p").write.partitionBy("p").parquet(path)
+    table, other = Table(path, ("p",)), Table(str(tmp_path / "stor"), ("p",))
+    own = spark.read.parquet(path)
+    within = spark.range(3).where(F.col("id").isin(own.select("id")))
+    for df in (own, own.groupBy("p").count(), spark.read.parquet(path + "/p=1"), within, spark.range(1).union(own.select("id"))):
+        assert incremental._reads(df, table) and not incremental._reads(df, other)
+    assert not incremental._reads(spark.range(3), table)
+    assert "inputFiles" not in Path(incremental.__file__).read_text()
