@@ -1,4 +1,4 @@
-"""Exact percentiles of groups of any size."""
+"""Exact percentiles of groups of any size and number, by radix selection."""
 
 from __future__ import annotations
 
@@ -9,115 +9,99 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.operators.roles import ident
-from lamella.session import working_path
 
-# Different values of a slice, about, and the bounds of the number of slices of a group.
-SLICE_VALUES = 50_000
-FEWEST, MOST = 16, 4096
+#: Bits that a round decides, and the shifts of the four rounds that decide 64.
+RADIX = 16
+SHIFTS = (48, 32, 16, 0)
 
-# Cut points compared one by one; the others are skipped by whole blocks.
-BLOCK = 16
+#: The layout of a double (IEEE 754).
+FRACTION, BIAS, LEAST_NORMAL, LEAST = 2**52, 1023, 2.0**-1022, 2.0**-1074
 
-# Size of the sketch the cut points come from; its error only makes slices uneven.
-SKETCH_SIZE = 4096
 
+def ordered_bits(value: Column) -> Column:
+    """The bits of a double as a long of the same order; both zeros are 0, nan is above infinity.
+
+    Built from arithmetic that is exact for doubles: powers of two, and quotients by them. The logarithm may be off by one
+    next to a power of two, which is put right by comparing.
+    """
+    size = F.abs(value)
+    guess = F.floor(F.log2(size)).cast("int")
+    power = F.pow(F.lit(2.0), guess.cast("double"))
+    over, under = F.pow(F.lit(2.0), (guess + 1).cast("double")) <= size, power > size
+    exponent = F.when(over, guess + 1).when(under, guess - 1).otherwise(guess)
+    fraction = size / F.pow(F.lit(2.0), exponent.cast("double")) - 1
+    normal = (exponent + BIAS).cast("long") * FRACTION + (fraction * float(FRACTION)).cast("long")
+    endless = F.lit(2047 * FRACTION).cast("long")
+    bits = (
+        F.when(F.isnan(value), endless + 1)
+        .when(size == float("inf"), endless)
+        .when(size < LEAST_NORMAL, (size / LEAST).cast("long"))
+        .otherwise(normal)
+    )
+    return F.when(value < 0, -bits).otherwise(bits)
 
-def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: Column, quantiles: Mapping[str, float], slices: int | None = None
-) -> DataFrame:
-    """Interpolated percentiles of ``value`` per group, one output column per quantile.
 
-    Spark's own exact percentile holds a group's values in one task. Here equal values are
-    counted first; a sketch of each group then gives cut points, every slice between two cut
-    points is counted, and only the slices that hold a wanted rank are sorted. The cut points
-    only decide how the work is divided: the counts are exact, so the result is too.
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, quantiles: Mapping[str, float]) -> DataFrame:
+    """Interpolated percentiles of ``value`` per group, one output column per quantile.
 
-    The counted values are written once to the shared folder, so the source is read once, and tell
-    how many slices the largest group needs (unless ``slices`` does).
+    Spark's own exact percentile holds a group's values in one task. Here equal values are counted, and a wanted
+    rank is found from the left of the value's bits: the counts of the 65,536 prefixes of a group say which prefix holds
+    the rank, only values with that prefix are counted on, by the next 16 bits, until all 64 are known. No group, hot or
+    not, is sorted or held anywhere: a round keeps at most 65,536 counts for each prefix it looks into, after
+    combining in every task. Nothing runs now.
     """
     keys = list(keys)
     counted = (
-        df.select(*keys, value.cast("double").alias("v"))
+        df.select(*[F.col(ident(k)) for k in keys], value.cast("double").alias("v"))
         .where(F.col("v").isNotNull())
-        .groupBy(*keys, "v")
+        .groupBy(*[F.col(ident(k)) for k in keys], "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    spark = df.sparkSession
-    path = working_path(spark, "counted")
-    counted.write.parquet(path)
-    counted = spark.read.schema(counted.schema).parquet(path)
-    if slices is None:
-        largest = counted.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        slices = min(MOST, max(FEWEST, -(-largest // SLICE_VALUES)))
-    # The positions of the cut points, as one constant.
-    steps = F.split(F.lit(",".join(str(i / slices) for i in range(1, slices))), ",").cast("array<double>")
-    sketch = F.kll_sketch_agg_double("v", F.lit(SKETCH_SIZE))
-    cuts = counted.groupBy(*keys).agg(F.kll_sketch_get_quantile_double(sketch, steps).alias("cuts"))
-    cuts = cuts.withColumn("marks", F.filter("cuts", lambda c, i: (i + 1) % BLOCK == 0))
-    # Cut points below a value: whole blocks by their last point, then within one block.
-    blocks = F.size(F.filter("marks", lambda c: c < F.col("v"))) * BLOCK
-    rest = F.filter(F.slice("cuts", F.col("blocks") + 1, F.lit(BLOCK)), lambda c: c < F.col("v"))
-    sliced = _on(counted, cuts, keys).select(*keys, "v", "n", "cuts", blocks.alias("blocks"))
-    sliced = sliced.select(*keys, "v", "n", (F.col("blocks") + F.size(rest)).alias("slice"))
-
-    # Rows before each slice: one row per slice and group, at most ``slices`` per group.
-    sizes = sliced.groupBy(*keys, "slice").agg(F.sum("n").alias("size"))
-    by_group = Window.partitionBy(*keys)
-    so_far = by_group.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sizes.select(
-        *keys,
-        "slice",
-        (F.sum("size").over(so_far) - F.col("size")).alias("before"),
-        F.sum("size").over(so_far).alias("upto"),
-        F.sum("size").over(by_group).alias("total"),
-    )
-    ranks = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), ((F.col("total") - 1) * F.lit(float(q))).alias("rank"))
-            for name, q in quantiles.items()
-        ]
-    )
-    # A percentile lies between two neighbouring ranks, which may fall into two slices.
-    near = F.filter(ranks, lambda r: (F.ceil(r["rank"]) >= F.col("before")) & (F.floor(r["rank"]) < F.col("upto")))
-    wanted = placed.select(*keys, "slice", "before", near.alias("ranks")).where(F.size("ranks") > 0)
-
-    in_slice = Window.partitionBy(*keys, "slice").orderBy("v")
-    upto = F.sum("n").over(in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = _on(sliced, wanted, [*keys, "slice"]).select(*keys, "v", "n", "before", "ranks", upto.alias("end"))
-    hits = ranked.select(
-        *keys,
-        "v",
-        (F.col("before") + F.col("end") - F.col("n")).alias("first"),
-        (F.col("before") + F.col("end") - 1).alias("last"),
-        F.inline("ranks"),
-    )
-    covers = {
-        side: F.when((F.col("first") <= F.col(side)) & (F.col(side) <= F.col("last")), F.col("v"))
-        for side in ("low", "high")
-    }
-    found = hits.withColumns({"low": F.floor("rank"), "high": F.ceil("rank")}).select(
-        *keys, "name", "rank", covers["low"].alias("at_low"), covers["high"].alias("at_high")
-    )
-    # Both neighbours and the position between them, per quantile; max ignores the other rows.
+    values = counted.withColumn("bits", ordered_bits(F.col("v")))
+    names = [F.col(ident(k)) for k in keys]
+    wanted = None
+    for shift in SHIFTS:
+        held = values if wanted is None else _with(values, wanted, keys, shift + RADIX)
+        rest = [] if wanted is None else [F.any_value("ranks").alias("ranks")]
+        counts = held.groupBy(*names, F.shiftright("bits", shift).alias("prefix")).agg(
+            F.sum("n").alias("n"), F.min("v").alias("v"), *rest
+        )
+        # At most 65,536 rows, whatever the size of the group.
+        within = Window.partitionBy(*names, F.lit(0) if wanted is None else F.shiftright("prefix", RADIX))
+        upto = F.sum("n").over(within.orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        placed = {"upto": upto} | ({"total": F.sum("n").over(within)} if wanted is None else {})
+        placed = counts.withColumns(placed).withColumn("before", F.col("upto") - F.col("n"))
+        ranks = _ranks(quantiles) if wanted is None else F.col("ranks")
+        hit = F.filter(ranks, lambda r: (r["rank"] >= F.col("before")) & (r["rank"] < F.col("upto")))
+        # Ranks count from the first value of the prefix from here on.
+        hit = F.transform(hit, lambda r: r.withField("rank", r["rank"] - F.col("before")))
+        wanted = placed.select(*names, "prefix", "v", hit.alias("ranks")).where(F.size("ranks") > 0)
+    found = wanted.select(*names, "v", F.inline("ranks"))
     columns = []
     for name in quantiles:
-        mine = F.col("name") == name
-        low = F.max(F.when(mine, F.col("at_low")))
-        high = F.max(F.when(mine, F.col("at_high")))
-        part = F.max(F.when(mine, F.col("rank") - F.floor("rank")))
-        columns.append((low + (high - low) * part).alias(name))
-    return found.groupBy(*keys).agg(*columns)
-
-
-def _on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on null-safe keys; without keys ``right`` is one row, looked up once."""
-    if not keys:
-        return left.select("*", *[right.select(c).scalar().alias(c) for c in right.columns])
-    same = reduce(
-        lambda a, b: a & b, [F.col(ident("l", k)).eqNullSafe(F.col(ident("r", k))) for k in keys]
-    )
-    joined = left.alias("l").join(right.alias("r"), same)
-    return joined.select(
-        *[F.col(ident("l", c)) for c in left.columns],
-        *[F.col(ident("r", c)) for c in right.columns if c not in keys],
-    )
+        at = {side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("v"))) for side in ("low", "high")}
+        part = F.max(F.when(F.col("name") == name, F.col("part")))
+        between = at["low"] + (at["high"] - at["low"]) * part
+        columns.append(F.when(at["low"] == at["high"], at["low"]).otherwise(between).alias(name))
+    return found.groupBy(*names).agg(*columns)
+
+
+def _ranks(quantiles: Mapping[str, float]) -> Column:
+    """The two neighbouring ranks of each percentile, which may have different prefixes, and the position between them."""
+    found = []
+    for name, q in quantiles.items():
+        rank = (F.col("total") - 1) * F.lit(float(q))
+        for side, at in (("low", F.floor(rank)), ("high", F.ceil(rank))):
+            part = (rank - F.floor(rank)).alias("part")
+            found.append(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), at.cast("long").alias("rank"), part))
+    return F.array(*found)
+
+
+def _with(values: DataFrame, wanted: DataFrame, keys: Sequence[str], shift: int) -> DataFrame:
+    """The values whose prefix holds a wanted rank, with those ranks."""
+    prefix = F.shiftright(F.col(ident("l", "bits")), shift)
+    same = [F.col(ident("l", k)).eqNullSafe(F.col(ident("r", k))) for k in keys]
+    # Null-safe, so that nothing is derived about the values and all rounds read the same counts.
+    same.append(prefix.eqNullSafe(F.col(ident("r", "prefix"))))
+    joined = values.alias("l").join(wanted.alias("r"), reduce(lambda a, b: a & b, same))
+    return joined.select(*[F.col(ident("l", c)) for c in values.columns], F.col(ident("r", "ranks")))

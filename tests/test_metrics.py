@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+import struct
 
 import numpy as np
 import pytest
@@ -27,7 +29,7 @@ from lamella import (
     time_interval,
 )
 from lamella.functions import scalars as S
-from lamella.operators.percentile import exact_percentiles
+from lamella.operators.percentile import exact_percentiles, ordered_bits
 from lamella.plans.metrics import INTERVALS, default_window, equals_text, metric_time_column
 
 
@@ -70,22 +72,62 @@ def test_sketches_stay_within_their_bounds_through_rollups(spark):
         assert abs(read[name] - float(name[1:]) * 10) < 30, name
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(
-    values=st.lists(st.one_of(st.none(), st.integers(-20, 20)), min_size=1, max_size=60),
-    slices=st.sampled_from([2, 3, 16]),
+NUMBERS = st.one_of(
+    st.none(), st.integers(-20, 20).map(float), st.floats(allow_nan=False, allow_infinity=False, width=64).filter(lambda x: abs(x) < 1e150)
 )
-def test_percentiles_are_exact(spark, values, slices):
-    df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)], "k int, v int")
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(NUMBERS, min_size=1, max_size=60))
+def test_percentiles_are_exact(spark, values):
+    df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)], "k int, v double")
     wanted = {"low": 0.1, "mid": 0.5, "high": 1.0}
-    found = {r.k: r for r in exact_percentiles(df, ["k"], F.col("v"), wanted, slices).collect()}
+    found = {r.k: r for r in exact_percentiles(df, ["k"], F.col("v"), wanted).collect()}
     for k in (0, 1):
         group = [v for i, v in enumerate(values) if i % 2 == k and v is not None]
         if not group:
             assert k not in found
             continue
         for name, q in wanted.items():
-            assert found[k][name] == pytest.approx(np.quantile(group, q)), (name, group)
+            assert found[k][name] == pytest.approx(np.quantile(group, q), rel=1e-12, abs=1e-300), (name, group)
+
+
+def test_bits_are_in_the_order_of_the_values(spark):
+    edges = [0.0, -0.0, 5e-324, 1e-310, 2.0**-1022, 1.0, 1.0 - 2**-53, 1.0 + 2**-52, 1.7976931348623157e308, math.inf, math.nan]
+    powers = [2.0**k for k in range(-1074, 1024, 3)]
+    near = [math.nextafter(x, y) for x in powers for y in (0, math.inf)]
+    values = edges + [-x for x in edges[:-1]] + powers + near + [-x for x in near] + np.random.default_rng(1).normal(size=500).tolist()
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", ordered_bits(F.col("v")).alias("bits"))
+    for r in df.collect():
+        (own,) = struct.unpack("<q", struct.pack("<d", abs(r.v)))
+        assert r.bits == (2047 * 2**52 + 1 if math.isnan(r.v) else -own if r.v < 0 else own), r
+
+
+def test_percentiles_of_a_million_groups(spark):
+    df = spark.range(2_500_000).selectExpr("id % 1000000 AS g", "cast(xxhash64(id) % 100000 AS double) / 7 AS v")
+    mine = exact_percentiles(df, ["g"], F.col("v"), {"median": 0.5, "p95": 0.95})
+    theirs = df.groupBy("g").agg(F.median("v").alias("m"), F.percentile("v", 0.95).alias("p"))
+    off = F.coalesce((F.abs(F.col("median") - F.col("m")) > 1e-6) | (F.abs(F.col("p95") - F.col("p")) > 1e-6), F.lit(True))
+    assert mine.join(theirs, "g", "right").agg(F.count("*"), F.sum(off.cast("int"))).first()[:] == (1_000_000, 0)
+
+
+def test_endless_values_have_percentiles(spark):
+    rows = [("a", math.inf), ("a", math.inf), ("b", -math.inf), ("b", 1.0), ("b", 2.0), ("c", math.nan), ("c", 3.0), ("c", 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    found = {r.k: (r.low, r.mid) for r in exact_percentiles(df, ["k"], F.col("v"), {"low": 0.0, "mid": 0.5}).collect()}
+    assert found == {"a": (math.inf, math.inf), "b": (-math.inf, 1.0), "c": (3.0, 4.0)}
+
+
+def test_percentiles_read_their_values_once(spark, tmp_path):
+    path = str(tmp_path / "values")
+    spark.range(20_000).selectExpr("id % 3 AS k", "cast(id AS double) AS v").write.parquet(path)
+    found = exact_percentiles(spark.read.parquet(path), ["k"], F.col("v"), {"median": 0.5})
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    found = exact_percentiles(spark.read.parquet(path), ["k"], F.col("v"), {"median": 0.5})
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - len(jobs) <= 1  # the schema is read, nothing else
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") >= 3 and " Sort [v" not in plan
 
 
 def test_percentiles_of_one_hot_group(spark):
