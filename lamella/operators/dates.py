@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamella.names import NAMES, Names
-from lamella.operators.roles import ident
+from lamella.operators.roles import ident, tied
 
 Date = dt.date
 Range = tuple[dt.date, dt.date]
@@ -164,6 +164,9 @@ def date_filter(
 
     Each of the monthly and daily partition columns the model has is filtered, except those
     finer than the grain the reader aggregates to. Marts are never filtered.
+
+    A list of months says nothing that Spark can carry to a scan of event times. Where the model still has the day
+    or the time its months are cut from (and nothing computed in between), the months are ranges of these too.
     """
     if dates is None or layer == "mart" or exclude_date_filter:
         return df
@@ -176,6 +179,9 @@ def date_filter(
         df = df.where(
             in_dates(column, dates, df.schema[name].dataType, "month" if name == names.monthly else "day")
         )
+    finer = next((c for c in (names.daily, names.datetime) if tied(df, names.monthly, c)), None)
+    if names.monthly in usable and finer is not None:
+        df = df.where(in_ranges(F.col(ident(finer)), dates, df.schema[finer].dataType, "month"))
     return df
 
 

@@ -24,6 +24,29 @@ def role_of(df: DataFrame, name: str) -> str:
     return field_metadata(df, name).get("role", DIM)
 
 
+#: Metadata of time columns that are cut from one event time: its source and expression.
+TIME = "cut from"
+
+
+def tied(df: DataFrame, first: str, second: str) -> bool:
+    """Whether two columns are known to be cut from the same event time of the same row."""
+    if first not in df.columns or second not in df.columns:
+        return False
+    own = field_metadata(df, first).get(TIME)
+    return own is not None and own == field_metadata(df, second).get(TIME)
+
+
+def united(branches: Sequence[DataFrame], result: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The union of ``branches``, whose columns say what the first says: times are tied where they are in all."""
+    known = [c for c in names if c in result.columns and TIME in field_metadata(result, c)]
+    if all(tied(b, known[0], c) for b in branches for c in known):
+        return result
+    plain = {c: {k: v for k, v in field_metadata(result, c).items() if k != TIME} for c in known}
+    return result.select(
+        *[F.col(ident(c)).alias(c, metadata=plain[c]) if c in plain else F.col(ident(c)) for c in result.columns]
+    )
+
+
 def with_roles(df: DataFrame, facts: Iterable[str] = (), dims: Iterable[str] = ()) -> DataFrame:
     """Mark the given columns; all others keep the role they have."""
     roles = {**{c: DIM for c in dims}, **{c: FCT for c in facts}}

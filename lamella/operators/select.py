@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lamella.functions.scalars import trunc_to
 from lamella.names import DIM, FCT, NAMES, Names
 from lamella.operators.aggregate import agg_name
-from lamella.operators.roles import bulk_select, field_metadata, ident, role_of
+from lamella.operators.roles import TIME, bulk_select, field_metadata, ident, role_of
 
 
 @dataclass(frozen=True)
@@ -117,6 +117,12 @@ class Scope:
             raise ValueError(f"unknown side {side!r}, expected one of {list(self.sides)}")
         return self.sides[side]
 
+    def metadata(self, name: str, side: str | None = None) -> dict:
+        """What is known of a column; another side's times are not those of the base's rows."""
+        found = field_metadata(self.frame(side), name)
+        other = self.qualify and side not in (None, self.base)
+        return {k: v for k, v in found.items() if not (other and k == TIME)}
+
     def column(self, name: str, side: str | None = None) -> Column:
         if not self.qualify:
             return F.col(ident(name))
@@ -157,7 +163,7 @@ def resolve(select: Sequence, scope: Scope) -> list[Output]:
                 column = trunc_to(item.interval, column)
                 computed = True
         elif not computed and item.name in frame.columns:
-            metadata = field_metadata(frame, item.name)
+            metadata = scope.metadata(item.name, item.side)
         for agg in item.aggs or (None,):
             name = agg_name(item.name, agg, item.override_suffix) if agg else item.name
             add(
@@ -179,5 +185,5 @@ def inherited(name: str, scope: Scope, side: str | None = None) -> Output:
     """A column taken over as it is, with its role but never with an aggregation."""
     frame = scope.frame(side)
     return Output(
-        name, name, scope.column(name, side), role_of(frame, name), metadata=field_metadata(frame, name)
+        name, name, scope.column(name, side), role_of(frame, name), metadata=scope.metadata(name, side)
     )

@@ -17,7 +17,7 @@ from lamella.operators.grouping import apply_rollup, build, group_keys, order_li
 from lamella.operators.joins import Join, add_scalars, join_all
 from lamella.operators.lookback import fed_dates, in_windows
 from lamella.operators.predicates import Condition, as_condition, filter_where
-from lamella.operators.roles import ident, role_of
+from lamella.operators.roles import ident, role_of, united
 from lamella.operators.select import (
     Bulk,
     Item,
@@ -223,7 +223,8 @@ def union_models(
     roles = {c: role_of(models[0], c) for c in models[0].columns}
     chosen = [Item(c, role=roles.get(c, DIM)) if isinstance(c, str) and select is None else c for c in chosen]
     branches = [select_model(df, chosen, where=where, dates=dates, **options) for df in models]
-    return reduce(DataFrame.unionByName, branches)
+    names = options.get("names", NAMES)
+    return united(branches, reduce(DataFrame.unionByName, branches), (names.datetime, *names.partitions))
 
 
 def rollup_model(

@@ -19,7 +19,7 @@ from lamella.operators.dates import (
     recorded_partition_filter,
 )
 from lamella.operators.predicates import Condition, filter_where
-from lamella.operators.roles import canonical_order
+from lamella.operators.roles import TIME, canonical_order, united
 from lamella.operators.select import Item, Output, Scope, put, resolve
 from lamella.sources.spec import PartitionPredicate, SourceSpec
 
@@ -108,7 +108,8 @@ def time_columns(spec: SourceSpec, names: Names = NAMES) -> list[Output]:
         names.hourly: f"cast({day} as timestamp_ntz) + make_dt_interval(0, hour({moment}))",
         names.monthly: f"trunc({day}, 'month')",
     }
-    return [Output(name, name, F.expr(text), DIM, computed=True) for name, text in built.items()]
+    cut = {TIME: f"{spec.source_id}: {spec.event_time.expr}"}
+    return [Output(name, name, F.expr(text), DIM, computed=True, metadata=cut) for name, text in built.items()]
 
 
 def stage_source(
@@ -168,6 +169,7 @@ def stage_union(
     first = sources[0][0]
     chosen = select or [Item(c) for c in first.columns]
     branches = [stage_source(df, spec, chosen, where=where, **options) for df, spec in sources]
-    return reduce(DataFrame.unionByName, branches)
+    names = options.get("names", NAMES)
+    return united(branches, reduce(DataFrame.unionByName, branches), (names.datetime, *names.partitions))
 
 
