@@ -7,12 +7,12 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lamella.names import NAMES, Names
 from lamella.operators.dates import in_dates, parse_dates
-from lamella.operators.predicates import Condition, filter_where
+from lamella.operators.predicates import Condition, all_true, as_condition, filter_where
 from lamella.operators.roles import ident
 
 # What a failing row-count check says.
@@ -203,20 +203,121 @@ def freshness(
     return aged.withColumn("status", status)
 
 
+@dataclass(frozen=True)
+class Counted:
+    """A check whose failing rows one aggregate can count, so that many such checks share one read of the model.
+
+    Called with a model it gives the failing rows, like any other check. ``count`` is an aggregate of the model;
+    ``rows``, where given, counts rows by a condition alone, which also works while the model is written.
+    """
+
+    failing: Callable[[DataFrame], DataFrame | None]
+    count: Callable[[DataFrame], Column | None]
+    rows: Callable[[DataFrame], Column] | None = None
+
+    def __call__(self, df: DataFrame) -> DataFrame | None:
+        return self.failing(df)
+
+
+def rows_where(condition: Condition) -> Counted:
+    """No row may satisfy the condition."""
+    counted = F.count_if(as_condition(condition))
+    return Counted(lambda df: filter_where(df, condition), lambda df: counted, lambda df: counted)
+
+
+def no_nulls(column: str, where: Condition = None) -> Counted:
+    """``not_null`` as a check that can share a read."""
+    counted = F.count_if(all_true(where, F.col(ident(column)).isNull()))
+    return Counted(lambda df: not_null(df, column, where), lambda df: counted, lambda df: counted)
+
+
+def only_values(column: str, values: Sequence, where: Condition = None) -> Counted:
+    """``accepted_values`` as a check that can share a read; while writing it counts rows, not different values."""
+    outside = all_true(where, ~F.col(ident(column)).isin(list(values)))
+    distinct = F.count_distinct(F.when(outside, F.col(ident(column))))
+    return Counted(lambda df: accepted_values(df, column, values, where), lambda df: distinct, lambda df: F.count_if(outside))
+
+
+def same_row_count(
+    parent: DataFrame, dates=None, join_type: str | None = "left", mode: str = "strict", names: Names = NAMES
+) -> Counted:
+    """``equal_row_count`` as a check that can share a read of the model; the parent is counted once."""
+
+    def failing(df: DataFrame) -> DataFrame | None:
+        return equal_row_count(df, parent, dates, join_type, mode, names)
+
+    return Counted(failing, lambda df: None if failing(df) is None else _differs(df, parent, dates, mode != "strict", names))
+
+
+def no_more_rows(parent: DataFrame, dates=None, join_type: str | None = None, names: Names = NAMES) -> Counted:
+    """``equal_or_lower_row_count`` as a check that can share a read of the model."""
+
+    def failing(df: DataFrame) -> DataFrame | None:
+        return equal_or_lower_row_count(df, parent, dates, join_type, names)
+
+    return Counted(failing, lambda df: None if failing(df) is None else _differs(df, parent, dates, True, names))
+
+
+def _differs(df: DataFrame, parent: DataFrame, dates, only_more: bool, names: Names) -> Column:
+    """1 where the model has more rows than its parent, or another number of them."""
+    if dates is None:
+        mine = F.count(F.lit(1))
+    else:
+        kind = df.schema[names.daily].dataType
+        mine = F.count_if(in_dates(F.col(ident(names.daily)), parse_dates(dates), kind))
+    theirs = _counted(parent, dates, names).scalar()
+    return F.when(mine > theirs if only_more else mine != theirs, 1).otherwise(0)
+
+
 def run_checks(df: DataFrame, checks: Mapping[str, Callable[[DataFrame], DataFrame | None]]) -> DataFrame:
     """Run named checks on a model: failing rows and pass / fail / skip for each.
 
-    A check is any function from the model to its failing rows; None means it does not apply.
+    A check is any function from the model to its failing rows; None means it does not apply. All checks that are
+    ``Counted`` share one read of the model, the others read it themselves.
     """
     if not checks:
         raise ValueError("no checks given")
+    counts = {n: c.count(df) for n, c in checks.items() if isinstance(c, Counted)}
+    shared = {n: c.cast("bigint").alias(f"check {k}") for k, (n, c) in enumerate(counts.items()) if c is not None}
     results = []
+    if shared:
+        found = df.agg(*shared.values())
+        pairs = [F.struct(F.lit(n).alias("check"), F.col(ident(c)).alias("failing_rows")) for n, c in zip(shared, found.columns)]
+        results.append(found.select(F.inline(F.array(*pairs))))
     for name, check in checks.items():
-        failing = check(df)
+        if name in shared:
+            continue
+        failing = None if isinstance(check, Counted) else check(df)
         if failing is None:
             one = df.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("failing_rows"))
         else:
             one = failing.agg(F.count(F.lit(1)).alias("failing_rows"))
-        status = F.when(F.col("failing_rows").isNull(), "skip").when(F.col("failing_rows") > 0, "fail")
-        results.append(one.select(F.lit(name).alias("check"), "failing_rows", status.otherwise("pass").alias("status")))
-    return reduce(DataFrame.unionByName, results)
+        results.append(one.select(F.lit(name).alias("check"), "failing_rows"))
+    return _judged(reduce(DataFrame.unionByName, results))
+
+
+def _judged(found: DataFrame) -> DataFrame:
+    status = F.when(F.col("failing_rows").isNull(), "skip").when(F.col("failing_rows") > 0, "fail").otherwise("pass")
+    return found.select("check", "failing_rows", status.alias("status"))
+
+
+class Watched:
+    """Checks made while a model is written, without another read of it.
+
+    ``model`` is the model to write; after the write ``results`` has one row for each check. Spark counts the rows
+    of a task again when it has to run it again, so a number of failing rows is exact unless an executor was
+    lost, and pass or fail is right in any case. Checks that are not made of rows alone are refused.
+    """
+
+    def __init__(self, df: DataFrame, checks: Mapping[str, Counted]):
+        fit = [n for n, c in checks.items() if not (isinstance(c, Counted) and c.rows)]
+        if fit or not checks:
+            raise ValueError(f"only checks that count rows can be made while writing, not {fit}")
+        self.spark, self.names, self.seen = df.sparkSession, list(checks), Observation()
+        counts = [c.rows(df).alias(f"check {k}") for k, c in enumerate(checks.values())]
+        self.model = df.observe(self.seen, *counts)
+
+    def results(self) -> DataFrame:
+        found = self.seen.get
+        rows = [(n, found[f"check {k}"]) for k, n in enumerate(self.names)]
+        return _judged(self.spark.createDataFrame(rows, "check string, failing_rows bigint"))

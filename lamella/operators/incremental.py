@@ -8,7 +8,7 @@ last step, the replacement of partitions, leaves its computed copy in the shared
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamella.names import NAMES, Names
+from lamella.operators.checks import Counted, Watched
 from lamella.operators.dates import in_dates, month_starts, parse_dates
 from lamella.operators.roles import ident
 from lamella.session import Workspace, remove
@@ -337,9 +338,28 @@ def write_incremental(
     refresh: bool = False,
     pre_hooks: Sequence[str] | str | None = None,
     post_hooks: Sequence[str] | str | None = None,
+    checks: Mapping[str, Counted] | None = None,
     names: Names = NAMES,
-) -> None:
-    """Store a model by its strategy; ``refresh`` rebuilds it whatever the strategy is."""
+) -> DataFrame | None:
+    """Store a model by its strategy; ``refresh`` rebuilds it whatever the strategy is.
+
+    ``checks`` that count rows are made as the rows are written; their results are returned.
+    """
+    if checks:
+        watched = Watched(df, checks)
+        write_incremental(
+            watched.model,
+            table,
+            strategy,
+            unique_key=unique_key,
+            update_columns=update_columns,
+            exclude_columns=exclude_columns,
+            refresh=refresh,
+            pre_hooks=pre_hooks,
+            post_hooks=post_hooks,
+            names=names,
+        )
+        return watched.results()
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}, expected one of {STRATEGIES}")
     spark = df.sparkSession
@@ -358,6 +378,7 @@ def write_incremental(
         keys = [unique_key] if isinstance(unique_key, str) else unique_key
         delete_insert(df, table, keys, names)
     run_hooks(spark, post_hooks)
+    return None
 
 
 def compact_partitions(

@@ -94,6 +94,26 @@ def remove(spark: SparkSession, path: str) -> None:
     _delete(spark.sparkContext._jvm, path, spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Give a folder another name, in one step where its file system can."""
+    location, target = _path(spark, path), _path(spark, to)
+    if not location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(location, target):
+        raise OSError(f"cannot rename {path} to {to}")
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders in a folder; none where it does not exist."""
+    location = _path(spark, path)
+    system = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(location):
+        return []
+    return sorted(x.getPath().toString() for x in system.listStatus(location) if x.isDirectory())
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
 def _delete(jvm, path: str, configuration) -> None:
     location = jvm.org.apache.hadoop.fs.Path(path)
     location.getFileSystem(configuration).delete(location, True)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lamella import Join, checks_for, describe_table, dim, join_models, read_seed, run_checks
+from lamella import Join, Table, checks_for, describe_table, dim, join_models, read_seed, run_checks, write_incremental
 from lamella.operators import checks
 from lamella.session import working_path
 from queries.base import WEEK, day, moment, query, staged_events
@@ -153,6 +153,57 @@ def run_all(t):
     )
 
 
+@query(
+    "run_checks_in_one_read",
+    f"""
+    SELECT 'known' AS "check", CAST(count(DISTINCT event_type) FILTER (event_type NOT IN ('click', 'purchase')) AS BIGINT)
+        AS failing_rows, CASE WHEN count_if(event_type NOT IN ('click', 'purchase')) > 0 THEN 'fail' ELSE 'pass' END
+        AS status FROM events
+    UNION ALL SELECT 'large', CAST(count_if(v > 300) AS BIGINT), CASE WHEN count_if(v > 300) > 0 THEN 'fail' ELSE 'pass' END
+        FROM ({_HOLES})
+    UNION ALL SELECT 'rows', 0, 'pass' UNION ALL SELECT 'users', 0, 'pass'
+    UNION ALL SELECT 'value', CAST(count(*) AS BIGINT), 'fail' FROM ({_HOLES}) WHERE v IS NULL
+    UNION ALL SELECT 'ids', 0, 'pass' UNION ALL SELECT 'inner', NULL, 'skip'
+    """,
+)
+def run_checks_in_one_read(t):
+    """Five checks share a read of the model; only the search for repeated ids groups it once more."""
+    model = staged_events(t).drop("value").join(_holes(t).select("event_id", "value"), "event_id")
+    return run_checks(
+        model,
+        {
+            "known": checks.only_values("event_type", ["click", "purchase"]),
+            "large": checks.rows_where("value > 300"),
+            "rows": checks.same_row_count(staged_events(t), WEEK),
+            "users": checks.no_nulls("user_id"),
+            "value": checks.no_nulls("value"),
+            "ids": lambda df: checks.unique(df, "event_id"),
+            "inner": checks.same_row_count(staged_events(t), WEEK, join_type="inner"),
+        },
+    )
+
+
+@query(
+    "write_with_checks",
+    """
+    SELECT 'cheap' AS "check", CAST(count_if(o_totalprice < 2000) AS BIGINT) AS failing_rows,
+        CASE WHEN count_if(o_totalprice < 2000) > 0 THEN 'fail' ELSE 'pass' END AS status FROM orders
+    UNION ALL SELECT 'keys', 0, 'pass'
+    UNION ALL SELECT 'open', CAST(count_if(o_orderstatus = 'P') AS BIGINT), CASE WHEN count_if(o_orderstatus = 'P') > 0 THEN 'fail'
+        ELSE 'pass' END FROM orders
+    """,
+)
+def write_with_checks(t):
+    """Checks made while a table is written."""
+    path = working_path(t.spark, "checked")
+    wanted = {
+        "cheap": checks.rows_where("o_totalprice < 2000"),
+        "keys": checks.no_nulls("o_orderkey"),
+        "open": checks.only_values("o_orderstatus", ["F", "O"]),
+    }
+    return write_incremental(t.orders, Table(path), refresh=True, checks=wanted)
+
+
 @query(
     "checks_for_mixed_joins",
     _count_sql("LEFT", "left", checks.LEFT_JOIN_GREW),

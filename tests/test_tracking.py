@@ -1,10 +1,21 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from lamella import EventTime, PartitionDate, SourceSpec, Tracking, checks_for, parse_dates, run_checks
+from lamella import (
+    EventTime,
+    PartitionDate,
+    SourceSpec,
+    Table,
+    Tracking,
+    checks_for,
+    parse_dates,
+    run_checks,
+    write_incremental,
+)
 from lamella.operators import changes, checks
 from lamella.operators.checks import Check
 from lamella.operators.control import ControlTables
@@ -278,3 +289,88 @@ def test_messages_are_told_apart_as_a_whole(spark):
         ("m", "error", "xxxxx", "2024-01-01"),
         ("m", "error", "xxxxx", "2024-01-02"),
     ]
+
+
+def test_parallel_records_lose_nothing(spark, tmp_path, rows):
+    """Eight tasks record dates of one model at the same time, others its compactions."""
+    names = "model_id string, event_date date, run_status string, run_rows bigint"
+    sessions = [spark.newSession() for _ in range(8)]
+
+    def run(k):
+        control = ControlTables(sessions[k], str(tmp_path))
+        days = [dt.date(2024, 1, 1 + k), dt.date(2024, 2, 1)]
+        control.record_model_dates(sessions[k].createDataFrame([("m", x, "success", k) for x in days], names))
+        done = sessions[k].createDataFrame([("m", days[0], at(k + 1))], "model_id string, event_date date, optimize_timestamp timestamp_ntz")
+        control.record_compaction(done)
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(run, range(8)))
+    control = ControlTables(spark, str(tmp_path))
+    state = {r["event_date"]: r for r in control.read("model_dates").collect()}
+    assert len(state) == 9 and state[dt.date(2024, 2, 1)]["run_rows"] in range(8)
+    for k in range(8):
+        row = state[dt.date(2024, 1, 1 + k)]
+        assert (row["run_rows"], row["run_status"], row["optimize_timestamp"]) == (k, "success", at(k + 1))
+
+
+def test_compaction_of_records_keeps_the_state(spark, tmp_path, rows):
+    control = ControlTables(spark, str(tmp_path))
+    names = "model_id string, event_date date, run_status string, run_rows bigint"
+    for k in range(4):
+        control.record_model_dates(spark.createDataFrame([("m", d("2024-01-01"), "error", k), (f"m{k}", d("2024-01-01"), "success", k)], names))
+        control.record_compaction(
+            spark.createDataFrame([("m", d("2024-01-01"), at(k + 1))], "model_id string, event_date date, optimize_timestamp timestamp_ntz")
+        )
+    before = rows(control.read("model_dates"))
+    old = control.compact("model_dates", forget=False)
+    assert len(old) == 8 and rows(control.read("model_dates")) == before  # old and new folders together
+    control.record_model_dates(spark.createDataFrame([("m", d("2024-01-01"), "success", 9)], names))
+    control.forget(old)
+    after = rows(control.read("model_dates").where("model_id <> 'm'"))
+    assert after == [r for r in before if r[0] != "m"]
+    last = control.read("model_dates").where("model_id = 'm'").first()
+    assert (last["run_rows"], last["optimize_timestamp"]) == (9, at(4))
+    assert len(control._folders("model_dates")) == 2 and control._records("model_dates").count() < 9 + 4
+    assert control.compact("sources") == []
+    with pytest.raises(ValueError):
+        control.record_model_dates(spark.createDataFrame([("m", d("2024-01-01"), "a", 1), ("m", d("2024-01-01"), "b", 2)], names))
+    assert len(control._folders("model_dates")) == 2
+
+
+def test_counted_checks_share_one_read(spark, tmp_path, rows):
+    path = str(tmp_path / "model")
+    made = spark.range(100).selectExpr("id", "nullif(id % 10, 3) AS v", "date'2024-01-01' AS partition_daily")
+    made.write.parquet(path)
+    df = spark.read.parquet(path)
+    wanted = {
+        "a": checks.no_nulls("v"),
+        "b": checks.no_nulls("v", "id > 50"),
+        "c": checks.only_values("v", [1, 2]),
+        "d": checks.rows_where("id >= 98"),
+        "e": checks.same_row_count(made.limit(99), "2024-01-01"),
+        "f": checks.no_more_rows(made, "2024-01-01"),
+        "g": checks.same_row_count(made, join_type="inner"),
+    }
+    result = run_checks(df, wanted)
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    assert rows(result) == [
+        ("a", 10, "fail"), ("b", 5, "fail"), ("c", 7, "fail"), ("d", 2, "fail"), ("e", 1, "fail"), ("f", 0, "pass"), ("g", None, "skip"),
+    ]
+    for name, check in wanted.items():  # each alone says the same
+        failing = check(df)
+        alone = None if failing is None else failing.count()
+        assert (name, alone) in [(r[0], r[1]) for r in result.collect()]
+
+
+@pytest.mark.parametrize("strategy", ["full_refresh", "append", "overwrite_existing_partitions", "delete+insert", "merge"])
+def test_a_write_returns_its_checks(spark, tmp_path, rows, strategy):
+    table = Table(str(tmp_path / "t"), ("partition_daily",))
+    model = spark.range(100).selectExpr("id", "nullif(id % 10, 3) AS v", "date'2024-01-01' AS partition_daily")
+    wanted = {"a": checks.no_nulls("v"), "b": checks.rows_where("id < 0"), "c": checks.only_values("v", [1, 2])}
+    for _ in range(2):
+        found = write_incremental(model, table, strategy, unique_key=["id"] if strategy == "merge" else None, checks=wanted)
+        assert rows(found) == [("a", 10, "fail"), ("b", 0, "pass"), ("c", 70, "fail")]
+    with pytest.raises(ValueError):
+        write_incremental(model, table, strategy, checks={"n": checks.same_row_count(model)})
+    assert table.read(spark, model.schema).count() == (200 if strategy == "append" else 100)
