@@ -11,7 +11,17 @@ from lamella.operators.dates import date_filter, dates_table, full_months, month
 from lamella.operators.incremental import Table, compact_partitions, table_for, write_incremental
 from lamella.operators.intervals import Between
 from lamella.operators.joins import Join
+from lamella.operators.paging import Pages, deep_page
 from lamella.operators.predicates import all_true, any_true, compare, exists, is_in, not_exists, not_in, outer
+from lamella.operators.rollups import (
+    bitmap_counts,
+    bucket_metrics,
+    bucket_quantile,
+    distinct_bitmaps,
+    merge_bitmaps,
+    merge_buckets,
+    quantile_buckets,
+)
 from lamella.operators.roles import canonical_order, dims, facts, with_roles
 from lamella.operators.select import all_from, dim, dims_from, facts_from, fct, grain
 from lamella.plans.metrics import Metric, in_the_past, metric_query, standard_metric, time_interval
@@ -37,6 +47,7 @@ __all__ = [
     "Join",
     "Metric",
     "Names",
+    "Pages",
     "PartitionDate",
     "PartitionPredicate",
     "SourceSpec",
@@ -45,16 +56,21 @@ __all__ = [
     "all_from",
     "all_true",
     "any_true",
+    "bitmap_counts",
+    "bucket_metrics",
+    "bucket_quantile",
     "canonical_order",
     "checks_for",
     "compact_partitions",
     "compare",
     "date_filter",
     "dates_table",
+    "deep_page",
     "describe_table",
     "dim",
     "dims",
     "dims_from",
+    "distinct_bitmaps",
     "exists",
     "facts",
     "facts_from",
@@ -67,6 +83,8 @@ __all__ = [
     "lookback_distinct_model",
     "lookback_model",
     "mart",
+    "merge_bitmaps",
+    "merge_buckets",
     "metric_query",
     "month_starts",
     "not_exists",
@@ -75,6 +93,7 @@ __all__ = [
     "parse_dates",
     "partition_columns",
     "preview",
+    "quantile_buckets",
     "read_seed",
     "read_source",
     "read_table",

@@ -102,21 +102,26 @@ def _aggregate(df: DataFrame, o: Output) -> Column:
     return agg_column(o.agg, o.column, o.source, kind)
 
 
+def sort_keys(order_by) -> list[Column]:
+    """Names or (name, "asc" | "desc") pairs as sort keys, nulls last."""
+    keys = []
+    for entry in [order_by] if isinstance(order_by, str) else order_by:
+        name, direction = (entry, "asc") if isinstance(entry, str) else entry
+        if direction not in ("asc", "desc"):
+            raise ValueError(f"direction must be asc or desc, not {direction!r}")
+        column = F.col(ident(name))
+        keys.append(column.desc_nulls_last() if direction == "desc" else column.asc_nulls_last())
+    return keys
+
+
 def order_limit(df: DataFrame, order_by=None, limit: int | None = None, offset: int | None = None) -> DataFrame:
     """Sort by names or (name, "asc" | "desc") pairs with nulls last, then cut.
 
-    With a limit Spark keeps the top rows of each partition instead of sorting everything.
+    With a limit Spark keeps the top rows of each partition instead of sorting everything. All rows before an
+    offset pass through one task; ``lamella.operators.paging`` is for deep ones.
     """
     if order_by:
-        entries = [order_by] if isinstance(order_by, str) else order_by
-        keys = []
-        for entry in entries:
-            name, direction = (entry, "asc") if isinstance(entry, str) else entry
-            if direction not in ("asc", "desc"):
-                raise ValueError(f"direction must be asc or desc, not {direction!r}")
-            column = F.col(ident(name))
-            keys.append(column.desc_nulls_last() if direction == "desc" else column.asc_nulls_last())
-        df = df.orderBy(*keys)
+        df = df.orderBy(*sort_keys(order_by))
     for label, value in (("limit", limit), ("offset", offset)):
         if value is not None and value < 1:
             raise ValueError(f"{label} must be at least 1")

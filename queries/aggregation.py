@@ -4,12 +4,19 @@ from pyspark.sql import functions as F
 
 from lamella import (
     Metric,
+    bitmap_counts,
+    bucket_metrics,
+    bucket_quantile,
     dim,
+    distinct_bitmaps,
     fct,
     grain,
     lookback_distinct_model,
     lookback_model,
+    merge_bitmaps,
+    merge_buckets,
     metric_query,
+    quantile_buckets,
     rollup_model,
     select_model,
     standard_metric,
@@ -453,3 +460,69 @@ def kll_error_bound(t):
     )
     joined = read.join(exact, F.col("event_type") == F.col("kind"))
     return joined.select("event_type", F.col("estimate").between(F.col("low"), F.col("high")).alias("within_bound"))
+
+
+def _tail_query(name, q):
+    @query(
+        f"buckets_{name}",
+        f"""SELECT event_type, {day("ts")} AS partition_daily, round(quantile_cont(value, {q}), 6) AS exact, true AS within_bound
+            FROM events WHERE value IS NOT NULL GROUP BY ALL""",
+        digits=6,
+    )
+    def run(t):
+        """Hourly buckets merged to days: within 1 % of the exact quantile, in the tail too."""
+        staged, keys = staged_events(t), ["event_type", "partition_daily"]
+        hourly = quantile_buckets(staged, [*keys, "partition_hourly"], {"value_buckets": "value"})
+        daily = merge_buckets(hourly, keys, ["value_buckets"])
+        estimate = daily.select(*keys, bucket_quantile(F.col("value_buckets"), q).alias("estimate"))
+        exact = metric_query(staged, keys, [Metric("exact", "percentile", "value", q * 100)])
+        within = F.abs(F.col("estimate") - F.col("exact")) <= F.abs(F.col("exact")) * 0.01 + 1e-9
+        return exact.join(estimate, keys).select(*keys, "exact", within.alias("within_bound"))
+
+    return run
+
+
+for _name, _q in (("p50", 0.5), ("p98", 0.98), ("p999", 0.999)):
+    _tail_query(_name, _q)
+
+
+@query(
+    "buckets_to_months",
+    """SELECT o_orderpriority, strftime(date_trunc('year', o_orderdate), '%Y-%m-%d') AS year,
+        round(quantile_cont(o_totalprice, 0.999), 6) AS exact, true AS within_bound FROM orders GROUP BY ALL""",
+    digits=6,
+)
+def buckets_to_months(t):
+    """Daily buckets rolled up to months, and those read by year, against exact quantiles."""
+    orders = staged_orders(t).withColumn("year", F.trunc("partition_daily", "year"))
+    daily = quantile_buckets(orders, ["o_orderpriority", "partition_daily", "partition_monthly", "year"], {"price": "o_totalprice"})
+    monthly = merge_buckets(daily, ["o_orderpriority", "partition_monthly", "year"], ["price"])
+    keys = ["o_orderpriority", "year"]
+    read = bucket_metrics(monthly, keys, {"estimate": ("price", 0.999)})
+    exact = metric_query(orders, keys, [Metric("exact", "percentile", "o_totalprice", 99.9)])
+    within = F.abs(F.col("estimate") - F.col("exact")) <= F.col("exact") * 0.01
+    return exact.join(read, keys).select(*keys, "exact", within.alias("within_bound"))
+
+
+@query(
+    "distinct_bitmaps_day",
+    f"""SELECT event_type, {day("ts")} AS partition_daily, CAST(count(DISTINCT user_id) AS BIGINT) AS users
+        FROM events GROUP BY 1, 2""",
+)
+def distinct_bitmaps_day(t):
+    """Users of each hour as bitmaps, united to days: exact, unlike a sum of hourly counts or a sketch."""
+    keys = ["event_type", "partition_daily"]
+    hourly = distinct_bitmaps(staged_events(t), [*keys, "partition_hourly"], "user_id")
+    return bitmap_counts(hourly, keys, "users")
+
+
+@query(
+    "distinct_bitmaps_month",
+    f"""SELECT o_orderpriority, {day("date_trunc('month', o_orderdate)")} AS partition_monthly,
+        CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers FROM orders GROUP BY 1, 2""",
+)
+def distinct_bitmaps_month(t):
+    """Customers of each day, united to months."""
+    daily = distinct_bitmaps(staged_orders(t), ["o_orderpriority", "partition_monthly", "partition_daily"], "o_custkey")
+    monthly = merge_bitmaps(daily, ["o_orderpriority", "partition_monthly"])
+    return bitmap_counts(monthly, ["o_orderpriority", "partition_monthly"], "customers")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lamella import (
     Join,
+    Pages,
     dim,
     fct,
     grain,
@@ -225,3 +226,38 @@ def union_rollup(t):
     hourly = select_model(staged_events(t), ["event_type", grain("hour"), fct("value", agg="sum")])
     parts = [hourly.where("event_type = 'error'"), hourly.where("event_type <> 'error'")]
     return rollup_model(union_models(parts), "day")
+
+
+@query(
+    "page_deep",
+    f"""
+    SELECT l_orderkey, l_linenumber, {day("l_shipdate")} AS l_shipdate, round(l_extendedprice, 2) AS l_extendedprice
+    FROM lineitem ORDER BY l_shipdate DESC NULLS LAST, l_orderkey, l_linenumber
+    LIMIT 200 OFFSET (SELECT count(*) // 2 FROM lineitem)
+    """,
+)
+def page_deep(t):
+    """200 rows from the middle of all order lines, without the half before them."""
+    lines = t.lineitem.selectExpr("l_orderkey", "l_linenumber", "cast(l_shipdate as date) AS l_shipdate", "l_extendedprice")
+    pages = Pages(lines, [("l_shipdate", "desc"), "l_orderkey", "l_linenumber"], ranges=40)
+    return pages.page(pages.rows // 2, 200)
+
+
+@query(
+    "page_ties",
+    """
+    SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity
+    FROM lineitem GROUP BY l_returnflag
+    """,
+)
+def page_ties(t):
+    """Pages of an order with three different keys hold every row once."""
+    lines = t.lineitem.select("l_returnflag", "l_quantity", "l_orderkey", "l_linenumber")
+    pages = Pages(lines, "l_returnflag", ranges=24)
+    step = pages.rows // 5 + 1
+    parts = [pages.page(at, step) for at in range(0, pages.rows, step)]
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    totals = [F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("bigint").alias("quantity")]
+    return found.groupBy("l_returnflag").agg(*totals)
