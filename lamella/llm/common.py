@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.session import tune, working_path
+from lamella.session import remove, tune, working_path
 
 #: The white space that separates words, as a character class.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,7 +42,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = working_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    copy.stored_at = path
+    return copy
+
+
+def forget(*copies: DataFrame) -> None:
+    """Delete stored copies that nothing will read again: what was computed from them is stored itself."""
+    for copy in copies:
+        path = getattr(copy, "stored_at", None)
+        if path is not None:
+            remove(copy.sparkSession, path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -113,11 +123,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = links.select(a.alias("u"), b.alias("v")).union(links.select(b.alias("u"), a.alias("v")))
         lowest = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low")), "lowest")
         large = both.join(lowest, "u").filter("v > u")
-        links = stored(pairs(large, F.col("v"), low), "large-star")
-        lowest = stored(links.groupBy("a").agg(F.min("b").alias("low")), "lowest")
-        small = links.join(lowest, "a").select(b.alias("a"), low.alias("b"))
+        wide = stored(pairs(large, F.col("v"), low), "large-star")
+        forget(links, lowest)
+        lowest = stored(wide.groupBy("a").agg(F.min("b").alias("low")), "lowest")
+        small = wide.join(lowest, "a").select(b.alias("a"), low.alias("b"))
         small = small.union(lowest.select("a", low.alias("b")))
         links = stored(pairs(small, a, b), "small-star")
+        forget(wide, lowest)
         mark = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -15,7 +15,7 @@ differing bit for any pair in reach, so the bucket falls apart into buckets unde
 With few free bits left a bucket cannot be large, so this ends, and nothing is capped. A bucket yields
 links from its members to the smallest member they hang together with, never its pairs.
 
-``jaccard_links`` adds the links of texts whose sets of word shingles have a Jaccard similarity of at least
+``jaccard_roots`` adds the links of texts whose sets of word shingles have a Jaccard similarity of at least
 ``least``. Shingles are ordered by hash, those that a sample finds common last. Of a set of ``n``, only its first
 ``n - ceil(least * n) + 1`` can hold the first shingle that it shares with a similar one, so similar texts
 share one of those, and every such pair is found whatever the sample. Shingles whose texts are all linked already,
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import column, connected_components, fresh, one_row_each, stored
+from lamella.llm.common import column, connected_components, forget, fresh, one_row_each, stored
 
 BITS = 64
 ALL = (1 << BITS) - 1
@@ -183,8 +183,32 @@ def set_names(words: int):
     return F.pandas_udf(lambda texts: pd.Series([_name(shingles(t, words)) for t in texts], dtype="int64"), "long")
 
 
+#: Buckets that the shingles of a set are counted in.
+BUCKETS = 256
+
+
+def profile(found: np.ndarray) -> bytes | None:
+    """How many shingles of a set each bucket holds; none where a byte is too small for one.
+
+    Two sets share no more shingles than the lesser of both counts, summed over the buckets.
+    """
+    counts = np.bincount(found.view("<u8") % BUCKETS, minlength=BUCKETS)
+    return counts.astype("u1").tobytes() if counts.max() < 256 else None
+
+
+def _most_shared(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How many shingles two sets can share by their profiles; null where one is unknown."""
+    known = (a.notna() & b.notna()).to_numpy()
+    most = np.full(len(a), np.nan)
+    if known.any():
+        x, y = (np.frombuffer(b"".join(s[known]), "u1").reshape(-1, BUCKETS) for s in (a, b))
+        most[known] = np.minimum(x, y).sum(axis=1)
+    return pd.Series(most)
+
+
 def prefixes(words: int, least: float, common: dict[int, int], lowest: int = 4):
-    """A column function: text to its set's digest and size, its lowest hashes, and the shingles similar texts share one of."""
+    """A column function: text to its set's digest and size, its lowest hashes, and the shingles similar texts share one of,
+    and its profile."""
     known = np.array(sorted(common), dtype="<i8")
     weights = np.array([common[k] for k in sorted(common)], dtype="int64")
 
@@ -199,10 +223,10 @@ def prefixes(words: int, least: float, common: dict[int, int], lowest: int = 4):
                 at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                 weight = np.where(known[at] == found, weights[at], 0)
             first = found[np.lexsort((found, weight))[:n]]
-            rows.append((_name(found), len(found), found[:lowest], first))
-        return pd.DataFrame(rows, columns=["name", "size", "lowest", "first"])
+            rows.append((_name(found), len(found), found[:lowest], first, profile(found)))
+        return pd.DataFrame(rows, columns=["name", "size", "lowest", "first", "profile"])
 
-    return F.pandas_udf(each, "name long, size long, lowest array<long>, first array<long>")
+    return F.pandas_udf(each, "name long, size long, lowest array<long>, first array<long>, profile binary")
 
 
 def common_shingles(texts: DataFrame, words: int, sample: int = 20_000, often: int = 8, most: int = 100_000) -> dict[int, int]:
@@ -214,8 +238,18 @@ def common_shingles(texts: DataFrame, words: int, sample: int = 20_000, often: i
 
 
 def _similar(texts: DataFrame, docs: DataFrame, pairs: DataFrame, words: int, least: float, prints: int) -> DataFrame:
-    """Links ``a, b`` of fingerprints from pairs (fp_a, name_a, fp_b, name_b) whose sets are similar."""
-    pairs = stored(pairs.distinct(), "pairs")
+    """Links ``a, b`` of fingerprints from pairs (fp_a, name_a, fp_b, name_b) whose sets are similar.
+
+    Profiles, a quarter of a kilobyte each, tell most pairs that cannot be; only the sets of the others are compared.
+    """
+    asked, profiles = stored(pairs.distinct(), "pairs"), docs.select("fp", "name", "size", "profile").dropDuplicates(["fp", "name"])
+    pairs = asked
+    for x in "ab":
+        pairs = pairs.join(profiles.toDF(*[f"{c}_{x}" for c in profiles.columns]), [f"fp_{x}", f"name_{x}"])
+    most = F.pandas_udf(_most_shared, "double")(F.col("profile_a"), F.col("profile_b"))
+    enough = F.coalesce(most >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-6, F.lit(True))
+    pairs = stored(pairs.filter(enough).select(*asked.columns), "likely")
+    forget(asked)
     a, b = [pairs.select(F.col(f"fp_{x}").alias("fp"), F.col(f"name_{x}").alias("name")) for x in "ab"]
     wanted = stored(a.union(b).distinct(), "wanted")
     ids = docs.join(wanted, ["fp", "name"], "left_semi").select(F.col("id").alias("wanted_id")).distinct()
@@ -225,12 +259,15 @@ def _similar(texts: DataFrame, docs: DataFrame, pairs: DataFrame, words: int, le
     made = [f.asNondeterministic()("text") for f in (fingerprints(prints), set_names(words), shingle_sets(words))]
     held = held.select(*[f.alias(c) for f, c in zip(made, ("fp", "name", "set"))])
     held = stored(held.join(wanted, ["fp", "name"], "left_semi").groupBy("fp", "name").agg(F.first("set").alias("set")), "sets")
+    likely = pairs
     for x in "ab":
         side = held.select(F.col("fp").alias(f"fp_{x}"), F.col("name").alias(f"name_{x}"), F.col("set").alias(f"set_{x}"))
         pairs = pairs.join(side, [f"fp_{x}", f"name_{x}"])
     shared = F.size(F.array_intersect("set_a", "set_b"))
     alike = shared / (F.size("set_a") + F.size("set_b") - shared) >= least
-    return stored(pairs.filter(alike).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct(), "similar")
+    found = stored(pairs.filter(alike).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct(), "similar")
+    forget(likely, wanted, ids, held)
+    return found
 
 
 def jaccard_roots(texts: DataFrame, docs: DataFrame, links: DataFrame, words: int, least: float, prints: int) -> DataFrame:
@@ -261,6 +298,7 @@ def jaccard_roots(texts: DataFrame, docs: DataFrame, links: DataFrame, words: in
     room = 1 + F.least("rest_a", "rest_b") >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-9
     pairs = a.join(b, "t").filter((F.col("root_a") < F.col("root_b")) & fits & room)
     more = _similar(texts, docs, pairs.select("fp_a", "name_a", "fp_b", "name_b"), words, least, prints)
+    forget(mixed, found, held)
     if more.isEmpty():
         return roots
     stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))

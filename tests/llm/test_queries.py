@@ -200,6 +200,7 @@ def test_pipeline_stage_by_stage(spark):
         elif name == "simhash near-dedup":
             prints = {r["doc_id"]: plain_fingerprint(r["text"]) for r in before}
             near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+            near += jaccard_pairs(texts)
             assert kept == sorted(set(components(prints, near).values()))
         elif name == "mixing":
             words = sum(len((r["text"] or "").split()) for r in before)
