@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable
+from contextlib import suppress
 
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,27 @@ BATCHES = {
 }
 
 
+#: glibc's names for its settings (malloc.h).
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD, M_ARENA_MAX = -1, -3, -8
+
+
+def give_memory_back() -> None:
+    """Let this process return what a batch has used, instead of keeping it for the next one.
+
+    Python workers outlive their tasks. Large pieces are mapped and unmapped one by one, and Arrow uses the same allocator.
+    Elsewhere than with glibc nothing changes.
+    """
+    pyarrow.set_memory_pool(pyarrow.system_memory_pool())
+    with suppress(OSError, AttributeError):
+        settings = ctypes.CDLL(None).mallopt
+        for name, value in ((M_MMAP_THRESHOLD, 1 << 18), (M_TRIM_THRESHOLD, 1 << 22), (M_ARENA_MAX, 2)):
+            settings(name, value)
+
+
+# Workers import this module with the first function that they run.
+give_memory_back()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings of these operators."""
     tune(spark)
