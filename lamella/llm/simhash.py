@@ -196,6 +196,26 @@ def profile(found: np.ndarray) -> bytes | None:
     return counts.astype("u1").tobytes() if counts.max() < 256 else None
 
 
+#: Bits of a parity sketch.
+PARITIES = 1024
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """For each bucket whether it holds an odd number of a set's shingles, as longs.
+
+    Sketches of two sets differ in no more bits than the sets differ in shingles.
+    """
+    odd = np.bincount(found.view("<u8") % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype("u1")).view("<i8")
+
+
+def _near(least: float):
+    """Whether two sets (size_a, parity_a; size_b, parity_b) can be similar by their sizes and sketches."""
+    fits = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9
+    bits = sum(F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k])) for k in range(PARITIES // 64))
+    return fits & (bits <= (1 - least) / (1 + least) * (F.col("size_a") + F.col("size_b")) + 1e-6)
+
+
 def _most_shared(a: pd.Series, b: pd.Series) -> pd.Series:
     """How many shingles two sets can share by their profiles; null where one is unknown."""
     known = (a.notna() & b.notna()).to_numpy()
@@ -223,10 +243,13 @@ def prefixes(words: int, least: float, common: dict[int, int], lowest: int = 4):
                 at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                 weight = np.where(known[at] == found, weights[at], 0)
             first = found[np.lexsort((found, weight))[:n]]
-            rows.append((_name(found), len(found), found[:lowest], first, profile(found)))
-        return pd.DataFrame(rows, columns=["name", "size", "lowest", "first", "profile"])
+            # The lowest hashes of the set, and those that are lowest in another order.
+            other = np.sort(found * np.int64(-0x61C8864680B583EB))
+            rows.append((_name(found), len(found), [found[:lowest], other[:lowest]], first, profile(found), parities(found)))
+        return pd.DataFrame(rows, columns=["name", "size", "lowest", "first", "profile", "parity"])
 
-    return F.pandas_udf(each, "name long, size long, lowest array<long>, first array<long>, profile binary")
+    schema = "name long, size long, lowest array<array<long>>, first array<long>, profile binary, parity array<long>"
+    return F.pandas_udf(each, schema)
 
 
 def common_shingles(texts: DataFrame, words: int, sample: int = 20_000, often: int = 8, most: int = 100_000) -> dict[int, int]:
@@ -270,21 +293,33 @@ def _similar(texts: DataFrame, docs: DataFrame, pairs: DataFrame, words: int, le
     return found
 
 
+def _pivot_links(texts, docs, sets: DataFrame, roots: DataFrame, order: int, words: int, least: float, prints: int) -> DataFrame:
+    """Links of each text to one of the texts with the same lowest hash, the same for all of them: a few pairs per text."""
+    rooted = sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    columns = ["root", "fp", "name", "size", "parity"]
+    low = rooted.select(*columns, F.explode(F.col("lowest")[order]).alias("t"))
+    chosen = F.min(F.struct(F.xxhash64("fp", F.lit(order)).alias("by"), *columns)).alias("p")
+    pivots = low.groupBy("t").agg(chosen, F.min("root").alias("first"), F.max("root").alias("last")).filter("first <> last")
+    pivots = pivots.select("t", *[F.col(f"p.{c}").alias(f"{c}_b") for c in columns])
+    pairs = low.select("t", *[F.col(c).alias(f"{c}_a") for c in columns]).join(pivots, "t")
+    pairs = pairs.filter((F.col("root_a") != F.col("root_b")) & _near(least)).select("fp_a", "name_a", "fp_b", "name_b")
+    return _similar(texts, docs, pairs, words, least, prints)
+
+
 def jaccard_roots(texts: DataFrame, docs: DataFrame, links: DataFrame, words: int, least: float, prints: int) -> DataFrame:
     """Components ``node, root`` of fingerprints under ``links`` and the links of similar sets.
 
-    ``texts`` has id and text; ``docs`` has id, fp and what ``prefixes`` gives.
+    ``texts`` has id and text; ``docs`` has id, fp and what ``prefixes`` gives. Texts that hang together already are not
+    compared, so two rounds of links to pivots come first: they bring most of a large group of near copies together.
     """
-    fits = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9
-    sets = docs.filter("size > 0").select("fp", "name", "size", "lowest", "first")
-    # Each text and the smallest of those with one of the same lowest hashes, if it is that for two of them or more.
-    low = sets.select("fp", "name", "size", F.explode("lowest").alias("t"))
-    least_of = low.groupBy("t").agg(F.min(F.struct("fp", "name", "size")).alias("p"), F.max("fp").alias("last"))
-    least_of = least_of.filter("p.fp <> last").select("t", *[F.col(f"p.{c}").alias(f"{c}_b") for c in ("fp", "name", "size")])
-    pivots = low.select("t", *[F.col(c).alias(f"{c}_a") for c in ("fp", "name", "size")]).join(least_of, "t")
-    pivots = pivots.filter((F.col("fp_a") != F.col("fp_b")) & fits).groupBy("fp_a", "name_a", "fp_b", "name_b")
-    pivots = pivots.agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    roots = stored(connected_components(links.union(_similar(texts, docs, pivots, words, least, prints))), "components")
+    sets = docs.filter("size > 0").select("fp", "name", "size", "lowest", "first", "parity")
+    roots = stored(connected_components(links), "components")
+    for order in (0, 1):
+        more = _pivot_links(texts, docs, sets, roots, order, words, least, prints)
+        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        grown = stored(connected_components(stars.union(more)), "components")
+        forget(roots, more)
+        roots = grown
 
     rooted = sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     each = rooted.select("root", F.explode("first").alias("t"))
@@ -292,11 +327,13 @@ def jaccard_roots(texts: DataFrame, docs: DataFrame, links: DataFrame, words: in
     mixed = stored(mixed, "mixed")
     found = stored(sets.select("name", F.explode("first").alias("t")).join(mixed, "t", "left_semi").distinct(), "shared")
     held = rooted.dropDuplicates(["fp", "name"]).join(found, "name")
-    held = stored(held.select("t", "root", "fp", "name", "size", (F.col("size") - F.array_position("first", F.col("t"))).alias("rest")), "held")
-    a, b = [held.select("t", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "fp", "name", "size", "rest")]) for x in "ab"]
+    rest = (F.col("size") - F.array_position("first", F.col("t"))).alias("rest")
+    held = stored(held.select("t", "root", "fp", "name", "size", "parity", rest), "held")
+    columns = ("root", "fp", "name", "size", "parity", "rest")
+    a, b = [held.select("t", *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab"]
     # The first shared shingle has this many behind it at most.
     room = 1 + F.least("rest_a", "rest_b") >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-9
-    pairs = a.join(b, "t").filter((F.col("root_a") < F.col("root_b")) & fits & room)
+    pairs = a.join(b, "t").filter((F.col("root_a") < F.col("root_b")) & room & _near(least))
     more = _similar(texts, docs, pairs.select("fp_a", "name_a", "fp_b", "name_b"), words, least, prints)
     forget(mixed, found, held)
     if more.isEmpty():
