@@ -44,7 +44,7 @@ class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit bytes. For byte-level tokenizers that lower-case,
     drop white space and mark the end of a word."""
 
-    def __init__(self, path: str = TOKENIZER, remembered: int = 150_000):
+    def __init__(self, path: str = TOKENIZER, remembered: int = 60_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
