@@ -12,8 +12,9 @@ only the range that is left is sorted.
 
 Quality is the share of the text that is not made of symbols, counted fivefold, from 0.05 to 1.
 
-Null texts have no words and are never taken. Rows with null ids draw by their text. Rows alike in id and text have
-the same key. Where they meet the end of the budget, their order does not matter, since they have equally many words.
+Null texts have no words and are never taken. Rows with null ids draw by their text. Rows of one id and different texts
+are told apart by a hash of the text. Rows alike in id and text are one class with the same key; where the budget ends
+inside a class, as many of its rows are taken as fit, and which ones does not matter, since they are alike.
 The sources' table has a row for each source and is taken to fit a task. An empty table gives no rows.
 """
 
@@ -29,6 +30,8 @@ from lamella.llm.common import WORD, column, stored
 
 SYMBOLS = r"[#$%&*|<>{}=_~^\\]"
 RANGES = 1024
+#: What documents are ordered by; rows alike in all of it are one class.
+CLASS = ["key", "tie", "print", "size"]
 
 
 @dataclass(frozen=True)
@@ -91,25 +94,29 @@ def _where_it_ends(rows: DataFrame, budgets: DataFrame, finer: str) -> DataFrame
 
 
 def _ends(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source where the partial epoch ends: coarse and fine range, key and tie of the last document taken."""
+    """Per source where the partial epoch ends: coarse and fine range, the last class taken, some of its n rows."""
     left = targets.select("source", F.col("budget").alias("left")).filter("left > 0")
     coarse = stored(_where_it_ends(rows, left, "coarse"), "coarse")
     inside = rows.join(coarse.select(F.col("source").alias("s"), F.col("coarse").alias("c")), F.expr("source <=> s AND coarse = c"))
     fine = stored(_where_it_ends(inside, coarse.select("source", "left"), "fine"), "fine")
-    last = rows.join(
+    last = rows.filter("size > 0").join(
         fine.select(F.col("source").alias("s"), F.col("fine").alias("f"), "left"), F.expr("source <=> s AND fine = f")
     )
-    running = Window.partitionBy("source").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    last = last.withColumn("middle", F.sum("size").over(running) - F.col("size") / 2).filter("middle <= left")
-    last = last.groupBy("source").agg(F.max(F.struct("key", "tie")).alias("last"))
-    ends = coarse.select("source", "coarse").join(fine.select(F.col("source").alias("s"), "fine"), F.expr("source <=> s"), "left")
+    # Rows alike in id and text are one class of n rows, however many they are; the last class may be taken in part.
+    classes = last.groupBy("source", *CLASS).agg(F.count("*").alias("n"), F.first("left").alias("left"))
+    running = Window.partitionBy("source").orderBy(*CLASS).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("n") * F.col("size")).over(running), F.lit(0))
+    fits = F.floor((F.col("left") - before) / F.col("size") + F.lit(0.5))
+    classes = classes.withColumn("some", F.least(fits, F.col("n"))).filter("some > 0")
+    top = F.struct(F.struct(*CLASS).alias("last"), "some", "n")
+    last = classes.groupBy("source").agg(F.max(top).alias("top")).select(F.col("source").alias("s"), "top.*")
+    ends = coarse.select("source", "coarse").join(fine.select(F.col("source").alias("t"), "fine"), F.expr("source <=> t"), "left")
     ends = ends.select("source", F.col("coarse").alias("end_coarse"), F.col("fine").alias("end_fine"))
-    last = last.select(F.col("source").alias("s"), "last")
     return ends.join(last, F.expr("source <=> s"), "left").drop("s")
 
 
 def _measured(df: DataFrame, doc_id: str, source: str, text: str, s: Settings, *more) -> DataFrame:
-    """id, source, size, key, tie and the ranges of the key; a key ``k`` lies at k / (1 + k) of them."""
+    """id, source, size, key, what tells its ties apart, and ranges of the key; a key ``k`` lies at k / (1 + k) of them."""
     content = column(text)
     key = sampling_key(column(doc_id), content, quality(content), s.seed)
     at = F.col("key") / (1 + F.col("key"))
@@ -120,6 +127,7 @@ def _measured(df: DataFrame, doc_id: str, source: str, text: str, s: Settings, *
             F.coalesce(F.regexp_count(content, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             key.alias("key"),
             F.coalesce(column(doc_id).cast("string"), F.lit("")).alias("tie"),
+            F.xxhash64(content).alias("print"),
             *more,
         )
         .withColumn("coarse", F.floor(at * RANGES))
@@ -128,15 +136,37 @@ def _measured(df: DataFrame, doc_id: str, source: str, text: str, s: Settings, *
 
 
 def _copies(rows: DataFrame, targets: DataFrame, ends: DataFrame) -> DataFrame:
-    """``rows`` with source_size, target and copies: the epochs, and one more before the end of the budget."""
+    """``rows`` with source_size, target and copies: the epochs, and one more before the end of the budget.
+
+    Where the budget ends inside a class of equal rows, the first ones as they lie in a stored copy are taken. A row's
+    place is the count of its class in the partitions before its own, and its place there, so no class meets in one task.
+    """
     plan = targets.join(ends.withColumnRenamed("source", "s"), F.expr("source <=> s"), "left").drop("s")
     plan = stored(plan.withColumnRenamed("source", "plan_source"), "plan")
     joined = rows.join(plan, F.expr("source <=> plan_source"))
-    extra = F.expr(
-        "coarse < end_coarse OR (coarse = end_coarse AND (fine < end_fine OR (fine = end_fine AND"
-        " struct(key, tie) <= last)))"
+    here = F.struct(*CLASS)
+    in_end = F.expr("coarse = end_coarse AND fine = end_fine")
+    earlier = F.expr("coarse < end_coarse OR (coarse = end_coarse AND fine < end_fine)") | (in_end & (here < F.col("last")))
+    at_end = F.coalesce(in_end & (here == F.col("last")), F.lit(False))
+    extra = F.coalesce(earlier, F.lit(False)) | (at_end & (F.col("some") == F.col("n")))
+    joined = joined.withColumn("copies", F.col("epochs") + extra.cast("long"))
+    if plan.filter("some < n").isEmpty():
+        return joined
+    in_part = at_end & F.coalesce(F.col("some") < F.col("n"), F.lit(False))
+    cut = stored(joined.filter(in_part).withColumn("at", F.monotonically_increasing_id()), "cut")
+    cut = cut.withColumn("part", F.shiftright("at", 33))
+    in_parts = cut.groupBy("plan_source", "part").agg(F.count("*").alias("rows_here"))
+    so_far = Window.partitionBy("plan_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = in_parts.select(
+        F.col("plan_source").alias("s"),
+        F.col("part").alias("p"),
+        F.coalesce(F.sum("rows_here").over(so_far), F.lit(0)).alias("before"),
     )
-    return joined.withColumn("copies", F.col("epochs") + F.coalesce(extra, F.lit(False)).cast("long"))
+    own = F.row_number().over(Window.partitionBy("plan_source", "part").orderBy("at"))
+    ranked = cut.withColumn("own", own).join(before, F.expr("plan_source <=> s AND part = p"))
+    taken = (F.col("before") + F.col("own") <= F.col("some")).cast("long")
+    ranked = ranked.withColumn("copies", F.col("epochs") + taken).select(*joined.columns)
+    return joined.filter(~in_part).unionByName(ranked)
 
 
 def _planned(df: DataFrame, doc_id: str, source: str, text: str, s: Settings):

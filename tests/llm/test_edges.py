@@ -137,6 +137,31 @@ def test_mixing(docs, empty):
     assert mixing.mixed(empty).count() == 0 and mixing.mixture(empty).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["cast(null as long)", "7L", "id"])
+def test_mixing_takes_a_part_of_equal_rows(spark, ids):
+    """All rows tie, by their text, by id and text, or not at all: the words taken come as near as rows allow."""
+    docs = spark.range(0, 300, 1, 7).selectExpr(f"{ids} AS doc_id", "id % 2 AS source", "repeat('word ', 4) AS text", "id AS n_chars")
+    rows = mixing.mixed(docs).collect()
+    target = {r["target"] for r in rows}
+    assert len(rows) == 300 and target == {1200.0, 600.0}
+    for t in target:
+        assert sum(r["taken"] for r in rows if r["target"] == t) == t
+    s = mixing.Settings(share=0.375)
+    rows = mixing.mixed(docs, s=s).collect()
+    for t in {r["target"] for r in rows}:
+        assert abs(sum(r["taken"] for r in rows if r["target"] == t) - t) <= 2
+    mix = mixing.mixture(docs, s=s).collect()
+    assert 4 * len(mix) == sum(r["taken"] for r in rows) and len({r["n_chars"] for r in mix}) == len(mix)
+
+
+def test_mixing_orders_texts_of_one_id(spark):
+    rows = [(1, "s", " ".join("w" * n)) for n in range(1, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    results = [mixing.mixed(docs.repartition(n), s=mixing.Settings(share=0.4)).collect() for n in (1, 6)]
+    one, other = (sorted((r["size"], r["taken"]) for r in rows) for rows in results)
+    assert one == other and abs(sum(t for _, t in one) - 0.4 * sum(range(1, 40))) <= 20
+
+
 def test_pages(spark):
     nav = "<nav><a href='/x'>Menu</a></nav>"
     rows = [
