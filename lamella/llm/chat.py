@@ -1,7 +1,10 @@
 r"""Chat formatting by a declarative template and a finite-state machine over roles. DataFrame functions only.
 
-A conversation becomes segments of text with a loss flag: the mark before a turn, its text, the mark after it. The
-machine walks through the roles; a conversation whose turns are out of order is formatted all the same and flagged.
+The machine reads the roles. A known role leads to the state of its name, any other and the null role to states of their
+own, and the state entered says which marks and which loss flag a turn has: a turn becomes three segments, the mark before
+it, its text, the mark after it. A turn that the template does not allow after the state before is out of place; the machine
+goes on from the state it names, so all turns are formatted. A conversation is in order if no turn is out of place and the
+last state is an accepting one; ``wrong_turn`` counts from 1 and is null if no turn is out of place.
 Inside texts and role names each of the characters ``<``, ``[``, ``]`` and ``\`` is followed by an extra ``\``. Every mark
 has a ``<`` or ``[`` with another character after it, so no mark can arise from a text, and dropping the extra
 characters gives the text back exactly.
@@ -35,7 +38,12 @@ class Template:
     other: Turn  # for other roles; the role's name follows ``before``
     name_end: str  # what ends that name
     nameless: Turn  # for a null role
-    follows: dict  # role, or "" at the start, to the roles that may come next
+    follows: dict  # state, or START, to the roles that may come next
+    accepting: tuple  # states in which a conversation may end
+
+
+#: States beside those named by roles; a role of such a name is another role.
+START, OTHER, NAMELESS = "", "*", "?"
 
 
 INSTRUCT = Template(
@@ -47,7 +55,8 @@ INSTRUCT = Template(
     other=Turn("[ROLE ", " [/ROLE]\n"),
     name_end="] ",
     nameless=Turn("[NOBODY] ", " [/NOBODY]\n"),
-    follows={"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)},
+    follows={START: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)},
+    accepting=("assistant",),
 )
 
 
@@ -59,18 +68,41 @@ def unescaped(c):
     return F.regexp_replace(c, r"([<\[\]\\])\\", "$1")
 
 
-def _pick(role, template: Template, known, other, nameless):
-    """A value by role: ``known`` of its Turn, or what other and null roles have."""
-    found = F.when(role.isNull(), nameless)
+def entered(role, template: Template):
+    """The state that a turn of this role leads to."""
+    known = [F.lit(name) for name in template.turns]
+    return F.when(role.isNull(), F.lit(NAMELESS)).when(role.isin(*known), role).otherwise(F.lit(OTHER))
+
+
+def _by_state(state, template: Template, known):
+    """What ``known`` gives for the Turn of a state."""
+    found = F.when(state == OTHER, F.lit(known(template.other))).when(state == NAMELESS, F.lit(known(template.nameless)))
     for name, turn in template.turns.items():
-        found = found.when(role == name, F.lit(known(turn)))
-    return found.otherwise(other)
+        found = found.when(state == name, F.lit(known(turn)))
+    return found
+
+
+def walked(turns, states, template: Template):
+    """Turns with the state each leads to and whether it is allowed after the state before.
+
+    A turn's state follows from its role alone, so the state before is that of the turn before, and long
+    conversations take time that grows with their length only.
+    """
+    allowed = F.array(*[F.lit(f"{a}>{b}") for a, following in template.follows.items() for b in following])
+
+    def step(x, k):
+        state = F.get(states, k)
+        before = F.coalesce(F.get(states, k - 1), F.lit(START))
+        in_place = F.array_contains(allowed, F.concat(before, F.lit(">"), state))
+        return F.struct(x.alias("turn"), state.alias("state"), in_place.alias("in_place"))
+
+    return F.transform(turns, step)
 
 
 def formatted(
     df: DataFrame, conv_id="conv_id", turn="turn", role="role", text="text", template: Template = INSTRUCT
 ) -> DataFrame:
-    """One row per conversation: conv_id, in_order, segments (text, loss)."""
+    """One row per conversation: conv_id, in_order, wrong_turn, segments (text, loss)."""
     turns = F.sort_array(
         F.collect_list(
             F.struct(column(turn).alias("turn"), column(role).alias("role"), F.coalesce(column(text), F.lit("")).alias("text"))
@@ -79,30 +111,24 @@ def formatted(
     t = template
 
     def segments(x):
-        name = escaped(x["role"])
-        before = _pick(
-            x["role"], t, lambda k: k.before, F.concat(F.lit(t.other.before), name, F.lit(t.name_end)), F.lit(t.nameless.before)
-        )
-        after = _pick(x["role"], t, lambda k: k.after, F.lit(t.other.after), F.lit(t.nameless.after))
-        loss = _pick(x["role"], t, lambda k: k.loss, F.lit(t.other.loss), F.lit(t.nameless.loss))
-        mark = F.lit(False)
+        state, role, mark = x["state"], x["turn"]["role"], F.lit(False)
+        name = F.when(state == OTHER, F.concat(escaped(role), F.lit(t.name_end))).otherwise("")
         return F.array(
-            F.struct(before.alias("text"), mark.alias("loss")),
-            F.struct(escaped(x["text"]).alias("text"), loss.alias("loss")),
-            F.struct(after.alias("text"), mark.alias("loss")),
+            F.struct(F.concat(_by_state(state, t, lambda k: k.before), name).alias("text"), mark.alias("loss")),
+            F.struct(escaped(x["turn"]["text"]).alias("text"), _by_state(state, t, lambda k: k.loss).alias("loss")),
+            F.struct(_by_state(state, t, lambda k: k.after).alias("text"), mark.alias("loss")),
         )
 
-    allowed = F.array(*[F.lit(f"{a}>{b}") for a, following in t.follows.items() for b in following])
-
-    def walk(state, x):
-        step = F.concat(state, F.lit(">"), F.coalesce(x["role"], F.lit("?")))
-        return F.when(F.array_contains(allowed, step), x["role"]).otherwise(F.lit("!"))
-
     grouped = df.groupBy(column(conv_id).alias("conv_id")).agg(turns.alias("turns"))
-    return grouped.select(
+    grouped = grouped.withColumn("states", F.transform("turns", lambda x: entered(x["role"], t)))
+    walk = grouped.withColumn("walk", walked(F.col("turns"), F.col("states"), t))
+    wrong = F.nullif(F.array_position(F.transform("walk", lambda x: x["in_place"]), F.lit(False)), F.lit(0)).cast("int")
+    accepted = F.element_at("walk", -1)["state"].isin(*t.accepting)
+    return walk.select(
         "conv_id",
-        (F.aggregate("turns", F.lit(""), walk) != "!").alias("in_order"),
-        F.flatten(F.transform("turns", segments)).alias("segments"),
+        (wrong.isNull() & accepted).alias("in_order"),
+        wrong.alias("wrong_turn"),
+        F.flatten(F.transform("walk", segments)).alias("segments"),
     )
 
 
@@ -142,14 +168,14 @@ def read_back(formatted_text, template: Template = INSTRUCT):
 
 
 def digests(conversations: DataFrame, template: Template = INSTRUCT) -> DataFrame:
-    """What the formatted conversations hold, read back from their segments."""
+    """What the formatted conversations hold, read back from their segments, and what the machine says of their order."""
     text = joined("segments")
     loss = F.array_join(F.transform(F.filter("segments", lambda x: x["loss"]), lambda x: unescaped(x["text"])), "")
     turns = F.transform(
         "turns", lambda x: F.concat(F.coalesce(x["role"], F.lit("")), F.lit("\n"), x["text"], F.lit("\n"))
     )
     return (
-        conversations.select("conv_id", text.alias("formatted"), loss.alias("loss"))
+        conversations.select("conv_id", "in_order", "wrong_turn", text.alias("formatted"), loss.alias("loss"))
         .withColumn("turns", read_back(F.col("formatted"), template))
         .select(
             "conv_id",
@@ -158,5 +184,7 @@ def digests(conversations: DataFrame, template: Template = INSTRUCT) -> DataFram
             F.length("loss").cast("long").alias("loss_chars"),
             F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
             F.length("formatted").cast("long").alias("formatted_chars"),
+            "in_order",
+            "wrong_turn",
         )
     )

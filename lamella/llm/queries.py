@@ -183,14 +183,24 @@ SQL = {
         WITH turns AS (
             SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
-            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        placed AS (
+            SELECT *, row_number() OVER conversation AS place,
+                   CASE lag(coalesce(role, '?'), 1, 'start') OVER conversation
+                       WHEN 'start' THEN role IN ('system', 'user')
+                       WHEN 'system' THEN role = 'user'
+                       WHEN 'user' THEN role = 'assistant'
+                       WHEN 'assistant' THEN role = 'user' END AS in_place
+            FROM turns WINDOW conversation AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text))
         SELECT conv_id, count(*) AS n_turns,
+               min(place) FILTER (in_place IS NOT TRUE)::INTEGER AS wrong_turn,
+               bool_and(in_place IS TRUE) AND coalesce(arg_max(role, place) = 'assistant', false) AS in_order,
                sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(length(text) + len(regexp_extract_all(text, '[<\[\]\\]'))
                    + CASE role WHEN 'system' THEN 19 WHEN 'user' THEN 18 WHEN 'assistant' THEN 12 END)::BIGINT AS formatted_chars
-        FROM turns GROUP BY conv_id""",
+        FROM placed GROUP BY conv_id""",
     "op9_embeddings": """
         WITH RECURSIVE v AS (
             SELECT vec_id, CASE WHEN len([x FOR x IN embedding IF isfinite(x)]) = len(embedding)

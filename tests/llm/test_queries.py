@@ -343,11 +343,34 @@ def test_chat_marks_cannot_be_forged(spark):
     assert [(t["role"], t["text"]) for t in out[1]["turns"]] == [(r, t or "") for r, t in zip(roles, tricky)]
     assert {i: r["in_order"] for i, r in out.items()} == {1: False, 2: True, 3: False}
     assert [s["text"] for s in out[2]["segments"] if s["loss"]] == ["b"]
+    assert {i: r["wrong_turn"] for i, r in out.items()} == {1: 4, 2: None, 3: 1}
     marks = {k.before for k in chat.INSTRUCT.turns.values()} | {k.after for k in chat.INSTRUCT.turns.values()}
     inner = [s["text"] for s in out[1]["segments"][1::3]]
     assert not any(m.strip() and m.strip() in t for m in marks for t in inner)
 
 
+def test_chat_machine_against_a_plain_one(spark):
+    """Random conversations: where a plain machine first finds no move, and whether it ends in an accepting state."""
+    draw = random.Random(11)
+    roles = ["system", "user", "assistant", "tool", "*", "?", "", None]
+    talks = {k: [draw.choice(roles) if draw.random() < 0.2 else ("assistant", "user")[i % 2 - 1] for i in range(draw.randrange(1, 7))]
+             for k in range(300)}
+    talks |= {1000: ["system"], 1001: ["user"], 1002: ["system", "user", "assistant"], 1003: ["user", "assistant"] * 2000}
+    rows = [(k, i, r, f"text {i}") for k, talk in talks.items() for i, r in enumerate(talk)]
+    df = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    read = df.withColumn("turns", chat.read_back(chat.joined("segments"))).collect()
+    moves = {None: "system user", "system": "user", "user": "assistant", "assistant": "user"}
+    for r in read:
+        talk, state, wrong = talks[r["conv_id"]], None, None
+        for i, role in enumerate(talk):
+            if wrong is None and (role not in moves.get(state, "").split() or (i and state is None)):
+                wrong = i + 1
+            state = role
+        assert r["wrong_turn"] == wrong and r["in_order"] == (wrong is None and talk[-1] == "assistant")
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [(role, f"text {i}") for i, role in enumerate(talk)]
+        assert [s["text"] for s in r["segments"] if s["loss"]] == [f"text {i}" for i, role in enumerate(talk) if role == "assistant"]
+
+
 def test_targets_stop_and_share_the_excess(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 100), ("d", 0), (None, 500)]
     df = spark.createDataFrame(sizes, "source string, source_size long")
