@@ -12,12 +12,13 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from lamella.llm import chat, exact, mixing, packing, simhash, tokens  # noqa: E402
+from lamella.llm import chat, exact, language, mixing, packing, simhash, tokens  # noqa: E402
 from lamella.llm.queries import QUERIES, SQL  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
@@ -100,6 +101,71 @@ def test_language_on_held_out_documents(spark):
     assert np.mean([r["lang_pred"] == r["lang"] for r in rows if r["held_out"]]) > 0.98
 
 
+def plain_bayes(rows, folds=4, held=2, longest=3, buckets=1 << 15, smoothing=0.5):
+    """Naive Bayes in dictionaries over every row that may teach: a function from text to posterior by language."""
+
+    def grams(text):
+        points = []
+        for c in (text or "").lower():
+            if c.isalpha() or not points or points[-1]:
+                points.append(ord(c) if c.isalpha() else 0)
+        points = [0, *points, 0]
+        for n in range(1, longest + 1):
+            for i in range(len(points) - n + 1):
+                h = 0
+                for k, p in enumerate(points[i : i + n]):
+                    h = (h * 0x01000193 + p * (2 * k + 1)) & 0xFFFFFFFF
+                h = (h * 0x9E3779B1) & 0xFFFFFFFF
+                yield (h ^ (h >> 15)) % buckets
+
+    counts, docs = {}, Counter()
+    for r in rows:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % folds != held:
+            counts.setdefault(r["lang"], Counter()).update(grams(r["text"]))
+            docs[r["lang"]] += 1
+
+    def posterior(text):
+        total = {}
+        for lang, seen in counts.items():
+            below = sum(seen.values()) + smoothing * buckets
+            total[lang] = np.log(docs[lang] / sum(docs.values())) + sum(np.log((seen[g] + smoothing) / below) for g in grams(text))
+        top = max(total.values())
+        return {k: np.exp(v - top) / sum(np.exp(w - top) for w in total.values()) for k, v in total.items()}
+
+    return posterior
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_language_against_plain_bayes(spark, block):
+    """Every prediction and score, in one pass and in several; short texts, whose languages are in doubt, too."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang", F.substring("text", 1, 400).alias("text"))
+    short = docs.selectExpr("doc_id + 100000 AS doc_id", "lang", "substring(text, 1, 1 + doc_id % 9) AS text")
+    docs = docs.union(short)
+    rows = docs.collect()
+    posterior = plain_bayes(rows)
+    model = language.fitted(docs, language.Settings(block=block))
+    found = {r["doc_id"]: r["found"] for r in language.identified(docs, "found", model).collect()}
+    assert len({r["lang"] for r in rows}) >= 4 and model.n_blocks == (1 if block == 256 else 2)
+    for r in rows:
+        got, expected = found[r["doc_id"]], posterior(r["text"])
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (got["lang_pred"], got["score"]) == ("und", 0)
+            continue
+        assert got["score"] == pytest.approx(max(expected.values()), abs=1e-4)
+        assert expected[got["lang_pred"]] == pytest.approx(max(expected.values()), abs=1e-4)
+
+
+def test_rare_languages_among_many(spark):
+    """400 languages, most of ten documents beside one of thousands: each is learned, none is too many."""
+    rows = [(k, f"l{k % 400:03d}", " ".join(f"{chr(0x4E00 + k % 400)}{chr(0x5E00 + k % 400)}" for _ in range(5))) for k in range(4000)]
+    rows += [(10_000 + k, "xx", f"plain words number {k}") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language.fitted(docs, language.Settings(per_language=50))
+    out = language.identified(docs, "found", model).collect()
+    assert model.n_blocks == 2
+    assert all(r["found"]["lang_pred"] == r["lang"] for r in out)
+
+
 def test_packing_loses_nothing(spark, documents):
     encode = Tokenizer.from_file(tokens.TOKENIZER).encode
     ids = {i: encode(t or "", add_special_tokens=False).ids + [1] for i, t in documents.items()}
