@@ -6,16 +6,18 @@ other. Four transducers are composed into one machine:
 * negation: an insult or threat shortly after a negation is rewritten as a negated one,
 * reported speech: after a verb of saying or a quotation mark, insults and threats are rewritten as reported ones,
 * threat: a modal before a threat, or a target after it, makes the threat count,
-* target: an insult near a target (before or after it) is rewritten as an aimed one.
+* target: an insult near a target (before or after it) is rewritten as an aimed one; alone it counts for half.
 
 An arc carries a factor and a constant: a word of weight ``w`` passes on ``factor * w + constant``, and composed
-arcs apply one after the other. A clause's score is the sum over its path, a document's the sum over its
-clauses; a logistic curve turns it into a score between 0 and 1.
+arcs apply one after the other. A clause's score is the sum over its path, a document's the norm of the clause scores, with ``Settings.power`` as exponent: it
+grows more slowly than their number, so in a long text many weak clauses add up to less than their sum. A logistic curve,
+whose log odds bend towards a bound so that different values keep different scores, gives a score between 0 and 1.
 
 Insults are a short list of plain ones and what labelled documents teach: words and word beginnings found in
 many more toxic documents than chance allows (a likelihood-ratio test), weighted by their log odds. The
 weights and the curve are fitted on at most ``Settings.sample`` labelled documents, drawn by a hash of their id; of near
-copies among them few are kept, or the words of a toxic text with many copies would all look toxic.
+copies among them with one label few are kept, those of the smallest hashes, or the words of a toxic text with many
+copies would all look toxic.
 
 Null and empty texts score as texts without any match. Rows with null ids are scored and never teach; labels
 without an id or a toxic value are ignored, and an id labelled more than once counts as toxic if one of its labels
@@ -66,6 +68,11 @@ class Settings:
     least_weight: float = 3.0  # log odds it needs; weaker signs add up in long texts and mean little
     listed_weight: float = 3.0  # weight of a listed insult that labels do not weigh higher
     threat_weight: float = 3.0
+    power: float = 1.5  # of the norm by which clauses make up a document
+
+
+#: Log odds stay as they are up to the first and come near the second.
+BENDS, BOUND = 15.0, 30.0
 
 
 @dataclass(frozen=True)
@@ -118,18 +125,18 @@ def threat(length: int = 3) -> Transducer:
 
 
 def target(length: int = 4) -> Transducer:
-    """An insult counts for more shortly after a target; a target shortly after an insult adds to it."""
+    """An insult counts for half alone and for more shortly after a target; a target shortly after an insult adds to it."""
     arcs, fade = {}, {0: 0}
     after_target, after_insult = range(1, length + 1), range(length + 1, 2 * length + 1)
     for s in (0, *after_target, *after_insult):
         arcs[s, TARGET] = (after_target[-1], TARGET, 1.0, 0.0)
-        arcs[s, INSULT] = (after_insult[-1], INSULT, 1.0, 0.0)
+        arcs[s, INSULT] = (after_insult[-1], INSULT, 0.5, 0.0)
     for s in after_target:
         fade[s] = s - 1
         arcs[s, INSULT] = (s - 1, AIMED, 1.3, 0.0)
     for s in after_insult:
         fade[s] = s - 1 if s > after_insult[0] else 0
-        arcs[s, TARGET] = (after_target[-1], AIMED, 0.0, 0.5)
+        arcs[s, TARGET] = (after_target[-1], AIMED, 0.0, 1.5)
     return Transducer(arcs, fade)
 
 
@@ -196,7 +203,7 @@ class Reader:
         return (symbol, weight) if symbol else 0
 
     def value(self, text: str | None) -> float:
-        """The sum of the clause scores of a whole text."""
+        """The norm of the clause scores of a whole text."""
         words, memo = WORDS.findall((text or "").lower()), self.memo
         if len(memo) > self.remembered:
             memo.clear()
@@ -207,15 +214,15 @@ class Reader:
             read = list(map(memo.get, words))
         if not any(x and x != -1 and x[0] in (INSULT, THREAT) for x in set(read)):
             return 0.0
-        total, clause, state = 0.0, 0.0, 0
+        total, clause, state, power = 0.0, 0.0, 0, self.model.settings.power
         for x in read:
             if x == -1:
-                total, clause, state = total + max(clause, 0.0), 0.0, 0
+                total, clause, state = total + max(clause, 0.0) ** power, 0.0, 0
                 continue
             symbol, weight = x or (OTHER, 0.0)
             state, factor, constant = self.machine[state][symbol]
             clause += factor * weight + constant
-        return total + max(clause, 0.0)
+        return (total + max(clause, 0.0) ** power) ** (1 / power)
 
 
 def _beginnings(text: str | None, settings: Settings) -> set[str]:
@@ -276,11 +283,15 @@ def signatures(text: str | None) -> list[int]:
 
 
 def without_copies(sample: DataFrame) -> DataFrame:
-    """The sample with few near copies left: a word all copies of one text hold must not count for each of them."""
+    """The sample with few near copies left: a word all copies of one text hold must not count for each of them.
+
+    Copies with different labels all stay. Which of them stay does not depend on the order of rows.
+    """
     each = F.pandas_udf(lambda texts: pd.Series([signatures(t) for t in texts]), "array<long>")
     signed = sample.withColumn("signatures", each("text"))
     for k in range(len(SEEDS)):
-        signed = signed.withColumn("signature", F.col("signatures")[k]).dropDuplicates(["signature"])
+        kept = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "signatures")).alias("kept")
+        signed = signed.groupBy("toxic", F.col("signatures")[k].alias("signature")).agg(kept).select("toxic", "kept.*")
     return signed.select("text", "toxic")
 
 
@@ -321,7 +332,10 @@ def fit(sample: DataFrame, settings: Settings = Settings()) -> Model:
 
 
 def curve(bins: list[tuple[float, int, int]], ridge: float = 1.0) -> tuple[float, float]:
-    """Intercept and slope of a logistic curve over (value, label, rows), by damped Newton steps."""
+    """Intercept and slope of a logistic curve over (value, label, rows), by damped Newton steps.
+
+    Values above 20 pull no more than 20 does.
+    """
     x, y, n = (np.array(v, dtype=float) for v in zip(*bins))
     x = np.minimum(x, 20.0)
     design, at = np.stack([np.ones_like(x), x], axis=1), np.zeros(2)
@@ -337,7 +351,7 @@ def curve(bins: list[tuple[float, int, int]], ridge: float = 1.0) -> tuple[float
 
 
 def valued(model: Model):
-    """A column function: text to the sum of its clause scores."""
+    """A column function: text to the norm of its clause scores."""
 
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader = Reader(model)
@@ -347,10 +361,16 @@ def valued(model: Model):
     return F.pandas_udf(each, "double")
 
 
+def bent(odds):
+    """Log odds that rise ever more slowly beyond ``BENDS``, so that none is cut off and their scores stay below 1."""
+    room = BOUND - BENDS
+    return F.when(odds <= BENDS, odds).otherwise(BENDS + room * (1 - F.exp((BENDS - odds) / room)))
+
+
 def scored(df: DataFrame, name: str, model: Model, text: str = "text") -> DataFrame:
     """``df`` with a column ``name``: the score of its whole text, from 0 to 1."""
-    value = F.least(valued(model)(column(text)), F.lit(20.0))
-    return df.withColumn(name, 1 / (1 + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * value))))
+    odds = F.lit(model.intercept) + F.lit(model.slope) * valued(model)(column(text))
+    return df.withColumn(name, odds).withColumn(name, 1 / (1 + F.exp(-bent(column(name)))))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), folds: int = 5, held: int = 0) -> Model:

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for operators and stages."""
 
+import math
+import random
 import sys
 from pathlib import Path
 
@@ -101,6 +103,60 @@ def test_toxic_grammar_weighs_clauses(low, high):
     assert reader.value("a clean text. nothing here") == 0
 
 
+def cascade(text, model):
+    """The value of a text by running the four transducers one after the other over each clause."""
+    reader, total = toxicity.Reader(model), 0.0
+    parts = [toxicity.negation(), toxicity.reported(), toxicity.threat(), toxicity.target()]
+    scoring = {toxicity.INSULT, toxicity.AIMED, toxicity.NOT_INSULT, toxicity.SAID_INSULT, toxicity.CARRIED_OUT}
+    clause = []
+    for word in [*toxicity.WORDS.findall((text or "").lower()), "."]:
+        found = reader.look_up(word)
+        if found != -1:
+            clause.append(found or (toxicity.OTHER, 0.0))
+            continue
+        tape = clause
+        for part in parts:
+            state, written = 0, []
+            for symbol, weight in tape:
+                state, symbol, factor, constant = part.step(state, symbol)
+                written.append((symbol, factor * weight + constant))
+            tape = written
+        total += max(sum(w for symbol, w in tape if symbol in scoring), 0.0) ** model.settings.power
+        clause = []
+    return total ** (1 / model.settings.power)
+
+
+def test_composed_machine_equals_the_cascade(spark):
+    draw = random.Random(3)
+    model = toxicity.Model({"grub": 4.0, "snar*": 3.5}, -5.0, 2.0, toxicity.Settings())
+    classes = [toxicity.INSULTS, toxicity.THREATS, toxicity.TARGETS, toxicity.MODALS, toxicity.NEGATIONS, toxicity.REPORTS]
+    words = [w for c in classes for w in c[:3]] + ["grub", "snarling", "snar", "house", "and", ".", ",", "\"", "\n"]
+    texts = [" ".join(draw.choices(words, k=draw.randrange(40))) for _ in range(400)] + [None, "", "you idiot " * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["s"] for r in toxicity.scored(df, "s", model).collect()}
+    for i, text in enumerate(texts):
+        odds = -5.0 + 2.0 * cascade(text, model)
+        odds = odds if odds <= 15 else 15 + 15 * (1 - math.exp((15 - odds) / 15))
+        assert rows[i] == pytest.approx(1 / (1 + math.exp(-odds)), rel=1e-9)
+    assert any(r > 0.5 for r in rows.values()) and any(0 < r < 0.5 for r in rows.values())
+
+
+def test_scores_of_very_toxic_texts_differ(spark):
+    model = toxicity.Model({}, -5.0, 2.0, toxicity.Settings())
+    df = spark.createDataFrame([(n, "you idiot. " * n) for n in range(1, 40)], "doc_id long, text string")
+    scores = [r["s"] for r in toxicity.scored(df, "s", model).orderBy("doc_id").collect()]
+    assert all(a < b < 1 for a, b in zip(scores, scores[1:]))
+
+
+def test_which_copies_teach_does_not_depend_on_their_order(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve".split()
+    rows = [(" ".join([*base, f"end{k % 9}"]), k % 2) for k in range(60)] + [(f"text number {k} alone", 0) for k in range(20)]
+    df = spark.createDataFrame(rows, "text string, toxic int")
+    kept = [sorted(map(tuple, toxicity.without_copies(df.repartition(n)).collect())) for n in (1, 3, 8)]
+    assert kept[0] == kept[1] == kept[2] and {t for x, t in kept[0] if x.startswith("one")} == {0, 1}
+    assert sum(x.startswith("text") for x, _ in kept[0]) >= 15
+
+
 def test_language(docs, empty):
     model = language.fitted(docs)
     rows = {r["doc_id"]: r["found"] for r in language.identified(docs, "found", model).collect()}
