@@ -116,14 +116,16 @@ def one_row_each(df: DataFrame, keys: Iterable[str], repeats: str) -> DataFrame:
     """Rows of ``df`` with one left of those alike in ``keys``.
 
     ``repeats`` says how many there are. Only rows that do repeat are grouped; the grouping keeps
-    one row for each key and task before it shuffles, so a key with very many rows does no harm.
+    one row for each key and task before it shuffles, so a key with very many rows does no harm. The row that stays is
+    the first by its other columns as JSON, whatever the order of rows.
     """
     keys = list(keys)
+    others = F.to_json(F.struct(*[column(c) for c in df.columns if c not in keys]))
     single = df.filter(column(repeats) == 1)
     many = (
         df.filter(column(repeats) > 1)
         .groupBy(*[column(k) for k in keys])
-        .agg(F.first(F.struct(*[column(c) for c in df.columns])).alias("row"))
+        .agg(F.min_by(F.struct(*[column(c) for c in df.columns]), others).alias("row"))
     )
     return single.unionByName(many.select(*[F.col("row").getField(c).alias(c) for c in df.columns]))
 

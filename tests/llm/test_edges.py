@@ -103,6 +103,14 @@ def test_toxic_grammar_weighs_clauses(low, high):
     assert reader.value("a clean text. nothing here") == 0
 
 
+def test_which_row_of_one_id_and_text_stays(spark):
+    rows = [(1, "same text here", f"source {k % 5}", None if k % 2 else k) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    for operator in (exact.drop_exact_duplicates, simhash.drop_near_duplicates):
+        kept = {tuple(operator(df.repartition(n)).collect()) for n in (1, 3, 8)}
+        assert len(kept) == 1 and len(next(iter(kept))) == 1
+
+
 def cascade(text, model):
     """The value of a text by running the four transducers one after the other over each clause."""
     reader, total = toxicity.Reader(model), 0.0
