@@ -10,8 +10,10 @@ Each is the entropy to the base of the number of pages, so it lies between 0 (al
 page its own). A node's importance is the largest of its own and its descendants'; with one page on the host it is
 1. From each page, branches of low importance are removed, along with branches that by tag, role or
 class are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments. Where a page has
-an article (or else a main part), that is where its text lies; there only markup decides, whatever the importance,
-since a host may serve one article on all pages. Where removal leaves nothing, only markup decides as well.
+an article (or else a main part), that is where its text lies. Inside it whole boxes of low importance go (a
+notice, share bar or author's box that the host repeats), but no parts of them: headings, rows, items and words in a
+sentence may well be alike on all pages of a host. A host that serves one article everywhere has nothing to
+tell apart: where a removal leaves nothing, or less than a quarter of an article, only markup decides.
 Pages of one content count once for their host, so that copies make no template.
 
 Texts of blocks are joined by one newline in page order; a line break is white space. Character references are decoded
@@ -50,6 +52,10 @@ BLOCK_ENDS_P = set(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav"
     " ol p pre section table ul".split()
 )
+#: Elements of an article that the style tree may remove as a whole.
+BOXES = set("address aside blockquote center details div dl fieldset figure ol p pre section table ul".split())
+#: The share of an article that the style tree must leave.
+LEFT = 0.25
 #: Elements, roles and words of classes and ids that are never main text.
 ASIDE_TAGS = set("nav header footer aside form button dialog head".split()) | RAW
 ASIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -217,13 +223,15 @@ def main_text(page: str | None, template: frozenset = frozenset()) -> str:
     root = parse(page)
     mains = _mains(root)
     if mains:
-        return _blocks(mains, frozenset())
+        marked = _blocks(mains, frozenset())
+        varied = _blocks(mains, template, BOXES) if template else marked
+        return varied if len(varied) >= LEFT * len(marked) else marked
     # Where a host serves the same page everywhere, its style tree has nothing to tell apart.
     return _blocks([root], template) or (_blocks([root], frozenset()) if template else "")
 
 
-def _blocks(starts: list[Node], template: frozenset) -> str:
-    """Texts of the blocks below the starts, without asides and branches of the template."""
+def _blocks(starts: list[Node], template: frozenset, removed: set | None = None) -> str:
+    """Texts of the blocks below the starts, without asides and branches of the template (of ``removed`` tags, if given)."""
     blocks: list[str] = []
     current: list[str] = []
 
@@ -246,7 +254,7 @@ def _blocks(starts: list[Node], template: frozenset) -> str:
             elif part.tag in VOID:
                 if part.tag == "hr":
                     flush()
-            elif part is start or not (part.aside or name in template):
+            elif part is start or not (part.aside or name in template and (removed is None or part.tag in removed)):
                 if part.tag not in INLINE:
                     flush()
                     work.append((part, name, True))

@@ -258,6 +258,25 @@ def test_style_tree_finds_the_template_without_markup_that_says_so(spark):
     assert result[100] == "Our shop\nText same of its own\nCall us"  # nothing varies, so nothing is removed
 
 
+def test_style_tree_removes_what_a_host_repeats_inside_articles(spark):
+    page = (
+        "<body><article><h1>Dish {0}</h1><div class=k1><p>Share it with <b>friends</b></p></div><h2>Method</h2>"
+        "<p>Stir pot {0}, <b>slowly</b>, for {0} minutes.</p><table><tr><th>Cups</th><td>{0}</td></tr></table>"
+        "<ul class=k2><li>By our cooks</li></ul></article></body>"
+    )
+    wanted = "Dish {0}\nMethod\nStir pot {0}, slowly, for {0} minutes.\nCups\n{0}"
+    rows = [(k, "http://cook.example/", page.format(k)) for k in range(8)]
+    rows += [(100 + k, "http://same.example/", page.format("same") + f"<p>{k}</p>") for k in range(8)]
+    # Only the titles of long articles differ.
+    long = "<body><main><h1>Day {0}</h1><div class=k3><p>" + "All the rules of the house. " * 9 + "</p></div></main></body>"
+    rows += [(200 + k, "http://rules.example/", long.format(k)) for k in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    result = {r["page_id"]: r["text"] for r in pages.extracted(df).collect()}
+    assert {k: result[k] for k in range(8)} == {k: wanted.format(k) for k in range(8)}
+    assert result[100].startswith("Dish same\nShare it with friends\nMethod") and result[100].endswith("By our cooks")
+    assert result[203] == "Day 3\n" + ("All the rules of the house. " * 9).strip()
+
+
 def test_copied_pages_are_no_template(spark):
     inner = "<div class=post><ul><li>One</li></ul><table><tr><td>{0}</td></tr></table><p>Two</p></div>"
     article = "<body><article>" + inner + "</article></body>"
