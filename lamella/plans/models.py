@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -14,6 +15,7 @@ from lamella.operators import trailing
 from lamella.operators.aggregate import agg_name, is_aggregate_expr, suffix_agg
 from lamella.operators.dates import date_filter, parse_dates
 from lamella.operators.grouping import apply_rollup, build, group_keys, order_limit
+from lamella.operators.interval_counts import Asked, count_name, pair_counts
 from lamella.operators.joins import Join, add_scalars, join_all
 from lamella.operators.lookback import fed_dates, in_windows
 from lamella.operators.predicates import Condition, as_condition, filter_where
@@ -172,7 +174,8 @@ def join_models(
     """Left-deep joins on a base model, then everything ``select_model`` does.
 
     Columns are addressed as ``alias.column``; the date filter applies to the base only. Tables
-    in ``scalars`` have one row each and are made available to every row.
+    in ``scalars`` have one row each and are made available to every row. Where an interval join is only counted,
+    its pairs are not made: see ``lamella.operators.interval_counts``.
     """
     filters, options = _split(options)
     names = options.get("names", NAMES)
@@ -182,10 +185,59 @@ def join_models(
     sides = {alias: df, **{j.alias: j.df for j in joins}}
     if select is None:
         select = [Bulk("all", a) for a in sides]
-    joined = add_scalars(join_all(alias, df, joins), scalars or {})
+    counted = _pair_counts(alias, df, joins, select, options, names) if not scalars else None
+    if counted is not None:
+        joined, select = counted
+    else:
+        joined = add_scalars(join_all(alias, df, joins), scalars or {})
     return _model(joined, Scope({**sides, **(scalars or {})}, alias, qualify=True), select, **options)
 
 
+#: Counts of pairs: of all, of those with a value, of different values.
+COUNT = re.compile(r"count\((?:\*|(distinct )?(\w+)\.(\w+))\)")
+
+
+def _pair_counts(alias: str, df: DataFrame, joins: Sequence[Join], select: Sequence, options: Mapping, names: Names):
+    """Partial counts of an interval join and a select list that adds them up; None if more than counts is asked."""
+    hidden = {names.datetime, names.row_count, *names.partitions}
+    if len(joins) != 1 or not joins[0].between or joins[0].on or set(options) - {"inherit_time"} or hidden & set(df.columns):
+        return None
+    join = joins[0]
+    sides = {alias: df, join.alias: join.df}
+    dims, counted, distinct, chosen, largest = [], [], [], [], False
+    for item in select:
+        item = Item(item) if isinstance(item, str) else item
+        if not isinstance(item, Item) or item.exclude_from_group_by or item.interval:
+            return None
+        side, found = item.side or alias, None
+        if isinstance(item.expr, str) and item.role == FCT and not item.aggs:
+            found = COUNT.fullmatch(item.expr)
+        if found:
+            column = (found[2], found[3]) if found[2] else None
+            if column and column[1] not in getattr(sides.get(column[0]), "columns", ()):
+                return None
+            if found[1]:
+                distinct.append(column)
+            else:
+                counted.append(column)
+                total = f"coalesce(cast(sum({ident(count_name(counted.index(column)))}) AS bigint), 0L)"
+                item = Item(item.name, total, FCT, side=item.side)
+        elif item.expr is not None or item.name not in getattr(sides.get(side), "columns", ()):
+            return None
+        elif item.role == DIM and not item.aggs:
+            dims.append((side, item.name))
+        elif item.role == FCT and item.aggs == ("max",) and f"{side}.{item.name}" == join.between.point:
+            largest = True
+        else:
+            return None
+        chosen.append(item)
+    if not counted:
+        return None
+    asked = Asked(dims, counted, list(dict.fromkeys(distinct)), largest)
+    rows = pair_counts((alias, df), (join.alias, join.df), join.how, join.between, asked)
+    return None if rows is None else (rows, chosen)
+
+
 def unnest_model(
     df: DataFrame,
     column: str,
