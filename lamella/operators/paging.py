@@ -6,7 +6,7 @@ import bisect
 from collections.abc import Sequence
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,8 @@ from lamella.session import working_path
 
 #: The number of a row's range, and what orders rows that the sort keys leave equal.
 RANGE, TIE = "page range", "page tie"
+#: The number of a row within its range.
+NUMBER = "page number"
 
 
 class Pages:
@@ -23,7 +25,8 @@ class Pages:
 
     A limit with an offset sends all rows before the page through one task. Here rows are dealt once, into ranges of the
     sort keys in a copy in the shared folder; counts per range (a list of bounded length) say which ranges hold a page,
-    and only those are read and sorted. The copy serves all pages of the same order.
+    and only those are read and sorted. No task holds more than a range, however long the page is. The copy serves all
+    pages of the same order.
 
     Rows with equal keys are ordered by a hash of the row, so pages do not overlap and a value that very many
     rows have does not make one range of them. Offset and limit may exceed the rows there are.
@@ -64,10 +67,25 @@ class Pages:
         if offset < 0 or limit < 0:
             raise ValueError("offset and limit must not be negative")
         chosen, skipped = self.holding(offset, limit)
-        held = self.stored.where(F.col(ident(RANGE)).isin(chosen)) if chosen else self.stored.where("false")
-        ordered = held.orderBy(*sort_keys(self.order_by), F.col(ident(TIE)))
-        ordered = ordered.offset(skipped) if skipped else ordered
-        return ordered.limit(limit).select(*[ident(c) for c in self.columns])
+        columns = [ident(c) for c in self.columns]
+        if not chosen:
+            return self.stored.where("false").select(*columns)
+        keys, at = [*sort_keys(self.order_by), F.col(ident(TIE))], F.col(ident(RANGE))
+        # Ranges within the page are taken whole. Only the first and the last are cut, by numbers in their order.
+        last = self.ranges.index(chosen[-1])
+        left = min(offset + limit, self.rows) - (self.ends[last - 1] if last else 0)
+        cut = [chosen[0]] if skipped else []
+        cut += [chosen[-1]] if offset + limit < self.ends[last] and chosen[-1] not in cut else []
+        whole = [r for r in chosen if r not in cut]
+        parts = [self.stored.where(at.isin(whole))] if whole else []
+        if cut:
+            number = F.row_number().over(Window.partitionBy(at).orderBy(*keys))
+            numbered = self.stored.where(at.isin(cut)).withColumn(NUMBER, number)
+            own = F.col(ident(NUMBER))
+            kept = ((at != chosen[0]) | (own > skipped)) & ((at != chosen[-1]) | (own <= left))
+            parts.append(numbered.where(kept).drop(NUMBER))
+        held = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return held.orderBy(*keys).select(*columns)
 
 
 def _hashable(df: DataFrame, name: str):
