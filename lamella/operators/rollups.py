@@ -123,28 +123,48 @@ def bucket_metrics(
 
 #: The columns of stored bitmaps: which 32,768 ids a row stands for, and which of them occur.
 BUCKET, BITMAP = "id_bucket", "id_bitmap"
+#: A part of a bitmap: 64 ids, of which at least one occurs.
+WORD, BITS = "word", "bits"
 
 
 def distinct_bitmaps(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Which ids occur in each group, as bitmaps of 32,768 ids each: a measure whose distinct counts roll up exactly.
 
-    For whole numbers that lie close together (surrogate keys): a bitmap takes 4 KB however few of its ids
-    occur. Null ids are not counted.
+    For whole numbers that lie close together (surrogate keys): a bitmap is a list of those of its words of 64 bits
+    that are not empty, so groups with few ids take little room. Null ids are not counted.
     """
     number = F.col(ident(column))
     kind = df.schema[column].dataType.typeName()
     if kind not in ("byte", "short", "integer", "long"):
         raise ValueError(f"bitmaps need whole numbers, not {kind}")
-    rows = df.where(number.isNotNull()).groupBy(*[F.col(ident(k)) for k in keys], F.bitmap_bucket_number(number).alias(BUCKET))
-    return rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias(BITMAP))
+    position = F.bitmap_bit_position(number)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (position % 64).cast("int"))
+    word = F.floor(position / 64).cast("int")
+    named = [F.col(ident(k)) for k in keys]
+    rows = df.where(number.isNotNull()).select(*named, F.bitmap_bucket_number(number).alias(BUCKET), word.alias(WORD), bit.alias(BITS))
+    return _bitmaps(_united(rows, keys), keys)
+
+
+def _united(words: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Words of the same ids as one; of fixed width, so that every task unites its own first without sorting."""
+    return words.groupBy(*[F.col(ident(k)) for k in keys], BUCKET, WORD).agg(F.bit_or(BITS).alias(BITS))
+
+
+def _words(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The words of the bitmaps of larger groups."""
+    return _united(df.select(*[F.col(ident(k)) for k in keys], BUCKET, F.inline(BITMAP)), keys)
+
+
+def _bitmaps(words: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return words.groupBy(*[F.col(ident(k)) for k in keys], BUCKET).agg(F.collect_list(F.struct(WORD, BITS)).alias(BITMAP))
 
 
 def merge_bitmaps(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The bitmaps of larger groups."""
-    return df.groupBy(*[F.col(ident(k)) for k in keys], BUCKET).agg(F.bitmap_or_agg(BITMAP).alias(BITMAP))
+    return _bitmaps(_words(df, keys), keys)
 
 
 def bitmap_counts(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Exact numbers of different ids per group."""
-    counted = merge_bitmaps(df, keys).groupBy(*[F.col(ident(k)) for k in keys])
-    return counted.agg(F.sum(F.bitmap_count(F.col(BITMAP))).alias(name))
+    counted = _words(df, keys).groupBy(*[F.col(ident(k)) for k in keys])
+    return counted.agg(F.sum(F.bit_count(BITS)).alias(name))

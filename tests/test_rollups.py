@@ -132,3 +132,22 @@ def test_pages_at_the_edges(spark, shuffled):
             pages.page(*bad)
     with pytest.raises(ValueError):
         Pages(same, "k", 0)
+
+
+def test_bitmaps_of_few_ids_take_little_room(spark, rows):
+    """Each group has one id of a bitmap; negative ones and ends of words and bitmaps too."""
+    ids = [-32769, -32768, -1, 0, 1, 63, 64, 32767, 32768, 32769, 2**40, None]
+    df = spark.createDataFrame([(k, i) for k, i in enumerate(ids * 2)], "k long, user long")
+    single = distinct_bitmaps(df, ["k"], "user")
+    assert single.select(F.max(F.octet_length(F.to_json("id_bitmap")))).first()[0] < 100
+    assert rows(bitmap_counts(single, [], "users")) == [(len(ids) - 1,)]
+    assert rows(bitmap_counts(single, ["k"], "users")) == rows(df.where("user IS NOT NULL").selectExpr("k", "1L AS users"))
+
+
+def test_long_pages_pass_through_no_single_task(shuffled):
+    pages = Pages(shuffled, [("x", "desc"), "y"], 30)
+    page = pages.page(101, 480)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "Limit" not in plan and "TakeOrdered" not in plan and "SinglePartition" not in plan
+    whole = [tuple(r)[:3] for at, n in ((0, 101), (101, 480), (581, 500)) for r in pages.page(at, n).collect()]
+    assert sorted(whole, key=repr) == sorted((tuple(r)[:3] for r in shuffled.collect()), key=repr)
