@@ -164,6 +164,19 @@ def delete_insert_frame(target: DataFrame, new: DataFrame, keys: Sequence[str])
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+#: Keys looked at as possibly hot, the stored rows from which one is, and the parts its rows are dealt to.
+CANDIDATES, HOT_ROWS, PARTS = 256, 100_000, 128
+
+
+def _hot_keys(target: DataFrame, keys: Sequence[str]) -> tuple[Column, DataFrame] | None:
+    """What tells stored rows of hot keys, and those keys (a bounded list, from a heavy-hitter sketch); None without any."""
+    held = target.select(*keys).where(~_null_key(keys))
+    number = F.xxhash64(*[F.col(ident(k)) for k in keys])
+    top = held.select(number.alias("merge_hash")).agg(F.expr(f"approx_top_k(merge_hash, {CANDIDATES})").alias("top"))
+    hot = [F.lit(x["item"]) for x in top.first()["top"] or () if x["count"] >= HOT_ROWS]
+    return (number.isin(hot), held.where(number.isin(hot)).distinct()) if hot else None
+
+
 def merge_frame(
     target: DataFrame,
     new: DataFrame,
@@ -179,7 +192,8 @@ def merge_frame(
     spread by a number of their own, so that they do not meet in one task.
 
     New keys are unique, so a left join gives the stored rows and an anti join the inserted ones; Spark splits hot
-    keys of both, which it does not for a full join.
+    keys of both, which it does not for a full join. Stored rows of hot keys are dealt to parts besides, in
+    each of which the new row is repeated: Spark splits late, when the rows to sort take a lot of memory.
     """
     if update_columns and exclude_columns:
         raise ValueError("give update_columns or exclude_columns, not both")
@@ -188,8 +202,16 @@ def merge_frame(
     updated = set(update_columns or [c for c in columns if c not in (exclude_columns or ())]) & set(new.columns)
     alone = F.when(_null_key(keys), F.monotonically_increasing_id() + 1).otherwise(0).alias("merge spread")
     same = _same([*keys, "merge spread"], "t", "s")
-    known = new.where(~_null_key(keys)).select("*", F.lit(0).cast("long").alias("merge spread"))
-    found = target.select("*", alone.cast("long").alias("merge spread")).alias("t").join(known.alias("s"), same, "left")
+    known, spread = new.where(~_null_key(keys)).select("*", F.lit(0).cast("long").alias("merge spread")), alone
+    hot = _hot_keys(target, keys)
+    if hot is not None:
+        is_hot, listed = hot
+        part = F.monotonically_increasing_id() % PARTS
+        spread = F.when(_null_key(keys), F.monotonically_increasing_id() + 1).when(is_hot, part).otherwise(0).alias("merge spread")
+        marked = known.alias("t").join(F.broadcast(listed).alias("s"), _same(keys, "t", "s"), "left")
+        parts = F.when(F.col(ident("s", keys[0])).isNotNull(), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+        known = marked.select(*[F.col(ident("t", c)) for c in new.columns], F.explode(parts.cast("array<bigint>")).alias("merge spread"))
+    found = target.select("*", spread.cast("long").alias("merge spread")).alias("t").join(known.alias("s"), same, "left")
     there = F.col(ident("s", "merge spread")).isNotNull()
 
     def pick(name: str) -> Column:

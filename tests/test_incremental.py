@@ -276,3 +276,20 @@ def test_what_a_query_reads_is_known_without_listing_files(spark, tmp_path):
         assert incremental._reads(df, table) and not incremental._reads(df, other)
     assert not incremental._reads(spark.range(3), table)
     assert "inputFiles" not in Path(incremental.__file__).read_text()
+
+
+def test_merge_deals_rows_of_hot_keys_to_parts(spark, monkeypatch):
+    """Stored rows of a hot key get the new row wherever they lie; signs of zero and types of keys do not matter."""
+    monkeypatch.setattr(incremental, "HOT_ROWS", 50)
+    stored = spark.sql(
+        "SELECT id, CASE WHEN id % 2 = 0 THEN if(id % 4 = 0, 0D, -0D) WHEN id % 10 = 3 THEN NULL ELSE cast(id AS double) END AS key, 'old' AS v"
+        " FROM range(400)"
+    )
+    new = spark.sql("SELECT * FROM VALUES (0, 'zero'), (1, 'one'), (NULL, 'none'), (1000, 'more') AS t(key, v)")
+    got = merge_frame(stored, new, ["key"])
+    at = {r["key"]: r["v"] for r in new.collect() if r["key"] is not None}
+    want = [(r["id"], r["key"], at.get(r["key"], "old")) for r in stored.collect()]
+    want += [(None, None, "none"), (None, 1000.0, "more")]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    parts = got._jdf.queryExecution().analyzed().toString()
+    assert "Generate explode" in parts
