@@ -37,7 +37,9 @@ class Settings:
     cosine: float = 0.9
     block: int = 4096  # vectors of a block, about
     pivots: int = 1024  # at most
-    radii: tuple = (1.0, 0.5, 0.25, 0.125)
+    # The children of a block are compared by products of matrices. Wider nodes than this save little of that, and in many
+    # dimensions they leave pairs by the million that are too close to drop.
+    radii: tuple = (0.5, 0.25, 0.125)
 
     @property
     def reach(self) -> float:
@@ -155,12 +157,12 @@ class Traversal:
         stack = [(0, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
         while stack:
             level, x, y = stack.pop()
-            for i, j in self._children(level, x, y):
+            for i, j, dots in self._children(level, x, y):
                 if self.same:
                     # Below a pair of one node with itself, each pair of children is seen once.
                     keep = i <= j if level + 1 < last else i < j
-                    i, j = i[keep], j[keep]
-                i, j = self._near(level + 1, i, j)
+                    i, j, dots = i[keep], j[keep], None if dots is None else dots[keep]
+                i, j = self._near(level + 1, i, j, dots)
                 if not len(i):
                     continue
                 if level + 1 == last:
@@ -169,7 +171,7 @@ class Traversal:
                     stack.append((level + 1, i, j))
 
     def _children(self, level: int, x: np.ndarray, y: np.ndarray):
-        """Pairs of children, a bounded number at a time."""
+        """Pairs of children, a bounded number at a time, with the products of their centres where these are known."""
         first_a, first_b = self.a.levels[level][4], self.b.levels[level][4]
         na, nb = first_a[x + 1] - first_a[x], first_b[y + 1] - first_b[y]
         total = na * nb
@@ -187,7 +189,7 @@ class Traversal:
                 part = slice(at, to)
                 of = np.repeat(np.arange(to - at), total[part])
                 inner = np.arange(len(of)) - np.repeat(np.cumsum(total[part]) - total[part], total[part])
-                yield first_a[x[part]][of] + inner // nb[part][of], first_b[y[part]][of] + inner % nb[part][of]
+                yield first_a[x[part]][of] + inner // nb[part][of], first_b[y[part]][of] + inner % nb[part][of], None
             at = to
 
     def _dense(self, level: int, i: np.ndarray, j: np.ndarray):
@@ -202,16 +204,18 @@ class Traversal:
                 spread = rb[j][None, :] if ra[rows[0]] == 0 else ra[rows][:, None] + rb[j][None, :]
                 least = (1 - (self.s.reach + SLACK + spread) ** 2 / 2).astype(np.float32)
                 found = np.flatnonzero(dots >= least)
-                yield rows[found // len(j)], j[found % len(j)]
+                yield rows[found // len(j)], j[found % len(j)], dots.ravel()[found]
 
-    def _near(self, level: int, i: np.ndarray, j: np.ndarray):
+    def _near(self, level: int, i: np.ndarray, j: np.ndarray, dots: np.ndarray | None = None):
         """Drop pairs that are too far apart; count and drop those that are linked as a whole."""
         ca, ra = self.a.levels[level][2:4]
         cb, rb = self.b.levels[level][2:4]
-        apart = np.empty(len(i))
-        for at in range(0, len(i), 1 << 16):
-            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            apart[at : at + (1 << 16)] = _distance(np.einsum("ij,ij->i", self.a.single[ca[x]], self.b.single[cb[y]]))
+        if dots is None:
+            dots = np.empty(len(i), dtype=np.float32)
+            for at in range(0, len(i), 1 << 16):
+                x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                dots[at : at + (1 << 16)] = np.einsum("ij,ij->i", self.a.single[ca[x]], self.b.single[cb[y]])
+        apart = _distance(dots)
         spread = ra[i] + rb[j]
         whole = apart + spread <= self.s.reach - SLACK
         if whole.any():

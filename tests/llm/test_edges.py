@@ -5,6 +5,8 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,3 +355,36 @@ def test_stages(spark, docs, empty, name, stage):
         assert result.columns == docs.columns
     if name == "toxicity":
         assert result.count() == len(ROWS)  # all are clean
+
+
+def test_embeddings_of_loose_groups_are_dropped_without_a_look_at_each_pair(monkeypatch):
+    draw, s = np.random.default_rng(7), embeddings.Settings()
+    blocks, looked = [], []
+    for name in (1, 2):
+        centres = draw.normal(size=(40, 64)).repeat(10, axis=0)
+        m = np.concatenate([draw.normal(size=(400, 64)), centres + 0.8 * draw.normal(size=(400, 64))])
+        m[5::50] = m[4::50] + 0.1 * draw.normal(size=(16, 64))
+        blocks.append(pd.DataFrame({"block": name, "node": np.arange(800) + 800 * name, "n": 1, "data": [v.tobytes() for v in m]}))
+    blocks[1].loc[7, "data"] = blocks[0]["data"][3]
+    near = embeddings.Traversal._near
+
+    def counted(self, level, i, *others):
+        looked.append(len(i))
+        return near(self, level, i, *others)
+
+    monkeypatch.setattr(embeddings.Traversal, "_near", counted)
+    monkeypatch.setattr(embeddings, "STEP", 1 << 16)  # as many children to a step as blocks of the usual size have
+    trees = [embeddings._blocked(s)(b) for b in blocks]
+    for part in (trees, trees[:1]):
+        looked.clear()
+        found = embeddings._compared(s)(pd.concat(part))
+        rows = pd.concat(part)
+        m = embeddings.unit(rows["data"])
+        linked = m @ m.T >= s.cosine
+        if len(part) == 2:
+            linked &= (rows["block"].to_numpy()[:, None] != rows["block"].to_numpy()[None, :])
+        else:
+            np.fill_diagonal(linked, False)
+        want = dict(zip(rows["node"], linked.sum(axis=1)))
+        assert dict(zip(found["node"], found["n"])) == {k: n for k, n in want.items() if n}
+        assert len(found) and sum(looked) < 0.02 * 800 * 800
