@@ -20,7 +20,8 @@ links from its members to the smallest member they hang together with, never its
 ``n - ceil(least * n) + 1`` can hold the first shingle that it shares with a similar one, so similar texts
 share one of those, and every such pair is found whatever the sample. Shingles whose texts are all linked already,
 by fingerprints or by a text of two of the same lowest hashes, are passed over in an aggregate, so large groups of near
-copies yield no pairs. The others' pairs are compared set by set.
+copies yield no pairs. The others' pairs are compared set by set. A pair that shares many of its first shingles comes from
+the first of them only.
 
 Null and empty texts have the fingerprint zero and are linked like any other. Null ids are allowed and are
 passed over when the smallest id is looked for. Rows alike in id and text are one document written several
@@ -196,6 +197,9 @@ def profile(found: np.ndarray) -> bytes | None:
     return counts.astype("u1").tobytes() if counts.max() < 256 else None
 
 
+#: Of the shingles that a set shares with others, the first ones, which tell whether a pair has been met before.
+HEAD = 16
+
 #: Bits of a parity sketch.
 PARITIES = 1024
 
@@ -325,17 +329,22 @@ def jaccard_roots(texts: DataFrame, docs: DataFrame, links: DataFrame, words: in
     each = rooted.select("root", F.explode("first").alias("t"))
     mixed = each.groupBy("t").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("t")
     mixed = stored(mixed, "mixed")
-    found = stored(sets.select("name", F.explode("first").alias("t")).join(mixed, "t", "left_semi").distinct(), "shared")
-    held = rooted.dropDuplicates(["fp", "name"]).join(found, "name")
-    rest = (F.col("size") - F.array_position("first", F.col("t"))).alias("rest")
-    held = stored(held.select("t", "root", "fp", "name", "size", "parity", rest), "held")
-    columns = ("root", "fp", "name", "size", "parity", "rest")
+    shared = sets.select("name", F.posexplode("first").alias("place", "t")).join(mixed, "t", "left_semi")
+    shared = shared.groupBy("name").agg(F.sort_array(F.collect_set(F.struct("place", "t"))).alias("shared"))
+    held = rooted.drop("lowest", "first").dropDuplicates(["fp", "name"]).join(shared, "name")
+    head = F.slice(F.col("shared.t"), 1, HEAD).alias("head")
+    held = held.select("root", "fp", "name", "size", "parity", head, F.explode("shared").alias("s"))
+    rest = (F.col("size") - F.col("s.place") - 1).alias("rest")
+    held = stored(held.select("s.t", "root", "fp", "name", "size", "parity", "head", rest), "held")
+    columns = ("root", "fp", "name", "size", "parity", "head", "rest")
     a, b = [held.select("t", *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab"]
     # The first shared shingle has this many behind it at most.
     room = 1 + F.least("rest_a", "rest_b") >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-9
-    pairs = a.join(b, "t").filter((F.col("root_a") < F.col("root_b")) & room & _near(least))
+    # A pair comes from the first shingle that both heads hold, in the order of shingles; without one, from any it shares.
+    once = F.coalesce(F.get(F.array_intersect("head_a", "head_b"), F.lit(0)), F.col("t")) == F.col("t")
+    pairs = a.join(b, "t").filter((F.col("root_a") < F.col("root_b")) & room & _near(least) & once)
     more = _similar(texts, docs, pairs.select("fp_a", "name_a", "fp_b", "name_b"), words, least, prints)
-    forget(mixed, found, held)
+    forget(mixed, held)
     if more.isEmpty():
         return roots
     stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))

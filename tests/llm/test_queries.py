@@ -316,6 +316,33 @@ def test_near_dedup_of_large_groups_and_common_passages(spark):
     assert check_near_dedup(spark, {k: " ".join(t) for k, t in enumerate(texts)})
 
 
+def test_near_dedup_meets_each_candidate_pair_once(spark, monkeypatch):
+    draw = random.Random(11)
+    words = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    # Changes of a text at two places each: most pairs are near the threshold, and few texts share their lowest hashes.
+    base, texts = words(150), {}
+    for k in range(60):
+        t = list(base)
+        for at in draw.sample(range(140), 2):
+            t[at : at + 3] = words(3)
+        texts[k] = " ".join(t)
+    similar, met = simhash._similar, []
+
+    def counted(texts, docs, pairs, *others):
+        rows = [tuple(sorted([(r["fp_a"], r["name_a"]), (r["fp_b"], r["name_b"])])) for r in pairs.collect()]
+        met.append((len(rows), len(set(rows))))
+        return similar(texts, docs, pairs, *others)
+
+    monkeypatch.setattr(simhash, "_similar", counted)
+    assert check_near_dedup(spark, texts)
+    rows, pairs = met[-1]  # those after both rounds of pivots
+    assert rows == pairs > 0
+    # Heads that are too short to meet lose no pair.
+    monkeypatch.setattr(simhash, "HEAD", 1)
+    assert check_near_dedup(spark, texts)
+    assert met[-1][0] >= met[-1][1] == pairs
+
+
 def test_masks_cover_every_pair():
     masks = simhash.masks(3)
     rng = np.random.default_rng(1)
